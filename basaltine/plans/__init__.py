@@ -1,4 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import assembly, catalogs, detection, measures, services, series, tracks, vectors
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "catalogs", "detection", "measures", "series", "services", "tracks", "vectors"]
