@@ -122,10 +122,12 @@ def integer_keys(m: Column) -> Column:
 
 def merged_maps(*maps: Column) -> Column:
     """Maps joined; of equal keys the later map's value."""
+    def over(first: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(later, k)), later)
+
     out = maps[0]
     for m in maps[1:]:
-        later = m
-        out = F.map_concat(F.map_filter(out, lambda k, v, later=later: ~F.map_contains_key(later, k)), m)
+        out = over(out, m)
     return out
 
 

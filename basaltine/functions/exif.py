@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 # Tags of TIFF/EXIF directories.
 ORIENTATION, EXIF_POINTER, FOCAL_LENGTH = 0x0112, 0x8769, 0x920A
@@ -80,11 +81,11 @@ def focal_length(data: bytes | None) -> float | None:
     return a / b if b else None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def exif_orientation(content: pd.Series) -> pd.Series:
     return content.map(orientation).astype("Int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exif_focal_length(content: pd.Series) -> pd.Series:
     return content.map(focal_length).astype("float64")

@@ -192,18 +192,21 @@ class Pipe:
             raise ValueError("a later stage makes the output shape vary")
         self.stages = stages
 
+    @staticmethod
+    def _mover(stage, h: Column, w: Column, whole: bool):
+        def move(x: Column) -> Column:
+            y = stage.point(x, F.col("__p"), h, w)
+            return _point(y["r"].cast("int"), y["c"].cast("int")) if whole else y
+
+        return move
+
     def points(self, df: DataFrame, points: str, seed: Column, h: Column, w: Column, whole: bool = False) -> DataFrame:
         """``points`` (array<struct<r, c>>) moved through all stages, with out_h and out_w; ``whole`` truncates to integers after each stage."""
         df = df.withColumns({"__seed": seed, "out_h": h.cast("long"), "out_w": w.cast("long")})
         for stage in self.stages:
             df = df.withColumn("__p", F.struct(*(c.alias(k) for k, c in stage.params(F.col("__seed"), F.col("out_h"), F.col("out_w")).items())))
             ch, cw = F.col("out_h"), F.col("out_w")
-
-            def move(x: Column, stage=stage, ch=ch, cw=cw) -> Column:
-                y = stage.point(x, F.col("__p"), ch, cw)
-                return _point(y["r"].cast("int"), y["c"].cast("int")) if whole else y
-
-            moved = F.transform(points, move)
+            moved = F.transform(points, self._mover(stage, ch, cw, whole))
             oh, ow = stage.shape(F.col("__p"), ch, cw)
             df = df.withColumns({points: moved, "out_h": oh, "out_w": ow})
         return df.drop("__p", "__seed")

@@ -24,7 +24,7 @@ def binary_metrics(t):
     return _scored(t).agg(*(F.round(c, 6).alias(k) for k, c in detect.binary_metrics(F.col("p"), F.col("quality")).items()))
 
 
-@query(f"WITH {_P}, a AS (SELECT toxic, CASE WHEN quality = 1 THEN p ELSE 1 - p END AS at, CASE WHEN quality = 1 THEN 0.25 ELSE 0.75 END AS w FROM s) SELECT toxic, round(avg(-w * ln(at + 1e-8) * pow(abs(1 - at), 2)), 6) AS loss FROM a GROUP BY toxic")
+@query(f"WITH {_P}, a AS (SELECT toxic, CASE WHEN quality = 1 THEN p ELSE 1 - p END AS pt, CASE WHEN quality = 1 THEN 0.25 ELSE 0.75 END AS w FROM s) SELECT toxic, round(avg(-w * ln(pt + 1e-8) * pow(abs(1 - pt), 2)), 6) AS loss FROM a GROUP BY toxic")
 def focal_loss(t):
     return _scored(t).groupBy("toxic").agg(F.round(detect.focal_loss(F.col("p"), F.col("quality")), 6).alias("loss"))
 

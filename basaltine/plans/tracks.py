@@ -24,8 +24,8 @@ def _boxes(t):
     return t("events").select(F.floor(e / 10).alias("frame"), (e % 10).alias("obj"), box.alias("box"))
 
 
-@query(f"""WITH {_BOX}, p AS (SELECT a.obj AS a, b.obj AS b, greatest(0, least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top)) * greatest(0, least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left")) AS common, a.height * a.width + b.height * b.width AS both FROM x a JOIN x b ON a.frame = b.frame AND a.obj < b.obj)
-SELECT a, b, count(*) AS votes FROM p WHERE common > 0 AND common >= 0.5 * (both - common) GROUP BY a, b HAVING count(*) >= 5""")
+@query(f"""WITH {_BOX}, p AS (SELECT a.obj AS a, b.obj AS b, greatest(0, least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top)) * greatest(0, least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left")) AS common, a.height * a.width + b.height * b.width AS areas FROM x a JOIN x b ON a.frame = b.frame AND a.obj < b.obj)
+SELECT a, b, count(*) AS votes FROM p WHERE common > 0 AND common >= 0.5 * (areas - common) GROUP BY a, b HAVING count(*) >= 5""")
 def overlap_votes(t):
     """Frames in which two objects' boxes overlap by half; disjoint boxes go first."""
     return tracks.overlap_votes(_boxes(t), "frame", "obj", "box", 0.5, 5)
