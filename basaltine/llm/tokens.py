@@ -86,10 +86,11 @@ class Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
         self.data = data = _LOWER[data] if lower else data
         inside = _WORD[data]
-        edge = np.empty(len(data) + 1, dtype=bool)
-        edge[:1], edge[-1:] = inside[:1], inside[-1:]
-        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-        at = np.flatnonzero(edge) if len(data) else np.empty(0, np.int64)
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        if len(data):
+            edge[0], edge[-1] = inside[0], inside[-1]
+            np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        at = np.flatnonzero(edge)
         starts, ends = at[0::2], at[1::2]
         # A word that runs over the border of two texts is two words.
         cuts = offs[1:-1]
