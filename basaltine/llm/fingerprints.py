@@ -65,6 +65,8 @@ def sketches(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tupl
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             row, held = r[a], np.flatnonzero(full[r[a]])
             least[row, i[a:b]] = source[row, held[place[i[a:b]][:, held].argmin(axis=1)]]
+    # The bits also depend on the bin, so that copies of one value agree by chance bin by bin, not all at once.
+    least ^= np.arange(1, BINS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
     return (mix(least) & U64((1 << BITS) - 1)).astype(np.uint8) * some[:, None], some
 
 
