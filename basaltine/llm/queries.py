@@ -33,7 +33,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.lm_scores(documents(spark, sf_dir))
+    scores = lm_scores.lm_scores(documents(spark, sf_dir))
+    # Sums of logs depend on their order in the last digits.
+    return scores.withColumn("log_score", F.round("log_score", 4))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,17 +73,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-g AS (SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS at, words FROM w WHERE len(words) >= 50),
-h AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY array_to_string(words[at:at + 49], ' ')) AS first_id FROM g),
-c AS (SELECT DISTINCT doc_id, unnest(generate_series(at, at + 49)) AS at FROM h WHERE first_id < doc_id),
-x AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id)
+g AS (SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS pos, words FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY array_to_string(words[pos:pos + 49], ' ')) AS first_id FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS pos FROM h WHERE first_id < doc_id),
+x AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(list_filter(words, lambda v, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN x USING (doc_id)""",
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(generate_series(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b),
+k AS (SELECT id, min(m) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id""",
     "op3_mix_sources": mixing.ORACLE,
     "op4_exact_dedup": r"""
 WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_lm_scores": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, pos, words[pos] AS x, words[pos - 1] AS v FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS pos FROM w)),
+u AS (SELECT x, count(*) AS c FROM t GROUP BY x), ou AS (SELECT doc_id, x, count(*) AS c FROM t GROUP BY ALL),
+b AS (SELECT v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL), ob AS (SELECT doc_id, v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL),
+j AS (SELECT t.doc_id, t.pos, greatest(u.c - ou.c, 0.5::DOUBLE) / (SELECT count(*) FROM t) AS s1, b.c - ob.c AS n2, uv.c - ov.c AS nv
+  FROM t JOIN u ON u.x = t.x JOIN ou ON ou.doc_id = t.doc_id AND ou.x = t.x
+  LEFT JOIN b ON t.pos > 1 AND b.v = t.v AND b.x = t.x LEFT JOIN ob ON ob.doc_id = t.doc_id AND ob.v = t.v AND ob.x = t.x AND t.pos > 1
+  LEFT JOIN u uv ON t.pos > 1 AND uv.x = t.v LEFT JOIN ou ov ON ov.doc_id = t.doc_id AND ov.x = t.v AND t.pos > 1),
+s AS (SELECT doc_id, sum(CASE WHEN pos = 1 THEN ln(s1) WHEN n2 > 0 THEN ln(n2 / nv::DOUBLE) ELSE ln(0.4::DOUBLE) + ln(s1) END) AS score FROM j GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(score, 0.0), 4) AS log_score FROM w LEFT JOIN s USING (doc_id)""",
     "op10_url_filter": urls.ORACLE,
 }
