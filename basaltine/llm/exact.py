@@ -79,5 +79,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     won = winners.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
     keyed = docs.withColumn("__digest", digest())
     mapped = keyed.join(F.broadcast(won), "__digest", "left").where(F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep"))).drop("__keep")
-    rest = mapped.join(twice, "__digest", "left").where(F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+    rest = mapped.join(twice.hint("merge"), "__digest", "left").where(F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
     return rest.select(*(F.col(f"`{c}`") for c in docs.columns))

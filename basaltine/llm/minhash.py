@@ -228,7 +228,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFra
     members = families.join(reps.select("doc_id", "n_shingles"), families.node == reps.doc_id).select("doc_id", F.col("component").alias("family"), "n_shingles")
     dealt = scratch.write(_dealt(members, scratch, percent), "dealt")
     scratch.drop("reps", "members")
-    work = dealt.join(texts, "doc_id").select("task", "family", "side", "doc_id", "text")
+    # Shuffled at every size: a join that is broadcast on little data and not on much tells nothing of its growth.
+    work = dealt.join(texts.hint("merge"), "doc_id").select("task", "family", "side", "doc_id", "text")
     links = work.groupBy("task").applyInArrow(_links(shingle, percent), "u long, v long")
     found = scratch.write(connected_components(links, scratch, "links"), "found")
     out = sketch.drop("sig").join(firsts, same, "left").join(found, F.col("rep") == F.col("node"), "left")
@@ -240,4 +241,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """The rows of docs that stay, one document of each component, with docs' own columns."""
     scratch = Scratch(docs.sparkSession)
     gone = scratch.write(near_groups(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
