@@ -176,9 +176,15 @@ def _links(n: int, percent: int):
                     sigs.append(signatures(values, at))
                     sets += [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 if sets:
+                    # Each linked document to the least of its part here: ids ascend with positions.
+                    union = _Union({i: i for i in range(len(sets))})
                     for i, j in _confirmed(sets, np.concatenate(sigs), sides, percent):
-                        us.append(ids[i])
-                        vs.append(ids[j])
+                        a, b = union.find(i), union.find(j)
+                        union[max(a, b)] = min(a, b)
+                    for i in range(len(sets)):
+                        if union.find(i) != i:
+                            us.append(ids[union.find(i)])
+                            vs.append(ids[i])
         return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
