@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _exploded(parts: int):
         block = group["block"][0].as_py()
         rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return pa.table(
-            [pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int64()), pa.array([_pack(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary())],
+            [pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int64()), pa.array([_pack(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([_squeeze(counts[a:b]) for _, a, b in rows], pa.binary())],
             names=["block", "part", "grams", "counts"],
         )
 
@@ -111,10 +112,20 @@ def _exploded(parts: int):
 def _totals(group: pa.Table) -> pa.Table:
     """The count table of one part, joined back to each block's entry."""
     keys = [_unpack(x) for x in group["grams"].to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in group["counts"].to_pylist()]
+    counts = [_unsqueeze(x) for x in group["counts"].to_pylist()]
     table, total = _merged(list(zip(keys, counts, strict=True)))
     joined = [total[np.searchsorted(table, k)] for k in keys]
-    return pa.table([group["block"].combine_chunks(), group["part"].combine_chunks(), pa.array([t.astype("<u8").tobytes() for t in joined], pa.binary())], names=["block", "part", "totals"])
+    return pa.table([group["block"].combine_chunks(), group["part"].combine_chunks(), pa.array([_squeeze(t) for t in joined], pa.binary())], names=["block", "part", "totals"])
+
+
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts, most of which are small, as zstd of their bytes by place."""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.int64)
 
 
 SCORES = "doc_id long, n_words long, log_score double"
@@ -137,7 +148,7 @@ def _scored(n_all: int):
         with np.errstate(over="ignore"):
             keys, _ = _counts(docs["text"])
             replies = replies.sort_by("part")
-            totals = [np.frombuffer(b, "<u8").astype(np.int64) for b in replies["totals"].to_pylist()]
+            totals = [_unsqueeze(b) for b in replies["totals"].to_pylist()]
             total = np.concatenate(totals) if totals else np.empty(0, np.int64)
             get = lambda h: total[np.searchsorted(keys, h)]
             ids = docs["doc_id"].combine_chunks()
@@ -151,7 +162,7 @@ def _scored(n_all: int):
                     seen = rest_bi > 0
                     score[second[~seen]] += np.log(ALPHA)
                     score[second[seen]] = np.log(rest_bi[seen] / rest_uni[second[seen] - 1])
-                out.append(pa.table([ids.slice(i, j - i), pa.array(words.counts, pa.int64()), pa.array(np.bincount(words.text, weights=score, minlength=j - i))], names=["doc_id", "n_words", "log_score"]))
+                out.append(pa.table([ids.slice(i, j - i), pa.array(words.counts, pa.int64()), pa.array(np.bincount(words.text, weights=score, minlength=j - i).astype(np.float64))], names=["doc_id", "n_words", "log_score"]))
         return pa.concat_tables(out)
 
     return run
@@ -168,5 +179,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-n_all // PART_GRAMS))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(blocks)))
     exploded = dealt.groupBy("block").applyInArrow(_exploded(parts), "block long, part long, grams binary, counts binary")
-    replies = scratch.write(exploded.groupBy("part").applyInArrow(_totals, "block long, part long, totals binary"), "totals")
+    replies = scratch.write(exploded.groupBy("part").applyInArrow(_totals, "block long, part long, totals binary"), "totals", large=True)
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(n_all), SCORES)

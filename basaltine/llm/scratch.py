@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,15 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/basaltine-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        """The table as written. Shuffle files go when the driver forgets their plans, which Python's references and the JVM's hold in turn; after large shuffles both are collected twice."""
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
-        # Shuffle files go when the driver forgets their plans; say so, as nothing reads them again.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(1 + large):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            if large:
+                time.sleep(0.3)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
