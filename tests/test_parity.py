@@ -21,7 +21,7 @@ def db(small):
 
 
 def rows(df: pd.DataFrame) -> Counter:
-    plain = lambda v: None if v is None or v is pd.NaT or isinstance(v, float) and v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return Counter(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
