@@ -61,31 +61,34 @@ def matched(pred: np.ndarray, scores: np.ndarray, truth: np.ndarray, threshold:
     return hit
 
 
-def matches(pred: DataFrame, truth: DataFrame, image: str, threshold: float) -> DataFrame:
-    """(image, box_id, score, hit) of every prediction."""
+def matches(pred: DataFrame, truth: DataFrame, image: str, thresholds: list[float]) -> DataFrame:
+    """(image, k, box_id, score, hit) of every prediction at every threshold; an image is one group."""
+    box = ["x1", "y1", "x2", "y2"]
 
     def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("box_id")
-        box = ["x1", "y1", "x2", "y2"]
-        return p.assign(hit=matched(p[box].to_numpy(float), p["score"].to_numpy(float), t[box].to_numpy(float), threshold))[[image, "box_id", "score", "hit"]]
+        sides = p[box].to_numpy(float), p["score"].to_numpy(float), t[box].to_numpy(float)
+        return pd.concat([p.assign(k=k, hit=matched(*sides, threshold))[[image, "k", "box_id", "score", "hit"]] for k, threshold in enumerate(thresholds)])
 
     kind = dict(pred.dtypes)[image]
-    return pred.groupBy(image).cogroup(truth.groupBy(image)).applyInPandas(run, f"{image} {kind}, box_id long, score double, hit boolean")
+    return pred.groupBy(image).cogroup(truth.groupBy(image)).applyInPandas(run, f"{image} {kind}, k int, box_id long, score double, hit boolean")
 
 
-def average_precision(hits: DataFrame, group: str, n_truth: Column) -> DataFrame:
+def average_precision(hits: DataFrame, group: list[str], n_truth: Column) -> DataFrame:
     """(group, ap) of rows (group, box_id, score, hit): area under the falling envelope of precision over recall, from (0, 1) to (1, 0)."""
-    by_score = Window.partitionBy(group).orderBy(F.col("score").desc(), "box_id").rowsBetween(Window.unboundedPreceding, 0)
+    by_score = Window.partitionBy(*group).orderBy(F.col("score").desc(), "box_id").rowsBetween(Window.unboundedPreceding, 0)
     p = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(by_score), "n": F.count("*").over(by_score), "total": n_truth})
-    p = p.select(group, F.col("n").cast("long").alias("n"), (F.col("tp") / F.greatest(F.col("total"), F.lit(1))).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    ends = hits.select(group).distinct()
-    p = p.unionByName(ends.select(group, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))).unionByName(ends.select(group, F.lit(1 << 60).alias("n"), F.lit(1.0).alias("recall"), F.lit(0.0).alias("precision")))
-    line = Window.partitionBy(group).orderBy("n")
+    point = lambda n, recall, precision: F.struct(n.cast("long").alias("n"), recall.alias("recall"), precision.alias("precision"))
+    own = point(F.col("n"), F.col("tp") / F.greatest(F.col("total"), F.lit(1)), F.col("tp") / F.col("n"))
+    # The first row of a group also brings the two ends.
+    ends = F.when(F.col("n") == 1, F.array(point(F.lit(0), F.lit(0.0), F.lit(1.0)), point(F.lit(1 << 60), F.lit(1.0), F.lit(0.0)))).otherwise(F.slice(F.array(own), 1, 0))
+    p = p.select(*group, F.inline(F.concat(F.array(own), ends)))
+    line = Window.partitionBy(*group).orderBy("n")
     # The greatest precision at this recall or more.
-    above = Window.partitionBy(group).orderBy("recall").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    above = Window.partitionBy(*group).orderBy("recall").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     p = p.withColumn("envelope", F.max("precision").over(above))
     p = p.withColumn("area", (F.col("recall") - F.lag("recall").over(line)) * (F.col("envelope") + F.lag("envelope").over(line)) / 2)
-    return p.groupBy(group).agg(F.sum("area").alias("ap"))
+    return p.groupBy(*group).agg(F.sum("area").alias("ap"))
 
 
 def anchors(height: int, width: int, least: float = 0.1, most: float = 0.5, scales: int = 5) -> list[tuple[int, int, int, int]]:

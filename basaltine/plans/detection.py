@@ -45,12 +45,8 @@ def average_precision(t):
     """Mean over thresholds 0.50 to 0.95 of the area under each image's precision curve."""
     pred, truth = _boxes(t, 0), _boxes(t, 0).where("box_id % 3 <> 0").withColumns({"x1": F.col("x1") + F.col("box_id") % 4, "y2": F.col("y2") - F.col("box_id") % 3})
     n = truth.groupBy("image").agg(F.count("*").alias("n_truth"))
-    out = None
-    for k in range(10):
-        hits = detect.matches(pred, truth, "image", 0.5 + 0.05 * k).join(n, "image", "left").fillna(0, ["n_truth"])
-        ap = detect.average_precision(hits, "image", F.col("n_truth")).withColumn("k", F.lit(k))
-        out = ap if out is None else out.unionByName(ap)
-    return out.groupBy("image").agg(F.round(F.avg("ap"), 6).alias("ap"))
+    hits = detect.matches(pred, truth, "image", [0.5 + 0.05 * k for k in range(10)]).join(n, "image", "left").fillna(0, ["n_truth"])
+    return detect.average_precision(hits, ["image", "k"], F.col("n_truth")).groupBy("image").agg(F.round(F.avg("ap"), 6).alias("ap"))
 
 
 _ANCHORS = detect.anchors(100, 100)

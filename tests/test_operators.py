@@ -183,7 +183,7 @@ def test_nms_and_matching():
 
 def test_average_precision(spark):
     hits = [("a", 0, 0.9, True), ("a", 1, 0.8, False), ("a", 2, 0.7, True), ("a", 3, 0.6, False)]
-    got = detect.average_precision(spark.createDataFrame(hits, "image string, box_id long, score double, hit boolean"), "image", F.lit(3)).first().ap
+    got = detect.average_precision(spark.createDataFrame(hits, "image string, box_id long, score double, hit boolean"), ["image"], F.lit(3)).first().ap
     curve = [(0.0, 1.0), (1.0, 0.0)]
     tp = 0
     for n, h in enumerate(hits, 1):
