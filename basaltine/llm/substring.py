@@ -285,10 +285,12 @@ def repeated_spans(docs: DataFrame, width: int = 50, scratch: Scratch | None = N
     n_words = refs.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-n_words // SHARD_WORDS))
     refs = refs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    held = refs.select("shard", F.lit(-1).cast("long").alias("doc_id"), "span")
-    held = held.mapInArrow(_ref_anchors(width), "shard long, anchor long").distinct()
-    routes = anchors.join(held, "anchor").select("doc_id", "shard").distinct()
-    queries = scratch.write(spans.join(routes, "doc_id"), "queries")
+    # Each span, not each document, goes to the shards that share its minimisers.
+    held = refs.select("shard", "span").mapInArrow(_span_anchors(width, ["shard"]), "shard long, anchor long").distinct()
+    place = ["doc_id", "fp", "start"]
+    asked = spans.select(*place, "span").mapInArrow(_span_anchors(width, place), "doc_id long, fp long, start long, anchor long")
+    routes = asked.join(held, "anchor").select(*place, "shard").distinct()
+    queries = scratch.write(spans.join(routes, place), "queries")
 
     load = queries.groupBy("shard").agg(F.sum("n_words").alias("load"))
     salts = load.select("shard", F.ceil(F.col("load") / F.lit(float(STREAM_WORDS))).cast("long").alias("salts"))
@@ -299,13 +301,15 @@ def repeated_spans(docs: DataFrame, width: int = 50, scratch: Scratch | None = N
     return pairs.applyInArrow(_match(width), "doc_id long, fp long, lo long, hi long")
 
 
-def _ref_anchors(width: int):
+def _span_anchors(width: int, keys: list[str]):
+    """The distinct minimisers of each span, with the span's keys."""
     anchors = _anchors(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for out in anchors(iter([pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["doc_id", "text"])])):
-                yield pa.RecordBatch.from_arrays(out.columns, ["shard", "anchor"])
+            rows = pa.array(np.arange(b.num_rows))
+            for out in anchors(iter([pa.RecordBatch.from_arrays([rows, b.column(len(keys))], ["doc_id", "text"])])):
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(out.column(0)) for k in range(len(keys))), out.column(1)], [*keys, "anchor"])
 
     return run
 
