@@ -9,9 +9,13 @@ misses all bands with probability (1 - 0.85**6)**40 = 6e-9, at 0.8 5e-6.
 1. Documents with equal shingle sets collapse to the one with the smallest
    doc_id; only those representatives go on.
 2. In each band bucket every member is paired with the bucket's smallest doc_id:
-   a bucket of n gives n - 1 pairs. Pairs whose signatures agree on less than
-   ``LOOSE`` are dropped; the components of the rest are families, within which
-   all links lie.
+   a bucket of n gives n - 1 pairs. Pairs whose signatures agree on ``LOOSE`` or
+   more are edges. A member that agrees with the smallest so well that whatever it
+   is linked with has such an edge too (see ``_bounds``) is done with in this
+   bucket; the others are held against each other in the same way, in bounded
+   tasks, until each is done with or alone. The components of the edges are
+   families, within which all links lie that share a bucket and agree on the
+   threshold less ``MARGIN``.
 3. Families are dealt into tasks of a bounded number of documents and shingles.
    A larger family is cut by size class (a link needs sizes within the threshold
    of each other, so only equal and neighbouring classes meet) and by hash, and
@@ -115,15 +119,73 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "doc_id"])
 
 
-def _alike(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = (_matrix(b.column(2)) == _matrix(b.column(3))).mean(axis=1) >= least if b.num_rows else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep))
+def _bounds(percent: int) -> tuple[int, int]:
+    """(loose, tight): signature values on which an edge agrees, and on which a member agrees that is done with.
+
+    Disagreements are a metric: what agrees with a centre on ``tight`` values, and with another document on as many as
+    links do at least, makes that document agree with the centre on ``loose``.
+    """
+    values = 2 * PERMUTATIONS
+    loose = math.ceil(LOOSE * values)
+    return loose, loose + values - math.ceil((percent / 100 - MARGIN) * values)
+
+
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        same = np.count_nonzero(_matrix(b.column(2)) == _matrix(b.column(3)), axis=1) if b.num_rows else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], ["u", "v", "same"])
+
+
+def _stars(sig: np.ndarray, loose: int, tight: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each centre with its edges; members that agree on ``tight`` with a centre are no centres any more and meet no others."""
+    at = np.arange(len(sig))
+    while len(at) > 1:
+        same = np.count_nonzero(sig[1:] == sig[0], axis=1)
+        yield int(at[0]), at[1:][same >= loose]
+        keep = same < tight
+        at, sig = (at[1:], sig[1:]) if keep.all() else (at[1:][keep], sig[1:][keep])
+
+
+def _rest(loose: int, tight: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        key, ids = table["key"].to_numpy(), table["doc_id"].to_numpy()
+        sig = _matrix(table["sig"])
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        us, vs = [ids[:0]], [ids[:0]]
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            for i, found in _stars(sig[lo:hi], loose, tight):
+                us.append(np.full(len(found), ids[lo + i]))
+                vs.append(ids[lo + found])
+        return pa.table([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _edges(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(u, v): edges whose components are the families."""
+    loose, tight = _bounds(percent)
+    rows = reps.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("w")).where("u < w").select("key", "u")
+    stars = scratch.write(rows.join(least, "key").where("doc_id > u").select("key", "u", F.col("doc_id").alias("v")), "stars")
+    sig = reps.select("doc_id", "sig")
+    pairs = stars.select("u", "v").distinct()
+    pairs = pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("s")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("t")), "v")
+    same = scratch.write(pairs.select("u", "v", "s", "t").mapInArrow(_agreed, "u long, v long, same long"), "same")
+    left = scratch.write(stars.join(same.where(F.col("same") < tight), ["u", "v"]).select("key", F.col("v").alias("doc_id")), "left")
+    counts = scratch.write(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    bins = max(8, -(-(counts.agg(F.sum("n")).first()[0] or 0) // BLOCK_DOCS))
+    # A bucket of several blocks is dealt as pairs of blocks, so that any two members meet in a task.
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK_DOCS))).cast("long")
+    placed = left.join(counts, "key").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("i"))
+    several = F.transform(others, lambda j: F.concat_ws("-", F.lit("pair"), "key", F.least("i", j), F.greatest("i", j)))
+    one = F.array(F.concat(F.lit("bin-"), F.pmod(F.xxhash64("key"), F.lit(bins)).cast("string")))
+    work = placed.select("key", "doc_id", F.explode(F.when(F.col("blocks") > 1, several).otherwise(one)).alias("task"))
+    rest = work.join(sig, "doc_id").select("task", "key", "doc_id", "sig").groupBy("task").applyInArrow(_rest(loose, tight), "u long, v long")
+    return same.where(F.col("same") >= loose).select("u", "v").unionByName(rest).distinct()
+
+
 class _Union(dict):
     def find(self, x: int) -> int:
         while self[x] != x:
@@ -225,15 +287,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFra
     firsts = full.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(full.join(firsts, same).where("doc_id = rep").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "reps")
 
-    rows = reps.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("w")).where("u < w").select("key", "u")
-    pairs = rows.join(least, "key").where("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct()
-    sig = reps.select("doc_id", "sig")
-    pairs = pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("s")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("t")), "v")
-    families = connected_components(pairs.select("u", "v", "s", "t").mapInArrow(_alike(LOOSE), "u long, v long"), scratch, "families")
+    families = connected_components(_edges(reps, scratch, percent), scratch, "families")
     members = families.join(reps.select("doc_id", "n_shingles"), families.node == reps.doc_id).select("doc_id", F.col("component").alias("family"), "n_shingles")
     dealt = scratch.write(_dealt(members, scratch, percent), "dealt")
-    scratch.drop("reps", "members")
+    scratch.drop("reps", "members", "stars", "same", "left", "counts")
     # Shuffled at every size: a join that is broadcast on little data and not on much tells nothing of its growth.
     work = dealt.join(texts.hint("merge"), "doc_id").select("task", "family", "side", "doc_id", "text")
     links = work.groupBy("task").applyInArrow(_links(shingle, percent), "u long, v long")

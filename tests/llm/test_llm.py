@@ -152,6 +152,22 @@ def test_near_groups(docs, rows, n, percent, block, monkeypatch):
     assert got == brute_groups(rows, n, percent)
 
 
+@pytest.mark.parametrize("block", [4000, 1000])
+def test_near_pairs_among_templates(spark, block, monkeypatch):
+    """A late near pair whose common buckets all begin with a text made of some of the same lines; also with buckets that are cut."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    g = random.Random(5)
+    stock = [" ".join(f"x{g.randrange(10**6)}" for _ in range(8)) for _ in range(60)]
+    picks = [sorted(g.sample(range(60), 29 if i < 3999 else 60)) for i in range(4000)]
+    texts = [" ".join(stock[k] for k in p) for p in picks]
+    words = texts[3999].split()
+    for k in g.sample(range(len(words)), 11):
+        words[k] = "new"
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(words)])), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(docs, 3, 85).collect()}
+    assert got == {i: min(i, 3999) for i in range(4001)}
+
+
 def test_near_odd_rows(spark, nothing):
     assert minhash.near_groups(nothing).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "A B c d")], "doc_id long, text string")
