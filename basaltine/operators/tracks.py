@@ -32,24 +32,31 @@ def overlap_votes(df: DataFrame, frame: str, obj: str, box: str, threshold: floa
     return pairs.where(common >= threshold * union).groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
 
 
-def merged_ids(nodes: DataFrame, votes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, merged): ids joined by votes get the smallest of their group. Labels spread along the edges and jump to their label's label until none changes."""
-    labels = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct().withColumn("merged", F.col("id"))
-    edges = votes.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(votes.select(F.col("b").alias("id"), F.col("a").alias("other")))
+def _hung(both: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each (u, v) of pairs with v under the least of u and both's neighbours of u; and each u under that least one."""
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v"))
+
+
+def merged_ids(nodes: DataFrame, votes: DataFrame) -> DataFrame:
+    """(id, merged): ids joined by votes get the smallest of their group. Large-star and small-star steps alternate until each id hangs under its smallest."""
+    ids = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct()
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         from ..sources.files import shared_folder
 
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    for _ in range(rounds):
-        low = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("merged").alias("low"))
-        now = labels.join(low, "id", "left").select("id", F.least("merged", "low").alias("next"), "merged")
-        jump = now.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        now = now.join(jump, "next", "left").select("id", F.least("next", "jump").alias("new"), "merged").checkpoint()
-        labels = now.select("id", F.col("new").alias("merged"))
-        if now.where("new < merged").isEmpty():
-            break
-    return labels
+    now = votes.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    while True:
+        # An id is at fault if it has two edges down, or both one down and one up.
+        down = now.groupBy("u").agg(F.count("*").alias("n"))
+        up = now.select(F.col("v").alias("u")).distinct()
+        if down.where("n > 1").select("u").unionByName(down.select("u").join(up, "u", "left_semi")).isEmpty():
+            return ids.join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("merged"))
+        turned = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large, _ = _hung(turned, turned.where("v > u"))
+        small, own = _hung(large, large)
+        now = small.unionByName(own).where("u <> v").distinct().checkpoint()
 
 
 def latest_track(df: DataFrame, keys: list[str], track: str) -> DataFrame:

@@ -236,6 +236,14 @@ def test_merged_ids(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7, 8: 7, 9: 1}
 
 
+def test_merged_ids_of_a_chain(spark):
+    """A long chain of ids in random order is one group."""
+    order = np.random.default_rng(2).permutation(600).tolist()
+    votes = spark.createDataFrame([(min(x), max(x), 1) for x in zip(order, order[1:], strict=False)], "a long, b long, votes long")
+    got = {r.id: r.merged for r in tracks.merged_ids(spark.range(601), votes).collect()}
+    assert got == {i: 0 for i in range(600)} | {600: 600}
+
+
 def test_geometry():
     g = np.random.default_rng(4)
     p = g.normal(size=(20, 3))
