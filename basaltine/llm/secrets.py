@@ -34,7 +34,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+#: Zero-width, so that a refused match takes no part from a later one.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*))")
+#: Where a key may start in a run: a DER sequence or the OpenSSH magic in base64 or hex, first or after a separator.
+_START = re.compile(r"(?:(?<![A-Za-z0-9])|^)(?:M|b3BlbnNzaC1rZXktdjEA|30|6[fF])")
 
 
 def _decode64(run: str) -> bytes | None:
@@ -45,6 +48,18 @@ def _decode64(run: str) -> bytes | None:
         return None
 
 
+def _decoded(run: str) -> bytes | None:
+    """The bytes of a run that starts as a key does; none if a DER head already tells of another length."""
+    if run[0] not in "36":
+        head = _decode64(run[:8]) or b""
+        top = _tlv(head, 0, 1 << 40) if run[0] == "M" and len(head) == 6 else None
+        return None if run[0] == "M" and (top is None or top[2] != len(run.rstrip("=")) * 3 // 4) else _decode64(run)
+    try:
+        return bytes.fromhex(run)
+    except ValueError:
+        return None
+
+
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, first content byte, end) of a DER element that fits before end."""
     if at + 2 > end:
@@ -125,20 +140,14 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     framed = [(m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(_decode64("".join(m[2].split())) or b"")] if "-----BEGIN " in text else []
     out += [(a, 3, e) for a, e in framed]
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run[0] == "M" or run.startswith("b3BlbnNzaC1rZXktdjEA"):  # a DER sequence or the OpenSSH magic
-            raw = _decode64(run)
-        elif run[:2] in ("30", "6f", "6F") and len(run) % 2 == 0:
-            try:
-                raw = bytes.fromhex(run)
-            except ValueError:
-                continue
-        else:
-            continue
-        if raw and is_private_key(raw) and not any(a <= m.start() < e for a, e in framed):
-            out.append((m.start(), 3, m.end()))
+        for x in _START.finditer(m[0]):
+            start, run = m.start() + x.start(), m[0][x.start() :]
+            if len(run) >= 16 and is_private_key(_decoded(run) or b""):
+                if not any(a <= start < e for a, e in framed):
+                    out.append((start, 3, m.end()))
+                break
     if ".ey" in text or "ey" in text and "." in text:
-        out += [(m.start(), 4, m.end()) for m in _JWT.finditer(text) if m[1].startswith("e") and is_signed_token(m[1], m[2])]
+        out += [(m.start(), 4, m.end(3)) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(out)
 
 

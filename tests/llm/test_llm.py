@@ -278,6 +278,19 @@ def test_secrets():
     assert not [x for x in secrets.scan(f"{enc({'typ': 1})}.{enc({'a': 1})}.x M{'A' * 40}") if x[1] > 2]
 
 
+def test_secrets_after_other_words():
+    """Tokens and keys that come right after a word and a separator."""
+    enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    jwt = f"{enc({'alg': 'HS256'})}.{enc({'sub': 1})}.c2lnbmF0dXJl"
+    for before in ("response.", "elements.", "elements.response."):
+        assert [x for x in secrets.scan(before + jwt) if x[1] == 4] == [(len(before), 4, len(before + jwt))]
+    rsa = _der(0x30, _der(2, b"\0"), *(_der(2, bytes([7]) * 20) for _ in range(8)))
+    ec = _der(0x30, _der(2, b"\1"), _der(4, b"k" * 32))
+    for key in (base64.b64encode(rsa).decode(), base64.b64encode(ec).decode(), ec.hex()):
+        for before in ("rsa_key-", "/path/", "/Mail/M-", "x" * 20 + "_"):
+            assert [x for x in secrets.scan(before + key) if x[1] == 3] == [(len(before), 3, len(before + key))]
+
+
 def test_secrets_base_rules():
     f = lambda t: [(secrets.KINDS[k], t[a:e]) for a, k, e in secrets.scan(t)]
     assert f("PassWord = 'abcdefghijkl'") == [("assign", "PassWord = 'abcdefghijkl")]
