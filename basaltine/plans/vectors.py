@@ -30,6 +30,15 @@ def similarity_matrix(t):
     return a.join(b, F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
 
 
+@query()
+def similarity_matrix_whole(t):
+    """Products of the query vectors (ids divisible by 100) with all vectors; the former are sent to the tasks of the latter. A test holds it against brute force."""
+    e = t("embeddings")
+    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return b.join(F.broadcast(a), F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
+
+
 @query("SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.5) AS BIGINT) AS k FROM embeddings GROUP BY label")
 def reduced_counts(t):
     return t("embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("k", graph.reduced_counts(F.col("n")))

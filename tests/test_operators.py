@@ -244,6 +244,16 @@ def test_merged_ids_of_a_chain(spark):
     assert got == {i: 0 for i in range(600)} | {600: 600}
 
 
+def test_similarity_matrix_whole(spark, small):
+    """Every vector stands against every query vector."""
+    from basaltine.plans import QUERIES
+
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    got = {(r.a, r.b): r.similarity for r in QUERIES["similarity_matrix_whole"](spark, small).collect()}
+    assert set(got) == {(a, b) for a in e if a % 100 == 0 for b in e}
+    assert all(abs(v - e[a] @ e[b]) < 2e-6 for (a, b), v in got.items())
+
+
 def test_geometry():
     g = np.random.default_rng(4)
     p = g.normal(size=(20, 3))
