@@ -49,6 +49,13 @@ def union_frames(t):
     return a.union(t("orders").where("o_orderkey < 100").select("o_custkey")).distinct()
 
 
+@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click') UNION SELECT o_custkey FROM orders")
+def union_frames_whole(t):
+    """Distinct union of two frame lists, the second with every order's customer."""
+    a = t("events").where(F.col("event_type").isin("view", "click")).select("user_id")
+    return a.union(t("orders").select("o_custkey")).distinct()
+
+
 @query("SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09")
 def common_names(t):
     l = t("lineitem")
