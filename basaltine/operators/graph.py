@@ -53,22 +53,26 @@ def spanning_forests(edges: DataFrame, scan: str) -> DataFrame:
     return edges.select(scan, "src", "dst", "weight").groupBy(scan).applyInPandas(run, f"{scan} {kind[scan]}, parent {kind['src']}, child {kind['dst']}, weight {kind['weight']}")
 
 
-def propagated(roots: DataFrame, steps: DataFrame, compose, most: int = 100) -> DataFrame:
+def propagated(roots: DataFrame, steps: DataFrame, compose) -> DataFrame:
     """(node, value): values carried from the roots (node, value) along tree edges (parent, child, value) until no node is new.
 
-    One round per level of the tree; each round's frontier is written to the checkpoint folder.
+    One round per level of the tree; each round's frontier is written to the checkpoint folder. A tree has no more levels
+    than edges: more rounds than that are an error, as the edges then hold a cycle.
     """
     from ..sources.files import ensure_checkpoints
 
     ensure_checkpoints(roots.sparkSession)
     done = frontier = roots.select("node", "value")
-    for _ in range(most):
+    most, levels = steps.count(), 0
+    while True:
         step = steps.select(F.col("parent").alias("node"), "child", F.col("value").alias("by"))
         frontier = frontier.join(step, "node").select(F.col("child").alias("node"), compose(F.col("value"), F.col("by")).alias("value")).checkpoint()
         if frontier.isEmpty():
-            break
+            return done
+        levels += 1
+        if levels > most:
+            raise ValueError("the edges hold a cycle")
         done = done.unionByName(frontier)
-    return done
 
 
 def matmul3(a: Column, b: Column) -> Column:

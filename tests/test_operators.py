@@ -254,6 +254,17 @@ def test_similarity_matrix_whole(spark, small):
     assert all(abs(v - e[a] @ e[b]) < 2e-6 for (a, b), v in got.items())
 
 
+def test_propagation_down_a_deep_chain(spark):
+    """To the end of a chain of more than a hundred edges; a cycle is an error."""
+    roots = spark.createDataFrame([(0, 1)], "node long, value long")
+    steps = spark.range(105).selectExpr("id AS parent", "id + 1 AS child", "1L AS value").coalesce(1)
+    got = {r.node: r.value for r in graph.propagated(roots, steps, lambda value, by: value + by).collect()}
+    assert got == {i: i + 1 for i in range(106)}
+    cycle = spark.createDataFrame([(0, 1, 1), (1, 0, 1)], "parent long, child long, value long")
+    with pytest.raises(ValueError):
+        graph.propagated(roots, cycle, lambda value, by: value + by)
+
+
 def test_geometry():
     g = np.random.default_rng(4)
     p = g.normal(size=(20, 3))
