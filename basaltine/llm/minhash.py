@@ -15,7 +15,7 @@ misses all bands with probability (1 - 0.85**6)**40 = 6e-9, at 0.8 5e-6.
    bucket; the others are held against each other in the same way, in bounded
    tasks, until each is done with or alone. The components of the edges are
    families, within which all links lie that share a bucket and agree on the
-   threshold less ``MARGIN``.
+   values of ``_least``.
 3. Families are dealt into tasks of a bounded number of documents and shingles.
    A larger family is cut by size class (a link needs sizes within the threshold
    of each other, so only equal and neighbouring classes meet) and by hash, and
@@ -45,8 +45,8 @@ from .tokens import U64, Words, chunks, mix
 PERMUTATIONS, BANDS, ROWS = 120, 40, 6
 LOOSE = 0.45
 BLOCK_DOCS, BLOCK_SHINGLES = 4000, 4_000_000
-#: Signatures of a linked pair agree on at least the threshold less this, but for a chance of about 1e-6.
-MARGIN = 0.11
+#: Chance at most that signatures of a pair at the threshold agree on less than ``_least``, if their values are independent.
+CHANCE = 1e-6
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "doc_id"])
 
 
+def _least(percent: int) -> int:
+    """Signature values on which a linked pair agrees at least, but for ``CHANCE``: by the binomial tail."""
+    n, p, total = 2 * PERMUTATIONS, percent / 100, 0.0
+    for k in range(n):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total > CHANCE:
+            return k
+    return n
+
+
 def _bounds(percent: int) -> tuple[int, int]:
     """(loose, tight): signature values on which an edge agrees, and on which a member agrees that is done with.
 
@@ -127,7 +137,7 @@ def _bounds(percent: int) -> tuple[int, int]:
     """
     values = 2 * PERMUTATIONS
     loose = math.ceil(LOOSE * values)
-    return loose, loose + values - math.ceil((percent / 100 - MARGIN) * values)
+    return loose, loose + values - _least(percent)
 
 
 def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +205,7 @@ class _Union(dict):
 
 def _confirmed(sets: list[np.ndarray], sig: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets; between the two sides only, if there are two."""
-    n, least, found = len(sets), (percent / 100 - MARGIN) * sig.shape[1], []
+    n, least, found = len(sets), _least(percent), []
     size = np.array([len(s) for s in sets])
     union = _Union({i: i for i in range(n)})
     both = sides.any()

@@ -176,6 +176,15 @@ def test_near_odd_rows(spark, nothing):
     assert sorted(r.doc_id for r in minhash.near_dedup(df.where("doc_id is not null"), 3, 85).collect()) == [2]
 
 
+def test_confirmed_in_the_tail():
+    """A pair at similarity 0.8 whose signatures agree on 163 of 240 values, a chance above 1e-6, is confirmed."""
+    sig = np.zeros((2, 2 * minhash.PERMUTATIONS), np.uint16)
+    sig[1, 163:] = 1
+    sets = [np.arange(90), np.arange(10, 100)]
+    assert minhash._confirmed(sets, sig, np.zeros(2, int), 80) == [(0, 1)]
+    assert (minhash._least(80), minhash._least(85), minhash._least(100)) == (161, 175, 240)
+
+
 def test_minmax_is_unbiased():
     g = np.random.default_rng(0)
     with np.errstate(over="ignore"):
