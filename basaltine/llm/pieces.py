@@ -20,6 +20,7 @@ So the result is that of merging by rank, the library's own algorithm, with
 characters outside the vocabulary as byte pieces. The vocabulary is read from a
 model file on the driver, has a fixed size and travels with the code. Null text
 is empty; empty text has no pieces. A literal U+2581 is a space to the model.
+Rows that repeat a doc_id are encoded each for itself; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import text_of
-from .tokens import U64, chunks, mix, powers
+from .tokens import U64, chunks, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ARRAY_BYTES = 1 << 18
 BATCH_BYTES = 4 << 20
-_BASE = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -138,16 +138,16 @@ class Vocabulary:
         out = np.ones(len(token), bool)
         ask = np.flatnonzero((last >= 0) & (last != self.unknown) & (token != self.unknown))
         if len(ask):
-            keys = (last[ask].astype(np.int64) << 16) | token[ask]
+            keys = (last[ask].astype(np.int64) << 32) | token[ask]
             at = np.minimum(np.searchsorted(self.known_keys, keys), max(0, len(self.known_keys) - 1))
             new = self.known_keys[at] != keys if len(self.known_keys) else np.ones(len(keys), bool)
             if new.any():
                 more = np.unique(keys[new])
-                values = np.array([self.adjacent(k >> 16, k & 0xFFFF) for k in more.tolist()], bool)
+                values = np.array([self.adjacent(k >> 32, k & 0xFFFFFFFF) for k in more.tolist()], bool)
                 if len(self.known_keys) > 4_000_000:
                     self.known_keys, self.known = np.empty(0, np.int64), np.empty(0, bool)
                     more = np.unique(keys)
-                    values = np.array([self.adjacent(k >> 16, k & 0xFFFF) for k in more.tolist()], bool)
+                    values = np.array([self.adjacent(k >> 32, k & 0xFFFFFFFF) for k in more.tolist()], bool)
                 keys_all = np.concatenate([self.known_keys, more])
                 order = np.argsort(keys_all, kind="stable")
                 self.known_keys, self.known = keys_all[order], np.concatenate([self.known, values])[order]
@@ -304,11 +304,11 @@ def encode_batch(v: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.
         first[np.setdiff1d(nxt, begins)] = False
     starts = np.flatnonzero(first)
     ends = np.concatenate([starts[1:], [len(data)]])
-    up, down = powers(_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
-    _, at, back = np.unique(h, return_index=True, return_inverse=True)
+    # Cuts are told apart by their bytes; each distinct one is encoded once.
+    cuts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([starts, [len(data)]]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    distinct = cuts.dictionary_encode()
+    back, at = distinct.indices.to_numpy(), np.empty(len(distinct.dictionary), np.int64)
+    at[back] = np.arange(len(back))
     lens = ends[at] - starts[at]
     ids, sizes, k = [], [], 0
     total = np.concatenate([[0], np.cumsum(lens)])
@@ -349,6 +349,7 @@ def _encode(v: Vocabulary):
                     same = [raw[x:y] == t for x, y, t in zip(offs[:-1].tolist(), offs[1:].tolist(), back, strict=True)]
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets)), lists, pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "round_trip"])
+        give_back()
 
     return run
 

@@ -3,11 +3,14 @@
 Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D``; UTF-8 never
 uses those bytes inside a character, so bytes and code points agree on them.
 All functions work on a bounded chunk of a batch: temporaries are a few dozen
-bytes for every byte of text, whatever the size of the batch.
+bytes for every byte of text, whatever the size of the batch. Hashes choose what
+is compared or counted together; callers that must be exact compare the words.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -16,30 +19,15 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM_BASE = 0xD1342543DE82EF95
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up, down = np.empty(size, U64), np.empty(size, U64)
-        with np.errstate(over="ignore"):
-            for out, b in ((up, base), (down, pow(base, -1, 1 << 64))):
-                out[0], filled, step = 1, 1, b
-                while filled < size:
-                    take = min(filled, size - filled)
-                    out[filled : filled + take] = out[:take] * U64(step)
-                    filled, step = filled + take, step * step % (1 << 64)
-        got = _powers[base] = (up, down)
-    return got
+#: Bits of the first k bytes of a little-endian lane.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_SIZE, _GRAM = U64(0xA0761D6478BD642F), U64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,15 +93,24 @@ class Words:
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(len(offs) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word."""
-        if not len(self.starts):
-            return np.empty(0, U64)
-        up, down = powers(_BASE, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(0xA0761D6478BD642F))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of every word: its bytes, eight at a time, are mixed in one after the other, so no two words collide by their form."""
+        size = self.ends - self.starts
+        h = mix(size.astype(U64) * _SIZE + U64(seed))
+        if not len(h):
+            return h
+        # The eight bytes from each position on, without a copy of them.
+        lanes = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        h = mix(h ^ lanes[self.starts] & _HEAD[np.minimum(size, 8)])
+        at, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(at):
+            h[at] = mix(h[at] ^ lanes[self.starts[at] + k] & _HEAD[np.minimum(size[at] - k, 8)])
+            k += 8
+            at = at[size[at] > k]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            word = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+            h[i] = int.from_bytes(word, "little")
+        return h
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text) of each run of n words of one text, at the run's first word. The hash at position i is that of words i..i+n-1; positions run over all but each text's last n-1 words."""
@@ -130,19 +127,37 @@ class Words:
         short = np.flatnonzero((self.counts > 0) & (self.counts < n))
         if not len(short):
             return self.text[at], grams
-        up, _ = powers(_GRAM_BASE, n + 1)
-        whole = np.array([int((hashes[self.first[i] : self.first[i] + self.counts[i]] * up[: self.counts[i]]).sum(dtype=U64)) for i in short.tolist()], U64)
+        whole = mix(self.counts[short].astype(U64) * _SIZE)
+        for k in range(int(self.counts[short].max())):
+            more = self.counts[short] > k
+            whole[more] = mix(whole[more] ^ hashes[self.first[short[more]] + k])
         text = np.concatenate([self.text[at], short])
         order = np.argsort(text, kind="stable")
-        return text[order], np.concatenate([grams, mix(whole + self.counts[short].astype(U64))])[order]
+        return text[order], np.concatenate([grams, whole])[order]
+
+
+def words_of(words: Words) -> pa.Array:
+    """The words themselves, as bytes."""
+    ends = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words.data[_WORD[words.data]]))])
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n consecutive values."""
-    up, down = powers(_GRAM_BASE, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[: len(hashes) - n + 1]) * down[: len(hashes) - n + 1] + U64(n))
+    """The hash of every n consecutive values: runs of doubled length are joined, then those that make up n."""
+    size, doubled, out, have = 1, hashes, None, 0
+    while True:
+        if n & size:
+            out, have = (doubled, size) if out is None else (joined(out, doubled, have), have + size)
+        if size * 2 > n:
+            return mix(out + U64(n))
+        doubled = joined(doubled, doubled, size)
+        size *= 2
+
+
+def joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``left``, each of ``size`` values, followed by the run of ``right`` that begins after it."""
+    n = max(0, min(len(left), len(right) - size))
+    return mix(left[:n] * _GRAM ^ right[size : size + n])
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -155,5 +170,12 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Free memory that a Python worker holds after a task, so that the next stage finds it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of other systems
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
