@@ -9,7 +9,8 @@ each bin are packed. Two fingerprints agree in a bin by chance once in 2**BITS;
 
 A text of fewer words has its whole sequence as one shingle. Empty, blank or
 null text has the empty set: its fingerprint is all zero digits with a leading
-``-``, like itself (1.0) and unlike all else (0.0).
+``-``, like itself (1.0) and unlike all else (0.0). Rows that repeat a doc_id
+are rows of their own; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import text_of
-from .tokens import U64, Words, chunks, mix, sha256_hex
+from .tokens import U64, Words, chunks, give_back, mix, sha256_hex
 
 BINS, BITS, SHINGLE = 512, 4, 5
 ROUNDS = 24
-BLOCK_CHARS, MOST_BLOCKS = 16_000_000, 65_536
+BLOCK_CHARS = 32_000_000
+_LEAST_ID = -(1 << 63)
 _EMPTY = ~U64(0)
 _orders: list[np.ndarray] = []
 
@@ -139,39 +141,64 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=[c.split()[0] for c in REPORT.split(", ")],
                 )
                 block, text, sketch = blocks[-1], texts[-1], (own[-1], some[-1])
+    give_back()
 
 
-def _block_of(bounds: np.ndarray):
+def _block_of(bounds: np.ndarray, hot: dict[int, int]):
+    """Adds (block, part) to rows (doc_id, tie, ...): blocks are ranges of doc_id; a hot doc_id is a block of its own, cut into parts by the range of its ties."""
+    names, parts = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], U64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, side="right"), pa.int64()), *b.columns], ["block", *b.schema.names])
+            ids, tie = (b.column(k).to_numpy() for k in (0, 1))
+            part = np.zeros(len(ids), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
+                mine = names[at] == ids
+                place = (tie[mine].view(U64) ^ U64(1 << 63)) >> U64(32)
+                part[mine] = (place * parts[at[mine]] >> U64(32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, side="right"), pa.int64()), pa.array(part), *b.columns], ["block", "part", *b.schema.names])
 
     return run
 
 
+def _even_keys(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning deals to it."""
+    found = spark.range(24 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = {r.p: r.id for r in found}
+    return [keys.get(p, p) for p in range(n)]
+
+
 def next_document_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row, of its text with the last third replaced by the next document's start, and how alike they are.
 
-    The next document is the one with the next smaller doc_id (null is smallest; rows with equal doc_id go by text); after the
-    last comes the first. Rows are cut into blocks by quantiles of doc_id and each block gets its predecessor's last row as a
-    guest, so that blocks are independent and only one shuffle moves text.
+    The next document is the one with the next smaller doc_id (null counts as the least long; rows with equal doc_id go by a hash
+    of the text, then by text); after the last comes the first. Rows are cut into blocks of about ``BLOCK_CHARS`` by quantiles of
+    doc_id, rows of one doc_id that would fill more by the range of the hash. Each block gets its predecessor's last row as a
+    guest, so that blocks are independent and only one shuffle moves text. The driver holds two numbers for each block.
     """
-    texts = text_of(docs)
-    ids = texts.select("doc_id")
+    spark = docs.sparkSession
+    texts = text_of(docs).withColumns({"own_id": F.col("doc_id"), "doc_id": F.coalesce("doc_id", F.lit(_LEAST_ID)), "tie": F.xxhash64("text")})
     chars = texts.agg(F.sum(F.length("text")), F.count("*")).first()
     if not chars[1]:
-        return docs.sparkSession.createDataFrame([], REPORT)
-    blocks = int(min(MOST_BLOCKS, max(1, (chars[0] or 0) // BLOCK_CHARS)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 100_000)).first()[0] if blocks > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
-    ends = ids.mapInArrow(_block_of(bounds), "block long, doc_id long").groupBy("block").agg(F.max("doc_id").alias("last")).orderBy("block").collect()
-    # ends has one row for each block that holds any; the first of them follows the last.
-    guests = [(b.block, ends[k - 1].last) for k, b in enumerate(ends)]
-    rows = texts.mapInArrow(_block_of(bounds), "block long, doc_id long, text string")
-    own = rows.select("block", F.lit(False).alias("guest"), "doc_id", "text")
-    wanted = docs.sparkSession.createDataFrame(guests, "target long, last long")
-    sent = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("target", "doc_id").agg(F.max("text").alias("text"))
-    sent = sent.select(F.col("target").alias("block"), F.lit(True).alias("guest"), "doc_id", "text")
-    dealt = own.unionByName(sent).repartition(len(ends), "block").sortWithinPartitions("block", F.col("guest").desc(), "doc_id", "text")
-    return dealt.select("block", "guest", "doc_id", "text").mapInArrow(_compared, REPORT)
+        return spark.createDataFrame([], REPORT)
+    blocks = max(1, (chars[0] or 0) // BLOCK_CHARS)
+    cuts, hot = [], {}
+    if blocks > 1:
+        cuts = texts.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], max(100_000, 16 * blocks))).first()[0]
+        sizes = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).where(F.col("n") > 2 * BLOCK_CHARS)
+        hot = {r.doc_id: -(-r.n // BLOCK_CHARS) for r in sizes.collect()}  # fewer than blocks
+    bounds = np.unique(np.array([*cuts, *hot, *(k + 1 for k in hot)], np.int64))
+    place = "block long, part long, doc_id long, tie long"
+    last = texts.select("doc_id", "tie").mapInArrow(_block_of(bounds, hot), place).groupBy("block", "part").agg(F.max(F.struct("doc_id", "tie")).alias("last"))
+    ends = sorted((r.block, r.part, r.last.doc_id, r.last.tie) for r in last.collect())
+    # ends has a row for each block that holds any; the first of them follows the last.
+    keys = _even_keys(spark, len(ends))
+    table = [(b, p, keys[k], ends[k - 1][2], ends[k - 1][3]) for k, (b, p, *_) in enumerate(ends)]
+    wanted = F.broadcast(spark.createDataFrame(table, "block long, part long, target long, last_id long, last_tie long"))
+    rows = texts.select("doc_id", "tie", "own_id", "text").mapInArrow(_block_of(bounds, hot), f"{place}, own_id long, text string")
+    own = rows.join(wanted, ["block", "part"]).select("target", F.lit(False).alias("guest"), "doc_id", "tie", "own_id", "text")
+    sent = texts.join(wanted, (F.col("doc_id") == F.col("last_id")) & (F.col("tie") == F.col("last_tie"))).groupBy("target").agg(F.max("text").alias("text"))
+    sent = sent.select("target", F.lit(True).alias("guest"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("long").alias("own_id"), "text")
+    dealt = own.unionByName(sent).repartition(len(ends), "target").sortWithinPartitions("target", F.col("guest").desc(), "doc_id", "tie", "text")
+    return dealt.select("target", "guest", "own_id", "text").mapInArrow(_compared, REPORT)
