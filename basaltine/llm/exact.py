@@ -7,8 +7,9 @@ estimates never exceed the number of rows. Those are verified by an exact
 count and their winners (smallest doc_id) are broadcast, so that hot groups are
 decided on the map side; all other digests are grouped by an ordinary shuffle.
 
-Null text counts as empty. A doc_id names one row: rows that repeat both doc_id
-and text get equal values. A null doc_id wins only where a group has no other.
+Null text counts as empty. Rows are told apart, not ids: of rows that repeat both
+doc_id and text the report gives each the same values, and ``exact_dedup`` keeps
+one. A null doc_id wins only where a group has no other.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, text_of
+from .scratch import Scratch, prefilter, row_hash, text_hash, text_of, whole_row
 
 HEAVY = 256
 SPACES = r"[\x20\x09-\x0D]+"
@@ -47,12 +48,16 @@ def misra_gries(size: int):
     return run
 
 
-def heavy_winners(keyed: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of frequent digests of (doc_id, digest), at most 2 * HEAVY rows, with exact counts."""
+def heavy_groups(keyed: DataFrame) -> DataFrame:
+    """(digest) of frequent digests of a table with a column digest: all that hold 1/HEAVY of the rows, 2 * HEAVY at most."""
     total = keyed.count()
     summary = keyed.select("digest").mapInArrow(misra_gries(2 * HEAVY), "digest string, estimate long")
-    names = summary.groupBy("digest").agg(F.sum("estimate").alias("estimate")).where(F.col("estimate") > total / (2 * HEAVY)).select("digest")
-    return keyed.join(F.broadcast(names), "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return summary.groupBy("digest").agg(F.sum("estimate").alias("estimate")).where(F.col("estimate") > total / (2 * HEAVY)).select("digest")
+
+
+def heavy_winners(keyed: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of frequent digests of (doc_id, digest), with exact counts."""
+    return keyed.join(F.broadcast(heavy_groups(keyed)), "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
 def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,11 +78,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with its own columns. Losers of hot groups go before anything is shuffled."""
-    _, winners, groups = _split(docs)
-    twice = groups.where("group_size > 1").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    won = winners.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    keyed = docs.withColumn("__digest", digest())
-    mapped = keyed.join(F.broadcast(won), "__digest", "left").where(F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep"))).drop("__keep")
-    rest = mapped.join(twice.hint("merge"), "__digest", "left").where(F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return rest.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that stay, one of each group of equal texts, with docs' own columns, whatever their names.
+
+    It is the row with the smallest doc_id (null last), then with the least hash of all its columns. Only rows whose text may be
+    among the repeated ones are shuffled, and of frequent texts only the winner.
+    """
+    scratch = Scratch(docs.sparkSession)
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("hash"))
+    keyed = scratch.write(docs.select(digest().alias("digest"), text_hash().alias("fp"), place.alias("place")), "digests")
+    winners = scratch.write(keyed.join(F.broadcast(heavy_groups(keyed)), "digest").groupBy("digest").agg(F.min("place").alias("first")), "winners")
+    heavy = F.broadcast(winners)
+    light = keyed.join(heavy, "digest", "left_anti")
+    twice = light.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    texts = light.join(twice, "digest", "left_semi").unionByName(keyed.join(heavy, "digest", "left_semi")).select("fp").distinct()
+    texts = scratch.write(texts, "repeated")
+    repeated = prefilter(texts, texts.count())
+    rows = docs.select(whole_row(docs), digest().alias("digest"), text_hash().alias("fp"), place.alias("place")).withColumn("again", repeated(F.col("fp")))
+    once = rows.where("not again").select("row")
+    again = rows.where("again").join(heavy, "digest", "left").where("first is null or place = first")
+    kept = again.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("place"))).where("n = 1").select("row")
+    return once.unionByName(kept).select("row.*")

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and safe column handling."""
+"""Intermediate tables in the shared folder, safe column handling, and a bounded prefilter for joins that would move texts."""
 
 from __future__ import annotations
 
@@ -6,15 +6,23 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the largest prefilter: 32 MB.
+MOST_BITS = 1 << 28
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset in a local session (tests), one of our own."""
     got = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if got is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basaltine-"))
         got = spark.sparkContext.getCheckpointDir()
     return got.rstrip("/")
@@ -45,6 +53,44 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct named ``row``: names of docs can't clash with a plan's own."""
+    return F.struct(*(F.col(_quoted(c)).alias(c) for c in docs.columns)).alias("row")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns, maps left out."""
+    return F.xxhash64(*(F.col(_quoted(c)) for c, kind in docs.dtypes if "map<" not in kind))
+
+
+def text_hash(column: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def prefilter(keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test of a long column that holds for all values of keys' only column, and for few others.
+
+    A bitmap of at least 16 bits for each of the n keys, 32 MB at most: beyond that it lets more pass, never less.
+    So rows that surely have no partner need not be shuffled; those that pass are joined exactly.
+    """
+    bits = min(MOST_BITS, 1 << max(16, (16 * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(keys.columns[0]), F.lit(3)), F.lit(bits))
+    marks = keys.select(place.alias("h")).selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, cast(h & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[marks["w"].to_numpy()] = marks["b"].to_numpy()
+
+    @F.arrow_udf("boolean")
+    def passes(h: pa.Array) -> pa.Array:
+        at = h.to_numpy(zero_copy_only=False)
+        return pa.array((held[at >> 6] >> (at & 63)) & 1 != 0)
+
+    return lambda key: passes(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits)))
+
+
 def text_of(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, text) alone, null text as empty: other columns, whatever their names, stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
