@@ -2,19 +2,25 @@
 
 Sources in code-point order, null last, weigh 1, 2, 3, repeating. They share
 the words of all documents by weight; no target exceeds ``CAP`` times its
-source's words, and the excess goes to the others. Every document of a source
-is expected target / source_size times. Documents stand in line by class of
-size, chunk, size and doc_id; the running sum of expected copies plus one
-offset per source crosses a number of integers at each document, and that many
-copies are taken: the floor or the ceiling of the expectation, so at most CAP.
-
-The running sum is two-level: a table of chunks (of about ``CHUNK`` documents,
-dealt by a hash of doc_id, so that a hot source or a hot size is many chunks)
-is summed per source, then each chunk numbers its own rows.
+source's words, and the excess goes to the others, in rounds of one aggregate
+until no target is above. Every document of a source is expected
+target / source_size times. Documents stand in line by class of size, chunk,
+size, doc_id and hashes of the text and the row; the running sum of expected
+copies plus one offset per source crosses a number of integers at each document,
+and that many copies are taken: the floor or the ceiling of the expectation, so
+at most CAP.
+
+The running sum is two-level: a table of chunks is summed per source, then each
+chunk numbers its own rows. A source of more than ``CHUNK`` documents is dealt
+into chunks of about as many by a hash of doc_id, so a hot source or a hot size
+is many chunks and the table has at most a chunk for each source and class of
+size and one for each ``CHUNK`` rows and class. Ranks of sources, which may be
+many, are two-level as well.
 
 Null or empty text has size 0 and follows the same rule; a null doc_id sorts
 first in chunk 0; a source without words has target 0; rows with equal doc_id
-are separate rows in line. All is a function of the rows alone: reruns agree.
+are separate rows in line, and where they are equal throughout they are
+interchangeable. All is a function of the rows alone: reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, row_hash, text_hash, whole_row
 
 CAP = 3
 CHUNK = 8192
@@ -33,76 +39,80 @@ def words_in(column: str = "text"):
     return F.coalesce(F.regexp_count(F.col(column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame) -> DataFrame:
-    """source, source_size -> also position, weight and target, by filling up to the caps in order of cap per weight."""
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sources.withColumn("position", F.row_number().over(w)).withColumn("weight", (F.col("position") - 1) % 3 + 1)
-    line = Window.orderBy(F.col("source_size").cast("double") / F.col("weight"), "position")
-    everything = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumns(
-        {
-            "left": F.sum("source_size").over(everything) - CAP * F.coalesce(F.sum("source_size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "weights": F.sum("weight").over(line.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    s = s.withColumn("level", F.col("left").cast("double") / F.col("weights"))
-    s = s.withColumn("full", CAP * F.col("source_size").cast("double") <= F.col("weight") * F.col("level"))
-    s = s.withColumn("line", F.row_number().over(line))
-    s = s.withColumn("share", F.min(F.when(~F.col("full"), F.struct("line", "level"))).over(everything))
-    target = F.when(F.col("full"), CAP * F.col("source_size").cast("double")).otherwise(F.col("weight") * F.col("share.level"))
-    return s.select("source", "source_size", "position", "weight", target.alias("target"))
+def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources with their position from 1 in code-point order, null last: ranges of sources are counted, then numbered each for itself."""
+    order = F.col("source").asc_nulls_last()
+    parts = scratch.write(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.withColumn("own", own).join(F.broadcast(before), "part").withColumn("position", (F.col("before") + F.col("own")).cast("long")).drop("part", "before", "own")
+
+
+def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, n, source_size) -> also position, weight and target. Each round shares what is left by weight and fills the sources that it would lift above their cap."""
+    s = scratch.write(ranked(sources, scratch).withColumn("weight", (F.col("position") - 1) % 3 + 1), "sources")
+    size = F.col("source_size")
+    words = s.agg(F.sum(size)).first()[0] or 0
+    level, filled = 0.0, -1
+    while True:
+        # Sources once filled stay so: the level never falls.
+        full = F.lit(False) if filled < 0 else CAP * size.cast("double") <= F.col("weight") * F.lit(level)
+        r = s.agg(F.count_if(full).alias("n"), F.sum(F.when(full, size)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
+        if r.n == filled or not r.weights:
+            return s.withColumn("target", F.when(full, CAP * size.cast("double")).otherwise(F.col("weight") * F.lit(level)))
+        filled, level = r.n, float(words - CAP * (r.held or 0)) / float(r.weights)
 
 
 def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """All columns of docs, with __size, __source_size, __target and __copies."""
+    """(row, doc_id, size, source_size, target, copies): row holds all columns of docs, whatever their names."""
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.withColumn("__size", words_in())
-    key = {
-        "__class": F.length(F.bin("__size")),
-        "__place": F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(2147483647)) * 48271, F.lit(2147483647)),
-    }
-    narrow = scratch.write(keyed.withColumns(key).groupBy(F.col("source").alias("source"), "__class", "__place").agg(F.count("*").alias("n"), F.sum("__size").alias("s")), "sizes")
-    total = narrow.agg(F.sum("n")).first()[0] or 0
-    dealt = F.col("__place") % F.lit(max(1, -(-total // CHUNK)))
-    chunks = narrow.groupBy("source", "__class", dealt.alias("__chunk")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    line = Window.partitionBy("source").orderBy("__class", "__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("__before", F.coalesce(F.sum("n").over(line), F.lit(0)))
-    of = targets(chunks.groupBy("source").agg(F.sum("s").alias("source_size")))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in().alias("size"), text_hash().alias("text_hash"), row_hash(docs).alias("row_hash"))
+    keyed = keyed.withColumns(
+        {"class": F.length(F.bin("size")), "place": F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2147483647)) * 48271, F.lit(2147483647))}
+    )
+    narrow = scratch.write(keyed.groupBy("source", "class", "place").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "sizes")
+    of = scratch.write(targets(narrow.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("source_size")), scratch), "targets")
+    hot = of.where(F.col("n") > CHUNK).select(F.col("source").alias("hot"), F.ceil(F.col("n") / F.lit(float(CHUNK))).cast("long").alias("chunks"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(hot, F.col("source").eqNullSafe(F.col("hot")), "left").withColumn("chunk", F.coalesce(F.col("place") % F.col("chunks"), F.lit(0))).drop("hot", "chunks", "place")
+
+    chunks = dealt(narrow).groupBy("source", "class", "chunk").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("source").orderBy("class", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0)))
     of = of.withColumns(
         {
-            "__rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
-            "__offset": (F.pmod((F.col("position") + seed) * 48271, F.lit(9973)) + 0.5) / 9973.0,
+            "rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
+            "offset": (F.pmod((F.col("position") + seed) * 48271, F.lit(9973)) + 0.5) / 9973.0,
         }
-    )
-    chunks = chunks.alias("c").join(of.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    chunks = chunks.select(F.col("c.source").alias("__source"), "__class", "__chunk", "__before", "__rate", "__offset", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    chunks = scratch.write(chunks, "chunks")
-    keyed = keyed.withColumns(key).withColumn("__chunk", dealt).drop("__place")
-    own = Window.partitionBy("source", "__class", "__chunk").orderBy("__size", "doc_id")
-    keyed = keyed.withColumn("__row", F.row_number().over(own)).alias("d").join(
-        chunks.alias("c"), F.col("d.source").eqNullSafe(F.col("c.__source")) & (F.col("d.__class") == F.col("c.__class")) & (F.col("d.__chunk") == F.col("c.__chunk"))
-    )
-    last = F.col("__before") + F.col("__row")
-    copies = F.floor(F.col("__rate") * last + F.col("__offset")) - F.floor(F.col("__rate") * (last - 1) + F.col("__offset"))
-    return keyed.select(*(F.col(f"d.`{c}`") for c in docs.columns), "__size", "__source_size", "__target", copies.cast("long").alias("__copies"))
+    ).withColumnRenamed("source", "of")
+    chunks = chunks.join(of, F.col("source").eqNullSafe(F.col("of")))
+    chunks = scratch.write(chunks.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("chunk").alias("c_chunk"), "before", "rate", "offset", "source_size", "target"), "chunks")
+    own = Window.partitionBy("source", "class", "chunk").orderBy("size", "doc_id", "text_hash", "row_hash")
+    numbered = dealt(keyed).withColumn("n", F.row_number().over(own))
+    numbered = numbered.join(chunks, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("chunk") == F.col("c_chunk")))
+    last = F.col("before") + F.col("n")
+    copies = F.floor(F.col("rate") * last + F.col("offset")) - F.floor(F.col("rate") * (last - 1) + F.col("offset"))
+    return numbered.select("row", "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
     m = mix_sources(docs.select("doc_id", "source", "text"))
-    return m.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with docs' own columns."""
-    m = mix_sources(docs).where("__copies > 0")
-    return m.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    m = mix_sources(docs).where("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def _sql(words: str) -> str:
     return f"""
 WITH sized AS (SELECT doc_id, source, {words} AS size, length(bin({words})) AS class FROM documents),
-placed AS (SELECT *, ((coalesce(doc_id, 0) % 2147483647) * 48271) % 2147483647 % (SELECT greatest(1, CAST(ceil(count(*) / {CHUNK}.0) AS BIGINT)) FROM documents) AS chunk FROM sized),
+placed AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY source) > {CHUNK} THEN ((coalesce(doc_id, 0) % 2147483647) * 48271) % 2147483647 % CAST(ceil(count(*) OVER (PARTITION BY source) / {CHUNK}.0) AS BIGINT) ELSE 0 END AS chunk FROM sized),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS position FROM sized GROUP BY source),
 w AS (SELECT *, (position - 1) % 3 + 1 AS weight FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, position) AS line FROM w),
