@@ -169,11 +169,46 @@ def test_near_pairs_among_templates(spark, block, monkeypatch):
 
 
 def test_near_odd_rows(spark, nothing):
+    """Rows without doc_id, rows that repeat one, with equal and with other texts; columns with the plan's own names."""
     assert minhash.near_groups(nothing).count() == 0
-    df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "A B c d")], "doc_id long, text string")
+    rows = [(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "q r s t"), (2, "A B c d"), (7, None), (7, " "), (9, "q r s t"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_groups(df).collect())
-    assert got[(4, 2, False)] == 2 and got[(2, 2, True)] == 1
-    assert sorted(r.doc_id for r in minhash.near_dedup(df.where("doc_id is not null"), 3, 85).collect()) == [2]
+    assert got == Counter({(None, None, True): 2, (4, 2, False): 2, (4, 4, True): 2, (2, 2, True): 1, (7, 7, True): 2, (9, 4, False): 1})
+    clash = df.withColumns({"node": F.lit(1), "row": F.lit("r"), "fp": F.lit(None).cast("string"), "stays": F.lit(0), "asked": F.lit(1), "hash": F.lit(2), "__gone": F.lit(3)})
+    out = minhash.near_dedup(clash, 3, 85)
+    assert out.columns == clash.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept == Counter({(None, "a b c d"): 2, (4, "q r s t"): 1, (2, "A B c d"): 1, (7, None): 1, (7, " "): 1, (4, None): 1})
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    t = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return t, t.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n, library):
+    x, y = thue_morse(n)
+    w = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{x} {w}"), (2, f"{y} {w}"), (3, f"{y} {w}"), (4, f"{x} b c"), (5, f"{y} b c"), (6, x), (7, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df).collect()} == {1: 0, 2: 0, 3: 50, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df).collect()} == {i: g[1] for i, g in brute_groups(rows, 3, 85).items()}
+    assert {r.doc_id: r.log_score for r in lm_scores.lm_scores(df.where("doc_id > 5")).collect()} == pytest.approx({6: math.log(0.25), 7: math.log(0.25)})
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(df).collect()}
+    assert prints[2] == prints[3] and prints[6] != prints[7] and prints[4] != prints[5]
+    got = {r.doc_id: (r.piece_ids, r.round_trip) for r in pieces.encode(df).collect()}
+    assert got == {i: (library.encode(t), True) for i, t in rows}
+
+
+def test_exact_sets():
+    """Sets told apart by words, with short, empty and repeated texts."""
+    texts = ["a b c d", "A b  c d", "a b", "b a", "a b", "", "a b c d e", "x x x x"]
+    got = [frozenset(s.tolist()) for s in minhash.exact_sets(pa.array(texts), 3)]
+    assert got[0] == got[1] and got[2] == got[4] != got[3] and got[5] == frozenset()
+    assert got[0] < got[6] and [len(g) for g in got] == [2, 2, 1, 1, 1, 0, 3, 1] and not got[2] & got[0]
 
 
 def test_confirmed_in_the_tail():
@@ -181,7 +216,7 @@ def test_confirmed_in_the_tail():
     sig = np.zeros((2, 2 * minhash.PERMUTATIONS), np.uint16)
     sig[1, 163:] = 1
     sets = [np.arange(90), np.arange(10, 100)]
-    assert minhash._confirmed(sets, sig, np.zeros(2, int), 80) == [(0, 1)]
+    assert list(minhash._confirmed(sets, sig, np.zeros(2, int), 80)) == [(0, 1)]
     assert (minhash._least(80), minhash._least(85), minhash._least(100)) == (161, 175, 240)
 
 
@@ -228,6 +263,39 @@ def test_mixing_cap_and_empty(spark, nothing):
     assert abs(sum(r.taken for r in big) - big[0].target) <= 4
 
 
+def test_mixing_odd_rows(spark):
+    """Ties don't depend on the order of rows; columns with the plan's own names stay."""
+    rows = [(1, " ".join(f"{c}{i}" for c in "ab"), f"s{i % 2}", i, "q") for i in range(60)] + [(None, None, None, 1, "q"), (2, "", None, 1, "q")]
+    names = "doc_id long, text string, source string, size int, `row` string"
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, names).repartition(3).withColumns({"__size": F.lit(9), "class": F.lit("c"), "chunk": F.lit(1)})
+        out = mixing.mix(df)
+        assert out.columns == df.columns
+        got.append(Counter(tuple(r) for r in out.collect()))
+    assert got[0] == got[1] and sum(got[0].values())
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Caps are filled in rounds; against the direct rule."""
+    g = random.Random(4)
+    sizes = {f"s{i:03}": g.choice([1, 5, 50, 3000]) for i in range(120)}
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    target, free, total = {}, set(sizes), sum(sizes.values())
+    while True:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if 3 * sizes[s] <= weight[s] * level}
+        if not over:
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        free -= over
+    target |= {s: weight[s] * level for s in free}
+    assert {r.source_size: None for r in mixing.mix_report(df).collect()}.keys() == set(sizes.values())
+    got = {list(sizes)[r.doc_id]: r.target for r in mixing.mix_report(df).collect()}
+    assert got == pytest.approx(target)
+
+
 # 4
 
 
@@ -241,11 +309,19 @@ def test_exact(docs, monkeypatch):
         assert exact.exact_dedup(docs).columns == docs.columns
 
 
-def test_exact_odd_rows(spark, nothing):
-    assert exact.exact_groups(nothing).count() == 0
-    df = spark.createDataFrame([(None, "a"), (3, "a"), (3, "a"), (1, None), (2, "")], "doc_id long, text string")
+def test_exact_odd_rows(spark, nothing, monkeypatch):
+    assert exact.exact_groups(nothing).count() == 0 and exact.exact_dedup(nothing).count() == 0
+    rows = [(None, "a"), (3, "a"), (3, "a"), (1, None), (2, ""), (5, "b  c"), (5, "b c"), (None, "n"), (None, "n"), (6, "u"), (6, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(df).collect())
-    assert got == Counter({(None, 3, 3, False): 1, (3, 3, 3, True): 2, (1, 1, 2, True): 1, (2, 1, 2, False): 1})
+    assert got == Counter({(None, 3, 3, False): 1, (3, 3, 3, True): 2, (1, 1, 2, True): 1, (2, 1, 2, False): 1, (5, 5, 2, True): 2, (None, None, 2, True): 2, (6, 6, 1, True): 2})
+    clash = df.withColumns({c: F.lit(c) for c in ("digest", "__digest", "place", "first", "row", "again", "n", "keep_id")})
+    for heavy in (256, 2):
+        monkeypatch.setattr(exact, "HEAVY", heavy)
+        out = exact.exact_dedup(clash)
+        kept = Counter((r.doc_id, " ".join((r.text or "").split()), r.digest, r.row, r.n) for r in out.collect())
+        assert out.columns == clash.columns
+        assert kept == Counter({(i, t, "digest", "row", "n"): 1 for i, t in [(3, "a"), (1, ""), (5, "b c"), (None, "n"), (6, "u"), (6, "v")]})
 
 
 def test_misra_gries():
@@ -348,20 +424,56 @@ def test_lm_scores(docs, rows, nothing, spark, monkeypatch):
 # 7
 
 
-def test_kneser_ney_sums_to_one(spark):
+def brute_kneser_ney(texts, letters):
+    """p(text) by dictionaries: counts, continuation counts, three discounts an order, interpolation; characters outside letters are one."""
+    code = lambda c: c if c in letters else "?"
+    grams = lambda t: [tuple(([None] * 3 + [code(c) for c in t])[i : i + 4]) for i in range(len(t))]
+    counts = {4: Counter(x for t in texts for x in grams(t))}
+    for o in (3, 2, 1):
+        counts[o] = Counter(x[1:] for x in counts[o + 1])
+    discount, context = {}, {}
+    for o, table in counts.items():
+        of = Counter(table.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else None
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * of[k + 1] / of[k] if y is not None and of[k] and of[k + 1] else 0.5
+            discount[o, k] = min(max(d, 0.05), k - 0.05)
+        for x, n in table.items():
+            c = context.setdefault((o, x[:-1]), [0, 0.0])
+            c[0] += n
+            c[1] += discount[o, min(n, 3)]
+
+    def p(o, x):
+        if o == 0:
+            return 1 / (len(letters) + 1)
+        lower = p(o - 1, x[1:])
+        if (o, x[:-1]) not in context:
+            return lower
+        total, cut = context[o, x[:-1]]
+        n = counts[o][x]
+        return (max(0.0, n - discount[o, min(n, 3)]) / total if n else 0.0) + cut / total * lower
+
+    return lambda t: -sum(math.log(p(4, x)) for x in grams(t))
+
+
+def test_kneser_ney_by_brute_force(spark, monkeypatch):
+    """Three alphabets, one of them the empty language's; texts longer than a part."""
+    monkeypatch.setattr(quality, "PART_BYTES", 64)
     g = random.Random(5)
-    texts = ["".join(g.choices("abc ", k=200)) for _ in range(40)]
-    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kinds = {"en": "abc ", "ru": "\u0430\u0431\u0432\u0433 ", "": "\u4e00\u4e8c\u4e09 a"}
+    rows = [(i, "".join(g.choices(kinds[lang], weights=range(1, len(kinds[lang]) + 1), k=g.randint(1, 150))), lang) for i in range(240) for lang in [list(kinds)[i % 3]]]
+    d = spark.createDataFrame([*rows, (1000, None, None)], "doc_id long, text string, lang string")
     labels = d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     m = quality.train(d, labels)
-    codes = [ord(c) + 1 for c in "abc "]
-    context = "ab"
-    p = 0.0
-    base = m.nll(*tokens.buffers(pa.array([context])), m.index(["en"]))[1][0]
-    for c in "abc ":
-        p += math.exp(base - m.nll(*tokens.buffers(pa.array([context + c])), m.index(["en"]))[1][0])
-    unseen = math.exp(base - m.nll(*tokens.buffers(pa.array([context + "Z"])), m.index(["en"]))[1][0])
-    assert abs(p + unseen * (512 - len(codes)) - 1) < 1e-6
+    half = {r.doc_id for r in labels.where(quality._half() < 500_000).collect()}
+    trained = {lang: [t for i, t, x in rows if x == lang and i in half] for lang in kinds}
+    letters = {c for ts in trained.values() for t in ts for c in t}
+    assert m.langs == ["", "*", "en", "ru"] and len(m.letters) == len(letters)
+    asked = ["abcab", "\u0430\u0431 \u0430\u0432Z", "\u4e00\u4e8c" * 90, "", "x"]
+    for lang in ("", "en", "ru", "xx"):
+        want = brute_kneser_ney(trained.get(lang) or sum(trained.values(), []), letters)
+        n, got = m.nll(pa.array(asked), m.index(pa.array([lang] * len(asked))))
+        assert n.tolist() == [len(t) for t in asked] and got.tolist() == pytest.approx([want(t) for t in asked], rel=1e-9)
 
 
 def test_quality(spark, small, nothing):
@@ -373,7 +485,10 @@ def test_quality(spark, small, nothing):
     clash = docs.withColumn("threshold", F.lit(1)).withColumn("nll", F.lit("x"))
     out = quality.quality_filter(clash, labels)
     assert out.columns == clash.columns and out.count() == quality.classify(docs, labels).where("kept").count()
-    assert quality.classify(nothing, labels.limit(0)).count() == 0
+    assert quality.classify(nothing, labels.limit(0)).count() == 0 and quality.quality_filter(nothing, labels.limit(0)).count() == 0
+    blank = docs.withColumn("lang", F.lit(""))
+    judged = quality.classify(blank, labels).join(labels, "doc_id").where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert judged < 0.5
     odd = spark.createDataFrame([(10**9, None, None), (10**9 + 1, "", "xx"), (None, "the and", "en")], "doc_id long, text string, lang string")
     both = docs.select("doc_id", "text", "lang").unionByName(odd)
     r = {x.doc_id: x.kept for x in quality.classify(both, labels).where("doc_id is null or doc_id >= 1000000000").collect()}
