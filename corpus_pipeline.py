@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept and is written as Parquet before the next reads it. All but the last
 return the columns of documents. Mixing repeats rows: from there on a doc_id
 may stand several times.
+
+Rows with null or empty text pass the first stage, are one group of copies in the
+second (null and empty are equal), are never near-copies and count no words in the
+mix. Rows without doc_id, or that repeat one, are judged by their texts alone.
+Wholly equal rows are copies. An empty table gives an empty table, and columns
+that documents has besides, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -59,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(docs, f"stage-{k}")
+            scratch.drop(f"stage-{k - 1}")
     return docs
