@@ -37,7 +37,7 @@ from .tokens import U64, chunks, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ARRAY_BYTES = 1 << 18
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -349,7 +349,7 @@ def _encode(v: Vocabulary):
                     same = [raw[x:y] == t for x, y, t in zip(offs[:-1].tolist(), offs[1:].tolist(), back, strict=True)]
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets)), lists, pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "round_trip"])
-        give_back()
+                give_back()
 
     return run
 
