@@ -1,45 +1,59 @@
-"""Stupid-backoff scores of documents by joins with n-gram counts.
+"""Stupid-backoff scores of documents by joins with n-gram count tables.
 
-Bigram and unigram counts are taken over all documents, and each document is
-scored without its own occurrences (else every n-gram would have been seen):
+Counts of one, two and three words are taken over all documents, and each
+document is scored without its own occurrences (else every n-gram would have
+been seen). With c for a count less the document's own and N for the number of
+words of all documents:
 
-    S(w | v) = (c(vw) - own(vw)) / (c(v) - own(v))     if the numerator is positive
-             = ALPHA * max(c(w) - own(w), 1/2) / N      otherwise
+    S(w | u v) = c(uvw) / c(uv)            if c(uvw) > 0
+               = ALPHA * S(w | v)          otherwise
+    S(w | v)   = c(vw) / c(v)              if c(vw) > 0
+               = ALPHA * S(w)              otherwise
+    S(w)       = max(c(w), 1/2) / N
 
-with S(w) = max(c(w) - own(w), 1/2) / N for the first word, N the number of
-words of all documents. A document's score is the sum of the natural logs.
+A document's ``log_sum`` is the sum of the natural logs over its words,
+``log_score`` that sum for each word.
 
 The relations are packed, as an n-gram for each row would not fit the disk:
 
-* documents are dealt into blocks of about ``BLOCK_CHARS`` by a hash of doc_id;
-* a block's exploded n-grams are (block, part, sorted distinct 64-bit hashes,
-  counts): parts are ranges of the hash, so a frequent n-gram is one entry for
-  each block, not one for each occurrence;
-* grouped by part, the entries are summed: that is the count table, partitioned
-  by hash; joined back on the hash, each block's entry gets its totals;
+* documents are dealt into blocks of about ``BLOCK_CHARS``; a block's exploded
+  n-grams are rows (block, part, sorted distinct 64-bit hashes, counts), parts
+  being ``FANOUT`` ranges of the hash. So a frequent n-gram is one entry for each
+  block, not one for each occurrence;
+* lists of up to ``FANOUT`` blocks meet by part and are added up. Of more blocks
+  the sums go on, each cut into ``FANOUT`` finer parts, until one list for each
+  part is left: that is the count table, partitioned by hash. The totals go back
+  the same way and are joined to each block's entries. Every list has about a
+  block's size, whatever the level, and levels grow as the logarithm of the input;
 * grouped by block, texts and totals meet, own counts are taken out and each
   document is summed.
 
+A run of three words can stand in another document only if both its pairs do. So
+pairs are counted first, and triples only where both pairs occur elsewhere: none
+that counts is left out.
+
 Words are runs outside white space, unchanged. Null or empty text has no words
-and scores 0. Rows that repeat a doc_id are documents of their own.
+and scores 0. Rows that repeat a doc_id are documents of their own, with or
+without a doc_id; very long texts are blocks of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, text_of
-from .tokens import U64, Words, chunks, gram_hashes, mix
+from .tokens import U64, Words, chunks, give_back, gram_hashes, mix
 
 ALPHA = 0.4
-BLOCK_CHARS = 12_000_000
-PART_GRAMS = 1_500_000
+BLOCK_CHARS = 8_000_000
+FANOUT = 128
 _UNI = U64(0x5851F42D4C957F2D)
 
 
@@ -93,29 +107,65 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]).astype(U64))
 
 
-def _exploded(parts: int):
-    def run(group: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            keys, counts = _counts(group["text"])
-        edges = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], U64)) if parts > 1 else np.empty(0, np.int64)
-        cuts = [0, *edges.tolist(), len(keys)]
-        block = group["block"][0].as_py()
-        rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.table(
-            [pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int64()), pa.array([_pack(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([_squeeze(counts[a:b]) for _, a, b in rows], pa.binary())],
-            names=["block", "part", "grams", "counts"],
-        )
+LISTS = "node long, part long, grams binary, counts binary"
+TOTALS = "node long, part long, totals binary"
+
+
+def _listed(node: int, first: int, parts: int, most: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Rows of a list cut into ``parts`` parts from ``first`` on; ``most`` parts make up all hashes."""
+    edges = np.searchsorted(keys, np.array([((first + k) << 64) // most for k in range(1, parts)], U64)) if parts > 1 else np.empty(0, np.int64)
+    cuts = [0, *edges.tolist(), len(keys)]
+    rows = [(first + k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    columns = [[node] * len(rows), [k for k, _, _ in rows], [_pack(keys[a:b]) for _, a, b in rows], [_squeeze(counts[a:b]) for _, a, b in rows]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "part", "grams", "counts"])
+
+
+def _sum(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(each row's keys, the keys of all, their counts)."""
+    keys = [_unpack(x) for x in table["grams"].to_pylist()]
+    return keys, *_merged([(np.empty(0, U64), np.empty(0, np.int64)), *zip(keys, map(_unsqueeze, table["counts"].to_pylist()), strict=True)])
+
+
+def _replies(table: pa.Table, keys: list[np.ndarray], of: np.ndarray, total: np.ndarray) -> pa.Table:
+    totals = pa.array([_squeeze(total[np.searchsorted(of, k)]) for k in keys], pa.binary())
+    give_back()
+    return pa.table([table["node"].combine_chunks(), table["part"].combine_chunks(), totals], names=["node", "part", "totals"])
+
+
+def _up(parts: int, most: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, counts = _sum(table)
+        return _listed(table["node"][0].as_py() // parts, table["part"][0].as_py() * parts, parts, most, keys, counts)
 
     return run
 
 
-def _totals(group: pa.Table) -> pa.Table:
-    """The count table of one part, joined back to each block's entry."""
-    keys = [_unpack(x) for x in group["grams"].to_pylist()]
-    counts = [_unsqueeze(x) for x in group["counts"].to_pylist()]
-    table, total = _merged(list(zip(keys, counts, strict=True)))
-    joined = [total[np.searchsorted(table, k)] for k in keys]
-    return pa.table([group["block"].combine_chunks(), group["part"].combine_chunks(), pa.array([_squeeze(t) for t in joined], pa.binary())], names=["block", "part", "totals"])
+def _top(table: pa.Table) -> pa.Table:
+    """The count table of one part, joined back to each list."""
+    return _replies(table, *_sum(table))
+
+
+def _down(lists: pa.Table, above: pa.Table) -> pa.Table:
+    keys, of, _ = _sum(lists)
+    got = [_unsqueeze(x) for x in above.sort_by("part")["totals"].to_pylist()]
+    return _replies(lists, keys, of, np.concatenate(got) if got else np.empty(0, np.int64))
+
+
+def totals_of(lists: DataFrame, blocks: int, scratch: Scratch, name: str) -> DataFrame:
+    """(node, part, totals): for each entry of each list its count in all of them."""
+    levels, nodes, most = [lists if blocks <= FANOUT else scratch.write(lists, f"{name}-0", large=True)], blocks, FANOUT
+    over = F.floor(F.col("node") / FANOUT).cast("long")
+    while nodes > FANOUT:
+        nodes, most = -(-nodes // FANOUT), most * FANOUT
+        up = levels[-1].groupBy(over.alias("over"), "part").applyInArrow(_up(FANOUT, most), LISTS)
+        levels.append(scratch.write(up, f"{name}-{len(levels)}", large=True))
+    totals = scratch.write(levels[-1].groupBy("part").applyInArrow(_top, TOTALS), f"{name}-totals-{len(levels)}", large=True)
+    for k in range(len(levels) - 2, -1, -1):
+        mine = levels[k].groupBy(over.alias("over"), "part")
+        above = totals.groupBy("node", F.floor(F.col("part") / FANOUT).cast("long").alias("below"))
+        totals = scratch.write(mine.cogroup(above).applyInArrow(_down, TOTALS), f"{name}-totals-{k + 1}", large=True)
+        scratch.drop(f"{name}-{k + 1}", f"{name}-totals-{k + 2}")
+    return totals
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
@@ -128,9 +178,6 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.int64)
 
 
-SCORES = "doc_id long, n_words long, log_score double"
-
-
 def _own(text: np.ndarray, h: np.ndarray) -> np.ndarray:
     """How often a text has each of its n-grams."""
     order = np.lexsort((h, text))
@@ -142,42 +189,101 @@ def _own(text: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs_counted(parts: int):
+    """A block's lists of one and two words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            out = _listed(group["block"][0].as_py(), 0, parts, parts, *_counts(group["text"]))
+        give_back()
+        return out
+
+    return run
+
+
+class _Chunk:
+    """Words of some documents with what others have of them: ``uni`` of each word, ``bi`` of each pair by its second word, and the triples (hash, place of the third word) whose pairs both occur elsewhere."""
+
+    def __init__(self, words: Words, get: Callable[[np.ndarray], np.ndarray]):
+        uni, second, bi = _grams(words)
+        self.text, self.counts, self.second = words.text, words.counts, second
+        self.uni = get(uni) - _own(words.text, uni)
+        self.bi = np.zeros(len(words.text), np.int64)
+        self.bi[second] = get(bi) - _own(words.text[second], bi)
+        self.third = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2 if len(self.text) > 2 else np.empty(0, np.int64)
+        self.at = self.third[(self.bi[self.third - 1] > 0) & (self.bi[self.third] > 0)]
+        self.tri = mix(gram_hashes(words.hashes(), 3)[self.at - 2]) if len(self.at) else np.empty(0, U64)
+
+    def scores(self, rest: np.ndarray, n_all: int) -> np.ndarray:
+        """log_sum of each document; rest: how often others have each triple of ``tri``."""
+        score = np.log(np.maximum(self.uni, 0.5) / n_all)
+        seen = self.bi[self.second] > 0
+        score[self.second[~seen]] += np.log(ALPHA)
+        hit = self.second[seen]
+        score[hit] = np.log(self.bi[hit] / self.uni[hit - 1])
+        score[self.third] += np.log(ALPHA)
+        hit = self.at[rest > 0]
+        score[hit] = np.log(rest[rest > 0] / self.bi[hit - 1])
+        return np.bincount(self.text, weights=score, minlength=len(self.counts)).astype(np.float64)
+
+
+def _looked_up(docs: pa.Table, replies: pa.Table) -> Iterator[tuple[int, _Chunk]]:
+    """(first row, chunk) of a block's documents; replies: totals of its lists of one and two words."""
+    keys, _ = _counts(docs["text"])
+    total = _joined(replies)
+    for i, _, data, offs in chunks(docs["text"]):
+        yield i, _Chunk(Words(data, offs), lambda h: total[np.searchsorted(keys, h)])
+
+
+def _joined(replies: pa.Table) -> np.ndarray:
+    got = [_unsqueeze(b) for b in replies.sort_by("part")["totals"].to_pylist()]
+    return np.concatenate(got) if got else np.empty(0, np.int64)
+
+
+def _triples_counted(parts: int):
+    """A block's list of those triples whose pairs both occur in other documents."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            held = [(np.empty(0, U64), np.empty(0, np.int64))]
+            for _, c in _looked_up(docs, replies):
+                held.append(np.unique(c.tri, return_counts=True))
+            keys, counts = _merged(held)
+        give_back()
+        return _listed(docs["block"][0].as_py(), 0, parts, parts, keys, counts)
+
+    return run
+
+
+SCORES = "doc_id long, n_words long, log_score double, log_sum double"
+
+
 def _scored(n_all: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
+        pairs, triples = (replies.filter(pa.compute.equal(replies["words"], k)) for k in (2, 3))
+        ids, out = docs["doc_id"].combine_chunks(), []
         with np.errstate(over="ignore"):
-            keys, _ = _counts(docs["text"])
-            replies = replies.sort_by("part")
-            totals = [_unsqueeze(b) for b in replies["totals"].to_pylist()]
-            total = np.concatenate(totals) if totals else np.empty(0, np.int64)
-            get = lambda h: total[np.searchsorted(keys, h)]
-            ids = docs["doc_id"].combine_chunks()
-            for i, j, data, offs in chunks(docs["text"]):
-                words = Words(data, offs)
-                uni, second, bi = _grams(words)
-                rest_uni = get(uni) - _own(words.text, uni)
-                score = np.log(np.maximum(rest_uni, 0.5) / n_all)
-                if len(second):
-                    rest_bi = get(bi) - _own(words.text[second], bi)
-                    seen = rest_bi > 0
-                    score[second[~seen]] += np.log(ALPHA)
-                    score[second[seen]] = np.log(rest_bi[seen] / rest_uni[second[seen] - 1])
-                out.append(pa.table([ids.slice(i, j - i), pa.array(words.counts, pa.int64()), pa.array(np.bincount(words.text, weights=score, minlength=j - i).astype(np.float64))], names=["doc_id", "n_words", "log_score"]))
+            held = list(_looked_up(docs, pairs))
+            keys, total = np.unique(np.concatenate([c.tri for _, c in held] or [np.empty(0, U64)])), _joined(triples)
+            for i, c in held:
+                rest = total[np.searchsorted(keys, c.tri)] - _own(c.text[c.at], c.tri) if len(c.tri) else np.empty(0, np.int64)
+                sums, n = c.scores(rest, n_all), c.counts
+                out.append(pa.table([ids.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(sums / np.maximum(n, 1)), pa.array(sums)], names=["doc_id", "n_words", "log_score", "log_sum"]))
+        give_back()
         return pa.concat_tables(out)
 
     return run
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and log_score of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    """doc_id, n_words, log_score and log_sum of every row."""
+    scratch = Scratch(docs.sparkSession)
     texts = text_of(docs)
     size = texts.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    chars, n_all = size[0] or 0, size[1] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    parts = max(1, -(-n_all // PART_GRAMS))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(blocks)))
-    exploded = dealt.groupBy("block").applyInArrow(_exploded(parts), "block long, part long, grams binary, counts binary")
-    replies = scratch.write(exploded.groupBy("part").applyInArrow(_totals, "block long, part long, totals binary"), "totals", large=True)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(n_all), SCORES)
+    blocks, n_all = max(1, -(-(size[0] or 0) // BLOCK_CHARS)), size[1] or 0
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(blocks)))
+    pairs = totals_of(dealt.groupBy("block").applyInArrow(_pairs_counted(FANOUT), LISTS), blocks, scratch, "pairs")
+    listed = dealt.groupBy("block").cogroup(pairs.groupBy("node")).applyInArrow(_triples_counted(FANOUT), LISTS)
+    triples = totals_of(listed, blocks, scratch, "triples")
+    replies = pairs.withColumn("words", F.lit(2)).unionByName(triples.withColumn("words", F.lit(3)))
+    return dealt.groupBy("block").cogroup(replies.groupBy("node")).applyInArrow(_scored(n_all), SCORES)

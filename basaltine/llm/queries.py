@@ -35,7 +35,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_scores.lm_scores(documents(spark, sf_dir))
     # Sums of logs depend on their order in the last digits.
-    return scores.withColumn("log_score", F.round("log_score", 4))
+    return scores.withColumns({"log_score": F.round("log_score", 6), "log_sum": F.round("log_sum", 4)})
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +97,19 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM h WINDOW w AS (PARTITION BY text_sha256)""",
     "op6_lm_scores": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-t AS (SELECT doc_id, pos, words[pos] AS x, words[pos - 1] AS v FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS pos FROM w)),
-u AS (SELECT x, count(*) AS c FROM t GROUP BY x), ou AS (SELECT doc_id, x, count(*) AS c FROM t GROUP BY ALL),
-b AS (SELECT v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL), ob AS (SELECT doc_id, v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL),
-j AS (SELECT t.doc_id, t.pos, greatest(u.c - ou.c, 0.5::DOUBLE) / (SELECT count(*) FROM t) AS s1, b.c - ob.c AS n2, uv.c - ov.c AS nv
-  FROM t JOIN u ON u.x = t.x JOIN ou ON ou.doc_id = t.doc_id AND ou.x = t.x
-  LEFT JOIN b ON t.pos > 1 AND b.v = t.v AND b.x = t.x LEFT JOIN ob ON ob.doc_id = t.doc_id AND ob.v = t.v AND ob.x = t.x AND t.pos > 1
-  LEFT JOIN u uv ON t.pos > 1 AND uv.x = t.v LEFT JOIN ou ov ON ov.doc_id = t.doc_id AND ov.x = t.v AND t.pos > 1),
-s AS (SELECT doc_id, sum(CASE WHEN pos = 1 THEN ln(s1) WHEN n2 > 0 THEN ln(n2 / nv::DOUBLE) ELSE ln(0.4::DOUBLE) + ln(s1) END) AS score FROM j GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(score, 0.0), 4) AS log_score FROM w LEFT JOIN s USING (doc_id)""",
+t AS (SELECT doc_id, pos, words[pos] AS x, CASE WHEN pos > 1 THEN words[pos - 1] END AS v, CASE WHEN pos > 2 THEN words[pos - 2] END AS u FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS pos FROM w)),
+c1 AS (SELECT x, count(*) AS c FROM t GROUP BY x), o1 AS (SELECT doc_id, x, count(*) AS c FROM t GROUP BY ALL),
+c2 AS (SELECT v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL), o2 AS (SELECT doc_id, v, x, count(*) AS c FROM t WHERE pos > 1 GROUP BY ALL),
+c3 AS (SELECT u, v, x, count(*) AS c FROM t WHERE pos > 2 GROUP BY ALL), o3 AS (SELECT doc_id, u, v, x, count(*) AS c FROM t WHERE pos > 2 GROUP BY ALL),
+r1 AS (SELECT doc_id, x, c1.c - o1.c AS n FROM o1 JOIN c1 USING (x)),
+r2 AS (SELECT doc_id, v, x, c2.c - o2.c AS n FROM o2 JOIN c2 USING (v, x)),
+r3 AS (SELECT doc_id, u, v, x, c3.c - o3.c AS n FROM o3 JOIN c3 USING (u, v, x)),
+j AS (SELECT t.doc_id, t.pos, greatest(a.n, 0.5::DOUBLE) / (SELECT count(*) FROM t) AS s1, b.n AS n2, av.n AS n1v, d.n AS n3, bv.n AS n2v
+  FROM t JOIN r1 a ON a.doc_id = t.doc_id AND a.x = t.x
+  LEFT JOIN r2 b ON b.doc_id = t.doc_id AND b.v = t.v AND b.x = t.x LEFT JOIN r1 av ON av.doc_id = t.doc_id AND av.x = t.v
+  LEFT JOIN r3 d ON d.doc_id = t.doc_id AND d.u = t.u AND d.v = t.v AND d.x = t.x LEFT JOIN r2 bv ON bv.doc_id = t.doc_id AND bv.v = t.u AND bv.x = t.v),
+k AS (SELECT doc_id, pos, n3, n2v, CASE WHEN pos = 1 THEN ln(s1) WHEN n2 > 0 THEN ln(n2 / n1v::DOUBLE) ELSE ln(0.4::DOUBLE) + ln(s1) END AS l2 FROM j),
+s AS (SELECT doc_id, sum(CASE WHEN pos < 3 THEN l2 WHEN n3 > 0 THEN ln(n3 / n2v::DOUBLE) ELSE ln(0.4::DOUBLE) + l2 END) AS score FROM k GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(score / len(words), 0.0), 6) AS log_score, round(coalesce(score, 0.0), 4) AS log_sum FROM w LEFT JOIN s USING (doc_id)""",
     "op10_url_filter": urls.ORACLE,
 }

@@ -397,28 +397,36 @@ def test_secrets_query(docs, spark, nothing):
 # 6
 
 
-def test_lm_scores(docs, rows, nothing, spark, monkeypatch):
-    monkeypatch.setattr(lm_scores, "BLOCK_CHARS", 3000)
-    monkeypatch.setattr(lm_scores, "PART_GRAMS", 700)
-    counts, n = Counter(), 0
+@pytest.mark.parametrize(("fanout", "block"), [(128, 3000), (2, 1500)])
+def test_lm_scores(docs, rows, nothing, spark, monkeypatch, fanout, block):
+    """Against dictionaries; also with so little fan-out that counts are added up in several levels."""
+    monkeypatch.setattr(lm_scores, "BLOCK_CHARS", block)
+    monkeypatch.setattr(lm_scores, "FANOUT", fanout)
+    many = lambda w: Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    counts = Counter()
     for _, t, *_ in rows:
-        w = split(t)
-        counts.update(w)
-        counts.update(zip(w, w[1:], strict=False))
-        n += len(w)
+        counts.update(many(split(t)))
+    n = sum(c for x, c in counts.items() if len(x) == 1)
     got = {r.doc_id: r for r in lm_scores.lm_scores(docs).collect()}
     for i, t, *_ in rows:
         w = split(t)
-        own = Counter(w)
-        own.update(zip(w, w[1:], strict=False))
+        own = many(w)
+        c = lambda *x: counts[x] - own[x]  # noqa: E731, B023
         score = 0.0
         for k, x in enumerate(w):
-            uni = max(counts[x] - own[x], 0.5) / n
-            pair = counts[w[k - 1], x] - own[w[k - 1], x] if k else 0
-            score += math.log(uni) if not k else math.log(pair / (counts[w[k - 1]] - own[w[k - 1]])) if pair else math.log(0.4 * uni)
-        assert got[i].n_words == len(w) and abs(got[i].log_score - score) < 1e-6 * (1 + abs(score))
-    assert lm_scores.lm_scores(nothing).count() == 0
-    assert lm_scores.lm_scores(spark.createDataFrame([(1, None), (1, "")], "doc_id long, text string")).count() == 2
+            s = max(c(x), 0.5) / n
+            if k:
+                s = c(w[k - 1], x) / c(w[k - 1]) if c(w[k - 1], x) else 0.4 * s
+            if k > 1:
+                s = c(w[k - 2], w[k - 1], x) / c(w[k - 2], w[k - 1]) if c(w[k - 2], w[k - 1], x) else 0.4 * s
+            score += math.log(s)
+        assert got[i].n_words == len(w) and abs(got[i].log_sum - score) < 1e-6 * (1 + abs(score)) and abs(got[i].log_score * len(w) - got[i].log_sum) < 1e-6
+    if fanout == 128:
+        assert lm_scores.lm_scores(nothing).count() == 0
+        odd = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (4, None), (4, ""), (5, "x " * 9000)]
+        r = Counter((x.doc_id, x.n_words, round(x.log_sum, 6)) for x in lm_scores.lm_scores(spark.createDataFrame(odd, "doc_id long, text string")).collect())
+        both = round(math.log(2 / 9009), 6)
+        assert r[(None, 3, both)] == 2 and r[(3, 3, both)] == 1 and r[(4, 0, 0.0)] == 2 and r[(5, 9000, round(9000 * math.log(0.5 / 9009) + (2 * 8998 + 1) * math.log(0.4), 6))] == 1
 
 
 # 7
