@@ -3,14 +3,19 @@
 Three base patterns give spans by themselves. The method adds spans of base64
 or hex runs that decode to something with the structure of a secret:
 
-* ``key``: a DER private key (PKCS#1, SEC1, PKCS#8) whose nested lengths fill
-  the decoded bytes exactly, or an OpenSSH key file whose length-prefixed
-  fields do; alone in a run, or between PEM lines (then with those lines);
+* ``key``: a DER private key (PKCS#1, SEC1, PKCS#8 with the key inside it, or
+  encrypted PKCS#8) whose nested lengths fill the decoded bytes exactly at every
+  level, or an OpenSSH key file whose length-prefixed fields do; alone in a run,
+  in a run wrapped over lines as far as its outer length tells, or between PEM
+  lines (then with those lines; line ends may be written as ``\\n``). A PEM key
+  with ``Proc-Type`` and ``DEK-Info`` lines has an initial vector and a body of
+  whole cipher blocks;
 * ``jwt``: a token of three dot-separated base64url parts whose header decodes
   to a JSON object that names an algorithm and whose payload is a JSON object.
 
 Offsets are code points, ends exclusive. Null text is empty; a text without
-findings has zero counts, the digest of the empty string and empty spans.
+findings has zero counts, the digest of the empty string and empty spans. Rows
+are judged each for itself, whatever their doc_id; texts may have any length.
 """
 
 from __future__ import annotations
@@ -33,7 +38,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
+_NEXT_LINE = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*([A-Za-z0-9+/]+={0,2})")
+_DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
+# Object identifiers of password-based encryption begin so.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: Zero-width, so that a refused match takes no part from a later one.
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*))")
 #: Where a key may start in a run: a DER sequence or the OpenSSH magic in base64 or hex, first or after a separator.
@@ -84,37 +93,99 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether the bytes are a DER or OpenSSH private key, lengths and all."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, key derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        at += 4  # number of keys
-        for _ in range(2):  # public and private part
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at == len(data)
-    top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def _nested(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """The elements from at to end, if they fill it and all constructed ones are filled in turn."""
+    parts = _children(data, at, end) if depth < 16 else None
+    if parts is None or any(tag & 0x20 and _nested(data, a, e, depth + 1) is None for tag, a, e in parts):
+        return None
+    return parts
+
+
+def _fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that fill the bytes."""
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def _is_openssh(data: bytes) -> bool:
+    at, fields = 15, []
+    for k in range(5):  # cipher, key derivation and its options; then the number of keys, a public and the private part
+        at += 4 * (k == 3)
+        size = int.from_bytes(data[at : at + 4], "big")
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    public = _fields(fields[3])
+    plain = fields[0] != b"none" or fields[4][:4] == fields[4][4:8] != b""
+    return at == len(data) and bool(public) and public[0].isascii() and len(public) > 1 and plain
+
+
+def _is_der_key(data: bytes, at: int, end: int, inside: bool = False) -> bool:
+    """Whether at..end holds one private key: PKCS#1, SEC1, PKCS#8 or encrypted PKCS#8."""
+    top = _tlv(data, at, end)
+    if top is None or top[0] != 0x30 or top[2] != end:
         return False
-    parts = _children(data, top[1], top[2])
-    if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+    parts = _nested(data, top[1], end)
+    if not parts:
+        return False
+    tags, (_, a, e) = [p[0] for p in parts], parts[0]
+    if tags == [0x30, 0x04] and not inside:
+        scheme = _children(data, a, e) or [(0, 0, 0)]
+        size = parts[1][2] - parts[1][1]
+        return scheme[0][0] == 0x06 and data[scheme[0][1] : scheme[0][2]].startswith(_PBE) and size >= 16 and size % 8 == 0
+    if tags[0] != 0x02 or e - a != 1:
         return False
-    tags = [p[0] for p in parts]
     if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
         return True
-    if tags[1:2] == [0x04] and data[parts[0][1]] == 1:
+    if tags[1:2] == [0x04] and data[a] == 1:
         return True
-    if tags[1:3] == [0x30, 0x04]:
-        algorithm = _children(data, parts[1][1], parts[1][2])
-        return bool(algorithm) and algorithm[0][0] == 0x06
+    if tags[1:3] == [0x30, 0x04] and not inside:
+        scheme, (_, x, y) = _children(data, parts[1][1], parts[1][2]), parts[2]
+        key = _tlv(data, x, y)
+        plain = key is not None and key[2] == y and key[0] in (0x02, 0x04)  # a number, or the bytes of a curve's key
+        return bool(scheme) and scheme[0][0] == 0x06 and (plain or _is_der_key(data, x, y, True))
     return False
 
 
+def is_private_key(data: bytes) -> bool:
+    """Whether the bytes are a DER or OpenSSH private key, lengths and all."""
+    return _is_openssh(data) if data.startswith(b"openssh-key-v1\0") else _is_der_key(data, 0, len(data))
+
+
+def _is_pem_key(body: str) -> bool:
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    data = _decode64("".join(x for x in lines if ":" not in x))
+    if not data:
+        return False
+    dek = _DEK.search(body)
+    if dek is None:
+        return is_private_key(data)
+    block = len(dek[2]) // 2
+    return block in (8, 16) and len(data) % block == 0 and "ENCRYPTED" in body
+
+
+def _wrapped(text: str, start: int, end: int) -> int | None:
+    """The end of a key whose run from start to end goes on in the next lines, by its outer length."""
+    head = _decode64(text[start : start + 8]) or b""
+    top = _tlv(head, 0, 1 << 40) if len(head) == 6 and head[0] == 0x30 else None
+    if top is None:
+        return None
+    need, got = (top[2] * 4 + 2) // 3, [text[start:end]]
+    have = len(got[0])
+    while have < need:
+        line = _NEXT_LINE.match(text, end)
+        if line is None:
+            return None
+        got.append(line[1])
+        have, end = have + len(line[1].rstrip("=")), line.end()
+    return end if len(got) > 1 and have == need and is_private_key(_decode64("".join(got)) or b"") else None
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     for part, names in ((header, True), (payload, False)):
         raw = _decode64(part)
@@ -137,14 +208,16 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    framed = [(m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(_decode64("".join(m[2].split())) or b"")] if "-----BEGIN " in text else []
+    framed = [(m.start(), m.end()) for m in _PEM.finditer(text) if _is_pem_key(m[2])] if "-----BEGIN " in text else []
     out += [(a, 3, e) for a, e in framed]
     for m in _RUN.finditer(text):
         for x in _START.finditer(m[0]):
             start, run = m.start() + x.start(), m[0][x.start() :]
-            if len(run) >= 16 and is_private_key(_decoded(run) or b""):
-                if not any(a <= start < e for a, e in framed):
-                    out.append((start, 3, m.end()))
+            if len(run) < 16 or any(a <= start < e for a, e in framed):
+                continue
+            end = m.end() if is_private_key(_decoded(run) or b"") else _wrapped(text, start, m.end()) if run[0] == "M" else None
+            if end:
+                out.append((start, 3, end))
                 break
     if ".ey" in text or "ey" in text and "." in text:
         out += [(m.start(), 4, m.end(3)) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
