@@ -10,8 +10,9 @@ stand in a document with a smaller doc_id. Plan:
    text; their hashes are counted and the first document of each repeated
    window gives the reference text. So the reference holds each repeated
    passage once, however many copies there are.
-3. Reference documents are dealt into shards of at most about ``SHARD_WORDS``
-   words. A document goes to the shards whose minimisers it shares. Each task
+3. Reference spans, long ones cut into pieces that overlap so that each window is
+   whole in one, are dealt into shards of about ``SHARD_WORDS`` words, however long
+   a document is. A document goes to the shards whose minimisers it shares. Each task
    gets one shard, builds its suffix automaton over words (not hashes) and
    streams its share of the documents through it. A shard with many documents
    is sent to as many tasks as those fill: that is the broadcast, and its size
@@ -39,7 +40,8 @@ from .scratch import Scratch, text_of
 from .tokens import U64, Words, chunks, gram_hashes, sha256_hex, window_min
 
 GRAM = 16
-SHARD_WORDS = 100_000
+#: Words of a shard, on average; windows of a reference piece, at most.
+SHARD_WORDS, PIECE_WINDOWS = 100_000, 10_000
 STREAM_WORDS = 1_000_000
 
 
@@ -228,8 +230,8 @@ def _windows(width: int):
     return run
 
 
-def _references(width: int):
-    """The parts of a document's spans whose windows it has first."""
+def _references(width: int, most: int):
+    """The parts of a document's spans whose windows it has first, in pieces of ``most`` windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -241,13 +243,20 @@ def _references(width: int):
                     at, h = words.grams(words.hashes(), width)
                     if len(at):
                         mine = (owners >= i) & (owners < j)
-                        lo, hi = _runs(_member(values[mine], owners[mine] - i, h, words.text[at]), at, words.text[at])
+                        lo, hi = _pieces(*_runs(_member(values[mine], owners[mine] - i, h, words.text[at]), at, words.text[at]), most)
                         if len(lo):
                             yield _cut(ids, fps, i, words, lo, hi, width)
 
     return run
 
 
+def _pieces(lo: np.ndarray, hi: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows cut into runs of ``most`` at most."""
+    n = (hi - lo) // most + 1 if len(lo) else lo
+    first = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * most
+    return first, np.minimum(first + most - 1, np.repeat(hi, n))
+
+
 def _match(width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -279,12 +288,12 @@ def repeated_spans(docs: DataFrame, width: int = 50, scratch: Scratch | None = N
     windows = spans.select("doc_id", "span").mapInArrow(_windows(width), "window long, doc_id long")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("b")).where("doc_id < b")
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
-    refs = spans.select("doc_id", "fp", "span").join(firsts, "doc_id").select("doc_id", "fp", "span", "windows").mapInArrow(_references(width), SPANS)
+    refs = spans.select("doc_id", "fp", "span").join(firsts, "doc_id").select("doc_id", "fp", "span", "windows").mapInArrow(_references(width, PIECE_WINDOWS), SPANS)
     refs = scratch.write(refs, "references")
 
     n_words = refs.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-n_words // SHARD_WORDS))
-    refs = refs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    refs = refs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "span"), F.lit(shards)))
     # Each span, not each document, goes to the shards that share its minimisers.
     held = refs.select("shard", "span").mapInArrow(_span_anchors(width, ["shard"]), "shard long, anchor long").distinct()
     place = ["doc_id", "fp", "start"]
