@@ -13,7 +13,9 @@ first ``/`` (its loop lacks that byte); ``*`` elsewhere takes any byte.
 
 Null URLs and those without ``://`` have empty host and path; no rule fits them
 and no glob does unless it accepts the empty string. Of rules that fit, the
-longest wins, and of equally long ones the first.
+longest wins, and of equally long ones the first. The canonical URL is the host
+in lower case and the path as it stands. Rows that repeat a page_id, or have none,
+are judged each for itself.
 """
 
 from __future__ import annotations
