@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the largest prefilter: 32 MB.
 MOST_BITS = 1 << 28
+#: Bytes of a batch of rows on its way to Python, about; a longer row is a batch of its own.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.base = f"{shared_dir(spark)}/basaltine-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
@@ -91,8 +94,16 @@ def prefilter(keys: DataFrame, n: int) -> Callable[[Column], Column]:
     return lambda key: passes(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits)))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches to Python, not only their rows, unless the session has a lower bound: texts may be long, and both sides hold a whole batch."""
+    key, most = BATCH
+    if not (held := spark.conf.get(key)).isdigit() or int(held) > most:
+        spark.conf.set(key, str(most))
+
+
 def text_of(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, text) alone, null text as empty: other columns, whatever their names, stay out of the way."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
 
 
