@@ -148,6 +148,11 @@ def uint_at(content: Column, offset: int, size: int, big: bool = True) -> Column
     return F.conv(digits, 16, 10).cast("long")
 
 
+def label_slices(packed: Column) -> tuple[Column, Column, Column]:
+    """(box of four values, presence, class) of a packed label of six."""
+    return F.slice(packed, 1, 4), F.get(packed, F.lit(4)), F.get(packed, F.lit(5))
+
+
 def target_bins(x: Column, bins: int) -> dict[str, Column]:
     """A value in [0, 1] as a bin and the fraction within it."""
     s = clip(x, 0.0, 1.0) * (bins - 1)

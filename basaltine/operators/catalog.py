@@ -119,12 +119,35 @@ def placed_objects(df: DataFrame, scene: str, position: str) -> DataFrame:
     return df.withColumns({"object_id": F.col(position) + 1, "px": uniform(s, 0) * 2 - 1, "py": uniform(s, 1) * 2 - 1, "turn": uniform(s, 2) * 6.283185307179586})
 
 
+def sampled(df: DataFrame, group: str, item: str, least: int, most: int, seed: int, sub: int = 0) -> DataFrame:
+    """Between least and most rows of each group, without replacement: how many depends on the group, which ones on the item and seed."""
+    n = least + F.floor(uniform(F.col(group), sub) * (most - least + 1))
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.col(item).cast("string"), F.lit(str(seed)))), item)
+    return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+def by_name(df: DataFrame, name: str, seq: str) -> DataFrame:
+    """A total order by name, ties by their place: the same for every run, which a sort by name alone is not."""
+    return df.orderBy(name, seq)
+
+
 def epochal_order(df: DataFrame, key: str, passes: int, seed: int) -> DataFrame:
     """(pick, pass, key): pass 0 in key order, each later pass in an order of its own; a function of pass and key alone."""
-    n = Window.partitionBy("pass").orderBy(F.when(F.col("pass") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("pass").cast("string"), F.lit(str(seed))))), key)
-    size = F.count("*").over(Window.partitionBy("pass"))
-    out = df.select(key).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    return out.select((F.row_number().over(n) - 1 + F.col("pass") * size).alias("pick"), "pass", key)
+    from ..sources.files import ensure_checkpoints
+
+    # Buckets in order: ranges of the key in pass 0, the first three hex digits of the hash later. They are counted, then numbered each for itself.
+    ensure_checkpoints(df.sparkSession)
+    ranges = df.select(key).repartitionByRange(key).withColumn("range", F.spark_partition_id()).checkpoint()
+    h = F.when(F.col("pass") > 0, F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("pass").cast("string"), F.lit(str(seed)))))
+    out = ranges.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("h", h)
+    out = out.withColumn("bucket", F.when(F.col("pass") == 0, F.col("range")).otherwise(F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
+    sizes = out.groupBy("pass", "bucket").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("pass").orderBy("bucket")
+    before = F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("pass", "bucket", before.alias("before"), F.sum("n").over(Window.partitionBy("pass")).alias("size"))
+    own = F.row_number().over(Window.partitionBy("pass", "bucket").orderBy("h", key)) - 1
+    out = out.withColumn("own", own).join(F.broadcast(sizes), ["pass", "bucket"])  # at most 4096 rows for each pass
+    return out.select((F.col("own") + F.col("before") + F.col("pass") * F.col("size")).alias("pick"), "pass", key)
 
 
 def messages(keys: DataFrame, catalog: DataFrame, locale: str, fallback: str = "en") -> DataFrame:

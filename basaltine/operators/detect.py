@@ -48,6 +48,11 @@ def nms(df: DataFrame, image: str, threshold: float) -> DataFrame:
     return df.groupBy(image).applyInPandas(run, df.schema)
 
 
+def above(candidates: Column, least: float) -> Column:
+    """Candidates (structs with a score) that reach the least score, in their order."""
+    return F.filter(candidates, lambda c: c["score"] >= least)
+
+
 def matched(pred: np.ndarray, scores: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
     """For predictions in order of score: whether each takes a ground-truth box that none before it took."""
     overlap = iou_matrix(pred, truth) if len(truth) else np.zeros((len(pred), 0))
@@ -134,7 +139,7 @@ def distribution_focal_loss(left: Column, right: Column, value: Column) -> Colum
 
 
 def learning_rate(step: Column, top: float, steady: float, bottom: float, warmup: int, cooldown: int, decay: int, annealing: int) -> Column:
-    """Warm-up to top, cosine fall to steady, constant, exponential fall towards bottom; steps repeat after the whole. The last part's exponent counts all steps up to it, as the reference semantics do."""
+    """Warm-up to top, cosine fall to steady, constant, exponential fall towards bottom; steps repeat after the whole. The last part's exponent is the step within it over all steps of the whole."""
     cool, flat = warmup + cooldown, warmup + cooldown + decay
     i = F.pmod(step, F.lit(flat + annealing)).cast("double")
     cosine = steady + 0.5 * (top - steady) * (1 + F.cos(math.pi * (i - warmup) / float(cooldown)))

@@ -39,6 +39,24 @@ def rigid_2d(xs: Column, ys: Column, us: Column, vs: Column, n: Column) -> dict[
     return {"angle": F.atan2(cross, dot)}
 
 
+def rigid_of_lists(xs: Column, ys: Column, us: Column, vs: Column) -> dict[str, Column]:
+    """Cosine, sine and shift of the turn that takes points (xs, ys) to (us, vs) with the least squares, in the JVM."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    mx, my, mu, mv, n = mean(xs), mean(ys), mean(us), mean(vs), F.size(xs)
+    along = dot(xs, us) + dot(ys, vs) - n * (mx * mu + my * mv)
+    across = dot(xs, vs) - dot(ys, us) - n * (mx * mv - my * mu)
+    size = F.sqrt(along * along + across * across)
+    c, s = along / size, across / size
+    return {"c": c, "s": s, "tx": mu - (c * mx - s * my), "ty": mv - (s * mx + c * my)}
+
+
+def through(m: list[list[Column]], x: Column, y: Column) -> tuple[Column, Column]:
+    """A point through a 3x3 projective matrix: lifted to (x, y, 1) and divided by the last coordinate."""
+    u, v, w = (row[0] * x + row[1] * y + row[2] for row in m)
+    return u / w, v / w
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """The 3x3 map of four or more point pairs by the direct linear transform, on normalised points."""
     def normal(p: np.ndarray) -> np.ndarray:

@@ -88,37 +88,59 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _unit(rows: list) -> np.ndarray:
+    x = np.array(rows, float).reshape(len(rows), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, digits: int) -> pa.RecordBatch:
+    """The best k of the items for each of some queries."""
+    s = np.round(q @ x.T, digits) + 0.0
+    s[ids[:, None] == own[None]] = -np.inf
+    take = min(k, s.shape[1])
+    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :take]
+    value = np.take_along_axis(s, order, 1).ravel()
+    ok = np.isfinite(value)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)[ok]), pa.array(own[order.ravel()][ok]), pa.array(value[ok])], ["query", "item", "similarity"])
+
+
+#: Query rows that travel with the code, and rows of a block where there are more.
+FEW_QUERIES, BLOCK_ROWS = 20_000, 5_000
+
+
 def cosine_neighbours(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
     """(query, item, similarity, rank): the k items most alike to each query row, itself left out; ties by key.
 
-    Every batch of items is held against blocks of the queries as one matrix product and gives its own best k per query;
-    those are merged by a window per query. The queries are a stated set sent with the code, so pass few: callers check
-    that (``most`` rows); items are scanned once and not shuffled.
+    Blocks of queries are held against blocks of items as matrix products; each gives its own best k per query, and those are
+    merged by a window per query. Up to ``FEW_QUERIES`` queries travel with the code and items are scanned where they are. Of more,
+    both sides are dealt into blocks by a hash and every pair of blocks is a task: any number will do, and the driver sees none.
     """
-    most = 200_000
-    rows = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(most + 1).toArrow()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} query rows: pass them in parts")
-    ids = rows.column(0).to_numpy()
-    q = np.array(rows.column(1).to_pylist(), float).reshape(len(rows), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(0).to_numpy()
-            x = np.array(b.column(1).to_pylist(), float).reshape(len(own), -1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            for lo in range(0, len(q), 512):
-                s = np.round(q[lo : lo + 512] @ x.T, digits) + 0.0
-                s[ids[lo : lo + 512][:, None] == own[None]] = -np.inf
-                take = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :take]
-                who = np.repeat(ids[lo : lo + 512], take)
-                value = np.take_along_axis(s, order, 1).ravel()
-                ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(own[order.ravel()][ok]), pa.array(value[ok])], ["query", "item", "similarity"])
-
-    best = items.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "query long, item long, similarity double")
+    wanted = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    queries, items = queries.select(*wanted), items.select(*wanted)
+    out, n = "query long, item long, similarity double", queries.count()
+    if n <= FEW_QUERIES:
+        rows = queries.toArrow()
+        ids, q = rows.column(0).to_numpy(), _unit(rows.column(1).to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, x = b.column(0).to_numpy(), _unit(b.column(1).to_pylist())
+                for lo in range(0, len(q) if len(own) else 0, 512):
+                    yield _nearest(ids[lo : lo + 512], q[lo : lo + 512], own, x, k, digits)
+
+        best = items.mapInArrow(run, out)
+    else:
+        q_blocks, i_blocks = -(-n // BLOCK_ROWS), max(1, -(-items.count() // BLOCK_ROWS))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        q = queries.select(F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("a"), every(i_blocks).alias("b"), "id", "v")
+        i = items.select(every(q_blocks).alias("a"), F.pmod(F.xxhash64("id"), F.lit(i_blocks)).cast("int").alias("b"), "id", "v")
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids, q, own, x = left["id"].to_numpy(), _unit(left["v"].to_pylist()), right["id"].to_numpy(), _unit(right["v"].to_pylist())
+            parts = [_nearest(ids[lo : lo + 512], q[lo : lo + 512], own, x, k, digits) for lo in range(0, len(ids) if len(own) else 0, 512)]
+            return pa.Table.from_batches(parts, pa.schema([("query", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())]))
+
+        best = q.groupBy("a", "b").cogroup(i.groupBy("a", "b")).applyInArrow(pair, out)
     w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "item")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -127,38 +127,54 @@ def interpolated(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("filled", F.coalesce(F.col("__a.v") + part * (F.col("__b.v") - F.col("__a.v")), F.col("__a.v"), F.col("__b.v"))).drop("__a", "__b")
 
 
+def _cheapest_starts(before: np.ndarray, errors: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each end b the least of before[a] + min(errors[a:b]) over starts a <= b - least, and the first such a.
+
+    Starts with the same minimum so far are one entry of a stack whose minima rise; an error merges the entries above it.
+    So each start is pushed and merged once: time and memory grow with the series, not with its square.
+    """
+    n, inf = len(errors), float("inf")
+    cost, start = np.full(n + 1, inf), np.zeros(n + 1, int)
+    recent = errors if least == 1 else np.lib.stride_tricks.sliding_window_view(errors, least).min(axis=1)
+    stack: list[tuple[float, tuple[float, int], tuple[float, int]]] = []  # minimum, cheapest start, best sum up to here
+    for b in range(least, n + 1):
+        e, a = float(errors[b - 1]), b - least
+        held = None
+        while stack and stack[-1][0] >= e:
+            held = min(held or stack[-1][1], stack.pop()[1])
+        for low, own in ((e, held), (float(recent[a]), (float(before[a]), a))):
+            if own is not None:
+                total = (own[0] + low, own[1])
+                stack.append((low, own, min(total, stack[-1][2]) if stack else total))
+        cost[b], start[b] = stack[-1][2]
+    return cost, start
+
+
 def best_partition(errors: np.ndarray, least_share: float = 0.15, most_parts: int = 6, ratio: float = 3.0) -> list[int]:
     """Track positions of a series of frame errors.
 
-    For k parts of at least ``least_share`` of the frames each, the cut that minimises the sum of the parts' least errors is
-    found by dynamic programming; the largest k whose worst part is at most ``ratio`` times the mean one wins. A part is
-    represented by its frame of least error. An empty series has none.
+    For k parts of at least ``least_share`` of the frames each (rounded, halves to even), the cut that minimises the sum of
+    the parts' least errors is found by dynamic programming; the largest k whose worst part is at most ``ratio`` times the
+    mean one wins. A part is represented by its frame of least error. An empty series has none.
     """
     n = len(errors)
     if not n:
         return []
-    least = max(1, int(least_share * n))
+    least = max(1, round(least_share * n))
     best: list[int] = [int(np.argmin(errors))]
-    inf = float("inf")
-    # lows[a][b]: least error of frames a..b
-    lows = [np.minimum.accumulate(errors[a:]) for a in range(n)]
-    cost = np.full((most_parts + 1, n + 1), inf)
-    back = np.zeros((most_parts + 1, n + 1), int)
-    cost[0, 0] = 0
+    cost, backs = np.full(n + 1, float("inf")), []
+    cost[0] = 0
     for k in range(1, most_parts + 1):
-        for b in range(k * least, n + 1):
-            starts = range((k - 1) * least, b - least + 1)
-            values = [cost[k - 1, a] + lows[a][b - 1 - a] for a in starts]
-            if values:
-                at = int(np.argmin(values))
-                cost[k, b], back[k, b] = values[at], starts[at]
-        if cost[k, n] == inf:
+        cost, back = _cheapest_starts(cost, errors, least)
+        backs.append(back)
+        if cost[n] == float("inf"):
             break
-        cuts, b = [], n
-        for j in range(k, 0, -1):
-            cuts.append((int(back[j, b]), b))
-            b = int(back[j, b])
-        picks = [a + int(np.argmin(errors[a:b])) for a, b in reversed(cuts)]
+        picks, b = [], n
+        for j in range(k - 1, -1, -1):
+            a = int(backs[j][b])
+            picks.append(a + int(np.argmin(errors[a:b])))
+            b = a
+        picks.reverse()
         chosen = errors[picks]
         if chosen.max() <= ratio * max(chosen.mean(), 1e-12):
             best = picks

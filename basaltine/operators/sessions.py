@@ -152,6 +152,34 @@ def accepted(incoming: DataFrame, images: DataFrame, dedup: DataFrame, cap: int)
     return capped(new, "session_id", ["seq"], cap, images.groupBy("session_id").agg(F.count("*").alias("n")))
 
 
+def scan_uploads(uploads: DataFrame, scans: DataFrame, scan_id: int) -> DataFrame:
+    """Uploads (scan_id, ...) of one scan with the scan's columns; the test on the id reaches both scans of tables."""
+    return uploads.where(F.col("scan_id") == scan_id).join(scans.where(F.col("scan_id") == scan_id), "scan_id")
+
+
+def scan_progress(uploads: DataFrame, scans: DataFrame) -> DataFrame:
+    """(scan_id, n_uploads, done) of scans with uploads (scan_id, done): counted before they are joined."""
+    return uploads.groupBy("scan_id").agg(F.count("*").alias("n_uploads"), F.bool_and("done").alias("done")).join(scans.select("scan_id"), "scan_id")
+
+
+def trimmed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: F.trim(n) for n in names})
+
+
+def owned(owner: Column, who: Column) -> Column:
+    """Whether the owner is the one who asks; never for an unknown owner."""
+    return F.coalesce(owner == who, F.lit(False))
+
+
+def counted(items: DataFrame, key: str, name: str) -> DataFrame:
+    return items.groupBy(key).agg(F.count("*").alias(name))
+
+
+def elapsed(marks: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, seconds) between the first and the last mark."""
+    return marks.groupBy(key).agg((F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))).alias("seconds"))
+
+
 def partners(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """(idx, partner): the other end of the pair (idx1, idx2) in which an item stands, 0 if in none."""
     both = pairs.select(F.col("idx1").alias("idx"), F.col("idx2").alias("partner")).unionByName(pairs.select(F.col("idx2").alias("idx"), F.col("idx1").alias("partner")))

@@ -70,6 +70,11 @@ def dense_renumber(df: DataFrame, key: str, item: str) -> DataFrame:
     return df.withColumn("new_id", F.dense_rank().over(Window.partitionBy(key).orderBy(item)) - 1)
 
 
+def with_class(seen: DataFrame, known: DataFrame, key: str = "obj_id") -> DataFrame:
+    """Observations with their object's flag; those of objects that aren't known drop out."""
+    return seen.join(known, key)
+
+
 def presence_matrix(objects: DataFrame, frames: DataFrame, seen: DataFrame, obj: str, frame: str, size: str) -> DataFrame:
     """(object, frame, status) for every pair: visible, occluded (seen with size 0) or absent. Frames are the short side and are broadcast only if Spark finds them small."""
     grid = objects.crossJoin(frames)

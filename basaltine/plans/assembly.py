@@ -150,7 +150,13 @@ def dice_distribution(t):
     return d.groupBy("total").agg(F.count("*").alias("ways"), F.round(F.count("*") / 36.0, 9).alias("chance"))
 
 
-@query("SELECT user_id, count(*) AS n, count(DISTINCT event_id) = count(*) AS no_repeats FROM events GROUP BY user_id")
+@query("SELECT 'parts' AS part, count(*) AS n, 1::BIGINT AS most_parts, count(*) AS n_keys FROM documents UNION ALL SELECT 'train', CAST(floor(0.8::DOUBLE * count(*) + 0.5) AS BIGINT), 1, CAST(floor(0.8::DOUBLE * count(*) + 0.5) AS BIGINT) FROM documents")
 def no_leakage(t):
-    """A sample is in one split once: counts equal distinct counts."""
-    return t("events").groupBy("user_id").agg(F.count("*").alias("n"), (F.countDistinct("event_id") == F.count("*")).alias("no_repeats"))
+    """No entry is in two parts of a split, and none is lost: entries, the most parts that one is in, distinct keys; of all parts and of the first."""
+    d = dataset.Dataset(t("documents").select("doc_id"), "doc_id", SEED)
+    parts = d.split_train_validation_test(0.8, 0.1)
+    both = parts[0].entries.select("doc_id", F.lit("train").alias("part"))
+    for name, p in zip(("valid", "test"), parts[1:], strict=True):
+        both = both.unionByName(p.entries.select("doc_id", F.lit(name).alias("part")))
+    per_key = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("part").alias("k")).agg(F.sum("n").alias("n"), F.max("k").alias("most_parts"), F.count("*").alias("n_keys"))
+    return per_key(both).select(F.lit("parts").alias("part"), "*").unionByName(per_key(both.where("part = 'train'")).select(F.lit("train").alias("part"), "*"))

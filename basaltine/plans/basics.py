@@ -59,14 +59,14 @@ def correspondences(t):
     return a.join(l.where("l_suppkey = 2").select("l_partkey", F.col("l_quantity").alias("u")), "l_partkey")
 
 
-@query("""WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS s, embedding[i + 9]::DOUBLE AS v FROM embeddings, (SELECT unnest(generate_series(0, 7)) AS i) WHERE embedding[i + 1] > 0),
+@query("""WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS s, embedding[i + 33]::DOUBLE AS v FROM embeddings, (SELECT unnest(generate_series(0, 31)) AS i) WHERE embedding[i + 1] > 0),
 m AS (SELECT vec_id, max(s) AS top FROM x GROUP BY vec_id)
 SELECT e.vec_id, round(y, 6) AS y FROM embeddings e LEFT JOIN (SELECT vec_id, sum(exp(s - top) * v) / sum(exp(s - top)) AS y FROM x JOIN m USING (vec_id) GROUP BY vec_id) USING (vec_id)""")
 def masked_attention(t):
     """Softmax-weighted mean over the neighbours that are not masked; null where all are."""
     xs = F.transform("embedding", lambda x: x.cast("double"))
-    s = F.transform(F.slice(xs, 1, 8), lambda x: F.when(x > 0, x))
-    return t("embeddings").select("vec_id", s.alias("s"), F.slice(xs, 9, 8).alias("v")).select("vec_id", F.round(graph.attention(F.col("s"), F.col("v")), 6).alias("y"))
+    s = F.transform(F.slice(xs, 1, 32), lambda x: F.when(x > 0, x))
+    return t("embeddings").select("vec_id", s.alias("s"), F.slice(xs, 33, 32).alias("v")).select("vec_id", F.round(graph.attention(F.col("s"), F.col("v")), 6).alias("y"))
 
 
 @query("SELECT event_id, round(date_diff('second', ts, TIMESTAMP '2024-02-01 00:00:00') / 3600.0, 3) >= 24 AS old FROM events")

@@ -65,12 +65,12 @@ def anchor_negatives(t):
     return detect.negatives(cand, truth, "image", 0.2, 5, order).select("image", "anchor_id")
 
 
-@query("""WITH x AS (SELECT vec_id, i, abs(embedding[i + 1]::DOUBLE) * 4 AS v FROM embeddings, (SELECT unnest(generate_series(0, 3)) AS i))
+@query("""WITH x AS (SELECT vec_id, i, abs(embedding[i + 1]::DOUBLE) * 4 AS v FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i))
 SELECT vec_id, i, CAST(least(floor(least(greatest(v, 0), 1) * 15), 14) AS INT) AS bin, round(least(greatest(v, 0), 1) * 15 - least(floor(least(greatest(v, 0), 1) * 15), 14), 6) AS fraction FROM x""")
 def target_bins(t):
     from ..functions.columns import target_bins as bins
 
-    x = t("embeddings").select("vec_id", F.posexplode(F.slice(F.transform("embedding", lambda v: F.abs(v.cast("double")) * 4), 1, 4)).alias("i", "v"))
+    x = t("embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda v: F.abs(v.cast("double")) * 4)).alias("i", "v"))
     b = bins(F.col("v"), 16)
     return x.select("vec_id", F.col("i").cast("long").alias("i"), b["bin"].alias("bin"), F.round(b["fraction"], 6).alias("fraction"))
 

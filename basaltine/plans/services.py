@@ -56,12 +56,20 @@ def contaminated_items(t):
     runs = lambda c: F.when(F.size(c) >= 5, F.transform(F.sequence(F.lit(1), F.size(c) - 4), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 5), " "))))
     # An item's own first and last words may be parts of longer ones: its second to sixth words are whole.
     items = t("benchmark").select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle")))
+    # Of three to six words the second is whole. Which join it is, Spark decides by the sizes.
     keyed = items.where(F.size("w") >= 7).select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))
-    docs = t("documents").select("doc_id", "text")
-    hits = docs.select("text", F.explode(F.array_distinct(F.coalesce(runs(words(F.col("text"))), F.array().cast("array<bigint>")))).alias("run")).join(F.broadcast(keyed), "run").where(F.contains("text", "needle")).select("item_id")
-    short = items.where(F.size("w") < 7)
-    rest = docs.join(F.broadcast(short), F.contains("text", "needle")).select("item_id")
-    return hits.unionByName(rest).distinct()
+    single = items.where(F.size("w").between(3, 6)).select("item_id", "needle", F.xxhash64(F.lit("one"), F.get("w", F.lit(1))).alias("run"))
+    # Words are a column of their own: within a lambda they would be split anew for each run.
+    docs = t("documents").select("text", words(F.col("text")).alias("w"))
+    parts = F.coalesce(runs(F.col("w")), F.array().cast("array<bigint>"))
+    if not single.isEmpty():
+        parts = F.concat(parts, F.coalesce(F.transform("w", lambda w: F.xxhash64(F.lit("one"), w)), F.array().cast("array<bigint>")))
+    hits = docs.select("text", F.explode(F.array_distinct(parts)).alias("run")).join(keyed.unionByName(single), "run").where(F.contains("text", "needle")).select("item_id")
+    # Items of one or two words are parts of words: they are looked for in every text, one after the other.
+    bits = items.where(F.size("w") < 3).select("item_id", "needle")
+    if not bits.isEmpty():
+        hits = hits.unionByName(docs.select("text").join(bits, F.contains("text", "needle")).select("item_id"))
+    return hits.distinct()
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 20")
@@ -84,12 +92,12 @@ def session_life_cycle(t):
     return f.select("user_id", sessions.life_cycle(F.col("f"), F.col("c"), F.lit(NOW).cast("timestamp"), 24).alias("status"))
 
 
-@query("SELECT conv_id, count(*) AS n_chunks, CAST(sum(strlen(text)) AS BIGINT) AS received, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_chunks, CAST(sum(strlen(text)) AS BIGINT) AS received, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations WHERE conv_id % 5 <> 0 OR turn > 0 GROUP BY conv_id HAVING min(turn) = 0")
 def chunk_reassembly(t):
-    """Chunks in order of their index, of uploads whose size is complete."""
+    """Chunks in order of their index, of uploads whose size is complete: of every fifth the first chunk never came."""
     c = t("conversations").select("conv_id", "turn", "text")
     totals = c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("total_size"))
-    got = sessions.assembled(c, "conv_id", "turn", "text", totals)
+    got = sessions.assembled(c.where("conv_id % 5 <> 0 OR turn > 0"), "conv_id", "turn", "text", totals)
     return got.select("conv_id", "n_chunks", "received", F.sha2(F.encode("content", "UTF-8"), 256).alias("digest"))
 
 

@@ -21,22 +21,13 @@ def cosine_topk(t):
     return graph.cosine_neighbours(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5).select("query", "item", "rank")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 50 = 1")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def similarity_matrix(t):
-    """Products of two stated sets of vectors; the smaller is sent to the tasks of the larger."""
-    e = t("embeddings")
-    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = e.where("vec_id % 50 = 1").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
-
-
-@query()
-def similarity_matrix_whole(t):
-    """Products of the query vectors (ids divisible by 100) with all vectors; the former are sent to the tasks of the latter. A test holds it against brute force."""
+    """Products of the query vectors (ids divisible by 100) with all vectors."""
     e = t("embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return b.join(F.broadcast(a), F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
+    return b.join(a, F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
 
 
 @query("SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.5) AS BIGINT) AS k FROM embeddings GROUP BY label")

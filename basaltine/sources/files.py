@@ -25,8 +25,11 @@ TENSOR = "struct<shape:array<int>,dtype:string,data:binary>"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or one of our own where none is set."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basaltine-")
+    """The cluster's checkpoint folder; one of our own where none is set and the session is local."""
+    got = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not got and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return got or tempfile.mkdtemp(prefix="basaltine-")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -170,13 +173,15 @@ def read_tensors(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, tensor) of JPG and PNG files as rows x columns x 3 uint8 in RGB; grey is repeated, alpha dropped."""
-    img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    """(path, tensor) of JPG and PNG files as rows x columns x 3 uint8 in RGB; grey is repeated, alpha dropped. A file that can't be decoded is an error."""
+    img = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for h, w, n, data in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for path, h, w, n, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if h < 0 or n not in (1, 3, 4):
+                    raise ValueError(f"not an image of 8 bits: {path}")
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 a = np.repeat(a, 3, axis=2) if n == 1 else a[:, :, 2::-1]
                 rows.append({"shape": [h, w, 3], "dtype": "uint8", "data": np.ascontiguousarray(a).tobytes()})

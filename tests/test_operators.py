@@ -132,7 +132,7 @@ def test_delta_rule(values):
 def test_best_partition_is_a_cheapest_cut(values):
     e = np.array(values, float)
     picks = series.best_partition(e)
-    n, least = len(e), max(1, int(0.15 * len(e)))
+    n, least = len(e), max(1, round(0.15 * len(e)))
     k = len(picks)
     cuts = [c for c in itertools.combinations(range(1, n), k - 1) if all(b - a >= least for a, b in itertools.pairwise((0, *c, n)))]
     best = min(sum(e[a:b].min() for a, b in itertools.pairwise((0, *c, n))) for c in cuts)
@@ -244,12 +244,12 @@ def test_merged_ids_of_a_chain(spark):
     assert got == {i: 0 for i in range(600)} | {600: 600}
 
 
-def test_similarity_matrix_whole(spark, small):
+def test_similarity_matrix(spark, small):
     """Every vector stands against every query vector."""
     from basaltine.plans import QUERIES
 
     e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
-    got = {(r.a, r.b): r.similarity for r in QUERIES["similarity_matrix_whole"](spark, small).collect()}
+    got = {(r.a, r.b): r.similarity for r in QUERIES["similarity_matrix"](spark, small).collect()}
     assert set(got) == {(a, b) for a in e if a % 100 == 0 for b in e}
     assert all(abs(v - e[a] @ e[b]) < 2e-6 for (a, b), v in got.items())
 
