@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -254,6 +255,33 @@ def test_similarity_matrix(spark, small):
     assert all(abs(v - e[a] @ e[b]) < 2e-6 for (a, b), v in got.items())
 
 
+def test_neighbours_in_blocks(spark, small, monkeypatch):
+    """More queries than travel with the code give the same rows, from pairs of blocks."""
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    few = graph.cosine_neighbours(e.where("vec_id % 10 = 0"), e, "vec_id", "embedding", 3).collect()
+    monkeypatch.setattr(graph, "FEW_QUERIES", 5)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 20)
+    many = graph.cosine_neighbours(e.where("vec_id % 10 = 0"), e, "vec_id", "embedding", 3).collect()
+    assert len(few) == 150 and sorted(map(tuple, few)) == sorted(map(tuple, many))
+
+
+def test_long_series_partition():
+    """A series of 20,000 frames takes no square of them."""
+    g = np.random.default_rng(3)
+    e = g.random(20_000)
+    picks = series.best_partition(e)
+    assert len(picks) == 6 and picks == sorted(picks)
+
+
+def test_sampled_counts(spark):
+    """Three to seven of each group, none twice, the same in every run."""
+    df = spark.range(400).selectExpr("id", "id % 20 AS g")
+    one = catalog.sampled(df, "g", "id", 3, 7, 1).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, catalog.sampled(df.repartition(3), "g", "id", 3, 7, 1).collect()))
+    n = pd.Series([r.g for r in one]).value_counts()
+    assert len(n) == 20 and n.between(3, 7).all() and n.nunique() > 1
+
+
 def test_propagation_down_a_deep_chain(spark):
     """To the end of a chain of more than a hundred edges; a cycle is an error."""
     roots = spark.createDataFrame([(0, 1)], "node long, value long")

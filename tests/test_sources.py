@@ -136,3 +136,9 @@ def test_column_functions(spark):
     assert (r.be, r.le, r.order, r["last"]) == (0x02FF, 0xFF02, [1, 2, 0], list(range(5, 13)))
     assert r.got == [6, None] and r.lin == [0, 0.25, 0.5, 0.75, 1] and r.problem.params.n == "3" and r.soft == [0.5, 0.5]
     assert one.select(sinks.padded_labels(F.array(F.array(F.lit(1.0))), 3).alias("x")).first().x[1] == [0.0] * 6
+
+
+def test_an_undecodable_image_is_an_error(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image"):
+        files.read_images(spark, str(tmp_path)).collect()
