@@ -193,7 +193,23 @@ def _stars(sig: np.ndarray, loose: int, tight: int) -> Iterator[tuple[int, np.nd
         at, sig = (at[1:], sig[1:]) if keep.all() else (at[1:][keep], sig[1:][keep])
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least of each component of the edges (u, v) to its other nodes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        for x in (label[a], label[b]):
+            np.minimum.at(label, x, least)
+        while (label[label] != label).any():
+            label = label[label]
+    hung = label != np.arange(len(nodes))
+    return nodes[label[hung]], nodes[hung]
+
+
 def _rest(loose: int, tight: int):
+    """Edges among the members of buckets, as a forest: components are all that is asked of them, and a member in many buckets is one row."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks()
         key, ids = table["key"].to_numpy(), table["node"].to_numpy()
@@ -204,7 +220,9 @@ def _rest(loose: int, tight: int):
             for i, found in _stars(sig[lo:hi], loose, tight):
                 us.append(np.full(len(found), ids[lo + i]))
                 vs.append(ids[lo + found])
-        return pa.table([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+        give_back()
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 

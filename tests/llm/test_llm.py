@@ -212,6 +212,19 @@ def test_exact_sets():
     assert got[0] < got[6] and [len(g) for g in got] == [2, 2, 1, 1, 1, 0, 3, 1] and not got[2] & got[0]
 
 
+def test_forest():
+    """As many edges as nodes less components, each from the least node of its component."""
+    g = random.Random(9)
+    for n in (0, 1, 5, 200):
+        edges = [(g.randrange(300), g.randrange(300)) for _ in range(n)]
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        u, v = minhash._forest(np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64))
+        assert dict(zip(v.tolist(), u.tolist(), strict=True)) == {x: r for x, r in root.items() if x != r}
+
+
 def test_confirmed_in_the_tail():
     """A pair at similarity 0.8 whose signatures agree on 163 of 240 values, a chance above 1e-6, is confirmed."""
     sig = np.zeros((2, 2 * minhash.PERMUTATIONS), np.uint16)
