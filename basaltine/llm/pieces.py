@@ -36,8 +36,9 @@ from .scratch import text_of
 from .tokens import U64, chunks, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ARRAY_BYTES = 1 << 18
-BATCH_BYTES = 2 << 20
+#: Bytes of distinct cuts in a suffix array, and of texts encoded at a time, at most but for one longer text: they bound a worker's memory and change no result.
+ARRAY_BYTES = 192 << 10
+BATCH_BYTES = 512 << 10
 
 
 class Vocabulary:
