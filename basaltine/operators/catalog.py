@@ -113,6 +113,11 @@ def camera_pairs(spark, scenes: int, seed: int = 0) -> DataFrame:
     return df.select("scene_id", "camera_id", within(0, -1.0, 1.0).alias("x"), within(1, -1.0, 1.0).alias("y"), within(2, 1.0, 2.0).alias("z"), within(3, 24.0, 50.0).alias("focal_length"), within(4, -0.1, 0.1).alias("k1"))
 
 
+def others(df: DataFrame, label: str, avoided, n: int, order: list[str]) -> DataFrame:
+    """The first n rows whose label is another than the avoided one; rows without label are none of them."""
+    return df.where(F.col(label) != F.lit(avoided)).orderBy(*order).limit(n)
+
+
 def placed_objects(df: DataFrame, scene: str, position: str) -> DataFrame:
     """Seeded place in [-1, 1] and turn in [0, 2 pi) of each object; ids count from 1."""
     s = F.col(scene) * 1009 + F.col(position)

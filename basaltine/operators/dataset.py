@@ -47,6 +47,17 @@ def n_batches(n: int, size: int) -> int:
     return -(-n // size)
 
 
+def ordered_delivery(df: DataFrame, stream: list[str], offset: str, ready: str, prefetch: int) -> DataFrame:
+    """df with delivered (when each batch reaches its consumer: once it and all before it are ready) and admitted (when its place opens: once the batch ``prefetch`` before it is delivered; null for the first ones).
+
+    ``waited`` says whether the batch was ready before it was admitted, so that a bounded producer would have held it back. Streams are apart; the order in a stream is that of ``offset``.
+    """
+    line = Window.partitionBy(*stream).orderBy(offset)
+    out = df.withColumn("delivered", F.max(ready).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("admitted", F.lag("delivered", prefetch).over(line))
+    return out.withColumn("waited", F.coalesce(F.col(ready) < F.col("admitted"), F.lit(False)))
+
+
 def cyclic_batches(df: DataFrame, n: int, size: int, first: int, count: int) -> DataFrame:
     """Entries of ``count`` batches from batch ``first`` on: batch_id, start_offset, pos. Element i of the stream is entry i mod n; epochs don't realign it."""
     lo, hi = first * size, (first + count) * size

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,31 @@ def negatives(candidates: DataFrame, truth: DataFrame, image: str, threshold: fl
     return free.withColumn("rank", F.row_number().over(Window.partitionBy(image).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def positives(objects: DataFrame, height: int, width: int, most: int) -> DataFrame:
+    """The crops of objects (video, frame, obj, x, y, w, h, occluded) in view: at most the first ``most`` by video, frame and object.
+
+    Boxes are cut at the frame's border and empty ones left out. ``most`` is the size of the data set asked for; the
+    first rows are taken part by part and merged, without a sort of all rows.
+    """
+    seen = objects.where(~F.col("occluded"))
+    box = seen.select(
+        "video", "frame", "obj", F.greatest("x", F.lit(0)).alias("x1"), F.greatest("y", F.lit(0)).alias("y1"), F.least(F.col("x") + F.col("w"), F.lit(width)).alias("x2"), F.least(F.col("y") + F.col("h"), F.lit(height)).alias("y2")
+    )
+    return box.where("x2 > x1 and y2 > y1").orderBy("video", "frame", "obj").limit(most)
+
+
+def scored(df: DataFrame, crop: str, label: str, classify: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """df with ``probability``: that each crop shows its label, by a function of batches; without one, 1."""
+    if classify is None:
+        return df.withColumn("probability", F.lit(1.0))
+
+    @F.pandas_udf("double")
+    def run(crops: pd.Series, labels: pd.Series) -> pd.Series:
+        return classify(crops, labels).astype("float64")
+
+    return df.withColumn("probability", run(crop, label))
+
+
 def binary_metrics(p: Column, t: Column) -> dict[str, Column]:
     """Aggregates of a probability and a 0/1 target: accuracy (ties to even), recall, precision."""
     said = F.bround(p, 0)

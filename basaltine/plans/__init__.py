@@ -1,6 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-from . import assembly, basics, catalogs, detection, measures, records, services, series, tracks, vectors
+from . import assembly, basics, catalogs, detection, generated, measures, records, services, series, tracks, vectors
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "basics", "catalogs", "detection", "measures", "records", "series", "services", "tracks", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "basics", "catalogs", "detection", "generated", "measures", "records", "series", "services", "tracks", "vectors"]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.codec import Options, compress
@@ -42,6 +42,17 @@ def write_quoted_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("quoteAll", True).option("escape", '"').option("header", True).csv(path)
 
 
+def write_meta(df: DataFrame, path: str) -> None:
+    """A JSON line for each row, nulls kept: descriptions of assets and cameras."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and the metrics of its rows as they pass: to be read with ``get`` once df is written. No second pass."""
+    seen = Observation(name)
+    return df.observe(seen, *metrics), seen
+
+
 def crop_name(video, frame, obj=None, negative=None):
     """Name of a labelled crop; digits are zero-padded."""
     return F.format_string("%s_%06d_%04d", video, frame, obj) if obj is not None else F.format_string("%s_%06d_neg_%04d", video, frame, negative)

@@ -142,3 +142,18 @@ def test_an_undecodable_image_is_an_error(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"no image")
     with pytest.raises(Exception, match="not an image"):
         files.read_images(spark, str(tmp_path)).collect()
+
+
+def test_meta_and_metrics(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from basaltine.sources import sinks
+
+    df = spark.createDataFrame([("a", 1), ("b", None)], "name string, n long")
+    out, seen = sinks.measured(df, "passed", F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+    sinks.write_meta(out.coalesce(1), str(tmp_path / "meta"))
+    lines = [json.loads(line) for f in (tmp_path / "meta").glob("*.json") for line in f.read_text().splitlines()]
+    assert sorted(lines, key=lambda r: r["name"]) == [{"name": "a", "n": 1}, {"name": "b", "n": None}]
+    assert seen.get == {"rows": 2, "total": 1}
