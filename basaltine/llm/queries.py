@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, lm_scores, minhash, mixing, pieces, quality, secrets, substring, urls
+from . import exact, fingerprints, lm_scores, minhash, mixing, pieces, quality, secrets, substring, tries, urls
 from .scratch import documents
 
 
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_sentencepiece,
         op10_url_filter,
+        op11_prefix_trie,
     )
 }
 
@@ -112,4 +117,5 @@ k AS (SELECT doc_id, pos, n3, n2v, CASE WHEN pos = 1 THEN ln(s1) WHEN n2 > 0 THE
 s AS (SELECT doc_id, sum(CASE WHEN pos < 3 THEN l2 WHEN n3 > 0 THEN ln(n3 / n2v::DOUBLE) ELSE ln(0.4::DOUBLE) + l2 END) AS score FROM k GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(score / len(words), 0.0), 6) AS log_score, round(coalesce(score, 0.0), 4) AS log_sum FROM w LEFT JOIN s USING (doc_id)""",
     "op10_url_filter": urls.ORACLE,
+    "op11_prefix_trie": tries.ORACLE,
 }

@@ -13,7 +13,7 @@ from basaltine.llm import exact, minhash, mixing, pieces, quality, queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(small, t)}.parquet'")
     got = queries.QUERIES[name](spark, small)
     want = con.execute(queries.ORACLE_SQL[name])
