@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, lm_scores, minhash, mixing, pieces, quality, secrets, substring, tries, urls
+from . import exact, fingerprints, lm_scores, minhash, mixing, pieces, quality, rules, secrets, substring, tries, urls, whitening
 from .scratch import documents
 
 
@@ -58,6 +58,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sentencepiece,
         op10_url_filter,
         op11_prefix_trie,
+        op12_embedding_whitening,
+        op13_quality_rules,
     )
 }
 
@@ -118,4 +128,5 @@ s AS (SELECT doc_id, sum(CASE WHEN pos < 3 THEN l2 WHEN n3 > 0 THEN ln(n3 / n2v:
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(score / len(words), 0.0), 6) AS log_score, round(coalesce(score, 0.0), 4) AS log_sum FROM w LEFT JOIN s USING (doc_id)""",
     "op10_url_filter": urls.ORACLE,
     "op11_prefix_trie": tries.ORACLE,
+    "op13_quality_rules": rules.ORACLE,
 }
