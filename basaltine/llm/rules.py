@@ -15,7 +15,8 @@ in general: a beta prior whose mean is that of the hosts' rates and whose streng
 from their variance, less what sampling explains (method of moments, between
 ``WEAKEST`` and ``STRONGEST`` documents). A host is rejected with all its documents
 where a shrunk rate is above ``LIMIT``, i.e. where a next document would rather break the
-rule than not. So one bad document does not condemn a small host.
+rule than not. So one bad document does not condemn a small host, however unlike
+the other hosts are.
 
 Counts by host are partial aggregates; hosts with more than 1/``HEAVY`` of the
 documents, fewer than ``HEAVY``, are joined back by broadcast, the others by a
@@ -43,7 +44,7 @@ from .tokens import _WORD, Words, chunks, give_back, words_of
 RULES = ("short", "repetition", "symbols", "lines", "word_length")
 #: Rules that reject a document by itself.
 BASE = ("short", "repetition")
-LEAST_WORDS, LIMIT, WEAKEST, STRONGEST, HEAVY = 10, 0.5, 2.0, 1000.0, 512
+LEAST_WORDS, LIMIT, WEAKEST, STRONGEST, HEAVY = 10, 0.5, 10.0, 1000.0, 512
 RUN = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "broken")
 _SYMBOL = np.zeros(256, bool)
@@ -183,7 +184,7 @@ _FAILED = ", ".join(
     f"""CASE WHEN (f{k} + m{k} * z{k}) / (n + z{k}) > 0.5 THEN '{rule}' END""" for k, rule in enumerate(RULES)
 )
 _STRENGTH = ", ".join(
-    f"""CASE WHEN s{k} - m{k} * m{k} - m{k} * (1 - m{k}) * w > 0 THEN least(greatest(m{k} * (1 - m{k}) / (s{k} - m{k} * m{k} - m{k} * (1 - m{k}) * w) - 1, 2), 1000) ELSE 1000 END AS z{k}""" for k in range(len(RULES))
+    f"""CASE WHEN s{k} - m{k} * m{k} - m{k} * (1 - m{k}) * w > 0 THEN least(greatest(m{k} * (1 - m{k}) / (s{k} - m{k} * m{k} - m{k} * (1 - m{k}) * w) - 1, 10), 1000) ELSE 1000 END AS z{k}""" for k in range(len(RULES))
 )
 
 ORACLE = rf"""
