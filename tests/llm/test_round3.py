@@ -221,7 +221,7 @@ def brute_hosts(rows: list[tuple[str | None, int]]) -> dict[str, str]:
         rates = {h: sum(b >> k & 1 for b in v) / len(v) for h, v in held.items()}
         m = sum(rates.values()) / len(rates)
         between = sum(r * r for r in rates.values()) / len(rates) - m * m - m * (1 - m) * sum(1 / len(v) for v in held.values()) / len(rates)
-        strength = min(max(m * (1 - m) / between - 1, 2), 1000) if between > 1e-15 else 1000
+        strength = min(max(m * (1 - m) / between - 1, 10), 1000) if between > 1e-15 else 1000
         for h, v in held.items():
             if (rates[h] * len(v) + m * strength) / (len(v) + strength) > 0.5:
                 bad[h].append(rule)
@@ -233,12 +233,12 @@ SOURCED = "doc_id long, text string, source string, host string, broken int, `od
 
 def sourced() -> list[tuple]:
     g = random.Random(6)
-    good = lambda: " ".join(g.choices(["alpha", "beta", "gamma", "delta", "theta", "kappa"], k=40) + [str(g.random())])
+    good = lambda: " ".join(g.choices([f"word{k}" for k in range(40)], k=40) + [str(g.random())])
     spam = lambda: "".join(f" #{g.random()}" for _ in range(20))
     out = []
     for i, t in enumerate(odd_texts(g)):
         out.append((i, t, g.choice(["s1", None, "https://A.example/x", "http://a.EXAMPLE?q"])))
-    out += [(1000 + i, good(), g.choice(["s1", "s2", "https://a.example/"])) for i in range(150)]
+    out += [(1000 + i, good(), g.choice(["s1", "s2", "https://a.example/", "s4", "s5", "s6"])) for i in range(150)]
     # Hosts of symbol spam: a large one that goes, and one with a single bad document beside none.
     out += [(2000 + i, good() + spam() if i % 10 else good(), "spam") for i in range(60)]
     out += [(3000, good() + spam(), "small"), (None, good(), "s2"), (1001, good(), "s2"), (1001, good(), "s2")]
@@ -253,7 +253,7 @@ def test_rule_report(spark, heavy, monkeypatch):
     host = lambda s: s.split("://")[1].split("/")[0].split("?")[0].lower() if s and "://" in s else s
     found = [(i, host(s), brute_features(t)) for i, t, s in rows]
     bad = brute_hosts([(h, f[6]) for _, h, f in found])
-    assert bad["spam"] == "symbols" and bad["small"] == bad["s2"] == ""
+    assert "symbols" in bad["spam"] and bad["small"] == bad["s2"] == ""
     want = Counter((i, *f[:3], *f[4:6], bool(f[6] & 3), not f[6] & 3 and not bad.get(h), h, bad.get(h, "")) for i, h, f in found)
     got = rules.rule_report(df)
     assert Counter(tuple(r) for r in got.collect()) == want
@@ -275,3 +275,31 @@ def test_scratch_names(spark):
     for d in (0, 1):
         s.write(spark.range(d + 1), f"levels/depth={d}")
     assert sorted(tuple(r) for r in spark.read.schema("id long, depth long").parquet(f"{s.base}/levels").collect()) == [(0, 0), (0, 1), (1, 1)]
+
+
+# 7
+
+
+def test_one_long_trusted_text(spark, monkeypatch):
+    """A trusted text beyond the training bound, wherever it stands, neither empties the sample nor keeps others out."""
+    from basaltine.llm import quality
+
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 30_000)
+    monkeypatch.setattr(quality, "LONG_CHARS", 2_000)
+    g = random.Random(8)
+    good = lambda k: " ".join(g.choices(["the", "river", "runs", "under", "old", "stones", "and", "winter", "trees"], k=k))
+    bad = lambda: "".join(g.choices("qxzjkvw#%0123456789", k=250))
+    rows = [(i, good(40), "en") for i in range(300)] + [(1000 + i, bad(), "en") for i in range(100)]
+    half = spark.range(300).withColumnRenamed("id", "doc_id").where(quality._half() < 500_000).orderBy(quality._half()).collect()
+    for at in (half[0].doc_id, half[-1].doc_id):
+        docs = spark.createDataFrame([r if r[0] != at else (at, good(8_000), "en") for r in rows], "doc_id long, text string, lang string")
+        labels = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+        got = quality.classify(docs, labels)
+        assert got.where("perplexity is null").count() == 0
+        kept = {r.doc_id for r in got.where("kept").collect()}
+        assert len(kept & set(range(300))) >= 290 and not kept & set(range(1000, 1100))
+        assert {r.doc_id for r in quality.quality_filter(docs, labels).collect()} == kept
+    # Trusted rows of one half alone, or with text in one half alone, still make a model.
+    for one in ({half[0].doc_id}, set(range(300)) - {r.doc_id for r in half}):
+        labels = docs.select("doc_id", F.col("doc_id").isin(list(one)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+        assert quality.classify(docs, labels).where("threshold is null").count() == 0
