@@ -24,6 +24,8 @@ import base64
 import binascii
 import json
 import re
+import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,16 +59,30 @@ def _decode64(run: str) -> bytes | None:
         return None
 
 
-def _decoded(run: str) -> bytes | None:
-    """The bytes of a run that starts as a key does; none if a DER head already tells of another length."""
-    if run[0] not in "36":
-        head = _decode64(run[:8]) or b""
-        top = _tlv(head, 0, 1 << 40) if run[0] == "M" and len(head) == 6 else None
-        return None if run[0] == "M" and (top is None or top[2] != len(run.rstrip("=")) * 3 // 4) else _decode64(run)
-    try:
-        return bytes.fromhex(run)
-    except ValueError:
-        return None
+def _peek(text: str, at: int, end: int, byte: int, n: int) -> bytes:
+    """n bytes from the given one on of the base64 from ``at`` to ``end``."""
+    a = at + byte // 3 * 4
+    return (_decode64(text[a : min(end, a + (n + 4) // 3 * 4 + 4)]) or b"")[byte % 3 :][:n]
+
+
+def _key_at(text: str, at: int, bare: int, end: int, hex_from: int) -> bool:
+    """Whether the run from ``at`` to ``end`` (``bare`` without padding, hex digits alone from ``hex_from`` on) is a private key. Its outer lengths are tested before anything is copied."""
+    if text[at] in "36":
+        # Only what holds hex digits to its end can be hex, and a start follows a separator: one at most for each run.
+        if at < hex_from or (end - at) % 2:
+            return False
+        return is_private_key(bytes.fromhex(text[at:end]))
+    size = (bare - at) * 3 // 4
+    if text[at] == "M":
+        head = _peek(text, at, bare, 0, 6)
+        top = _tlv(head, 0, 1 << 40)
+        told = top[2] if top and len(head) == 6 else -1
+    else:
+        told = 15
+        for k in range(5):
+            told += 4 * (k == 3)
+            told += 4 + int.from_bytes(_peek(text, at, bare, told, 4), "big") if told + 4 <= size else size + 1
+    return told == size and is_private_key(_decode64(text[at:end]) or b"")
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -169,21 +185,31 @@ def _is_pem_key(body: str) -> bool:
     return block in (8, 16) and len(data) % block == 0 and "ENCRYPTED" in body
 
 
-def _wrapped(text: str, start: int, end: int) -> int | None:
-    """The end of a key whose run from start to end goes on in the next lines, by its outer length."""
-    head = _decode64(text[start : start + 8]) or b""
-    top = _tlv(head, 0, 1 << 40) if len(head) == 6 and head[0] == 0x30 else None
-    if top is None:
-        return None
-    need, got = (top[2] * 4 + 2) // 3, [text[start:end]]
-    have = len(got[0])
-    while have < need:
-        line = _NEXT_LINE.match(text, end)
-        if line is None:
+class _Lines:
+    """Lines of base64 that follow one another, with their running lengths: where a wrapped key must end is looked up, not walked to."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.ends, self.total, self.chain = text, {}, [], [0], []
+        for m in _NEXT_LINE.finditer(text):
+            joined = self.ends and self.ends[-1] == m.start()
+            self.at[m.start()] = len(self.ends)
+            self.chain.append(self.chain[-1] + (not joined) if self.chain else 0)
+            self.ends.append(m.end())
+            self.total.append(self.total[-1] + len(m[1].rstrip("=")))
+
+    def wrapped(self, start: int, end: int) -> int | None:
+        """The end of a key whose run from start to end goes on in the next lines, by its outer length."""
+        head = _decode64(self.text[start : start + 8]) or b""
+        top = _tlv(head, 0, 1 << 40) if len(head) == 6 and head[0] == 0x30 else None
+        first = self.at.get(end)
+        if top is None or first is None:
             return None
-        got.append(line[1])
-        have, end = have + len(line[1].rstrip("=")), line.end()
-    return end if len(got) > 1 and have == need and is_private_key(_decode64("".join(got)) or b"") else None
+        missing = (top[2] * 4 + 2) // 3 - (end - start)
+        last = bisect_left(self.total, self.total[first] + missing) - 1
+        if missing <= 0 or last >= len(self.ends) or self.total[last + 1] != self.total[first] + missing or self.chain[last] != self.chain[first]:
+            return None
+        body = self.text[start:end] + "".join(m[1] for m in _NEXT_LINE.finditer(self.text, end, self.ends[last]))
+        return self.ends[last] if is_private_key(_decode64(body) or b"") else None
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -210,14 +236,24 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     framed = [(m.start(), m.end()) for m in _PEM.finditer(text) if _is_pem_key(m[2])] if "-----BEGIN " in text else []
     out += [(a, 3, e) for a, e in framed]
+    opened, closed, lines = [a for a, _ in framed], [e for _, e in framed], None
     for m in _RUN.finditer(text):
-        for x in _START.finditer(m[0]):
-            start, run = m.start() + x.start(), m[0][x.start() :]
-            if len(run) < 16 or any(a <= start < e for a, e in framed):
+        run, begin, end = m[0], m.start(), m.end()
+        bare, hex_from = begin + len(run.rstrip("=")), begin + len(run.rstrip(string.hexdigits))
+        for x in _START.finditer(text, begin, end - 15):
+            start = x.start()
+            k = bisect_right(opened, start) - 1
+            if k >= 0 and start < closed[k]:
+                continue
+            if _key_at(text, start, bare, end, hex_from):
+                found = end
+            elif text[start] == "M" and text[end : end + 1] in ("\r", "\n", "\\"):
+                lines = lines or _Lines(text)
+                found = lines.wrapped(start, end)
+            else:
                 continue
-            end = m.end() if is_private_key(_decoded(run) or b"") else _wrapped(text, start, m.end()) if run[0] == "M" else None
-            if end:
-                out.append((start, 3, end))
+            if found:
+                out.append((start, 3, found))
                 break
     if ".ey" in text or "ey" in text and "." in text:
         out += [(m.start(), 4, m.end(3)) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
