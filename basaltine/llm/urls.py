@@ -8,7 +8,8 @@ chunk at one position is
     D = ((D << 1) & B[byte]) | (D & L[byte])
 
 with the literals in B and the loops in L. URLs are stepped together, longest
-first, so that finished ones fall off the end. ``*`` in a host stops at the
+first, so that finished ones fall off the end; the few that are longer than all others
+are then finished one by one, so a single long URL costs its own length. ``*`` in a host stops at the
 first ``/`` (its loop lacks that byte); ``*`` elsewhere takes any byte.
 
 Null URLs and those without ``://`` have empty host and path; no rule fits them
@@ -35,7 +36,7 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 GLOBS = ("*spam-farm*", "*cheap-pills*", "*casino*", "*/track/*.gif")
 #: Wildcards in patterns; literals are bytes.
 ANY, IN_HOST = -1, -2
-STEP_ROWS = 4096
+STEP_ROWS, FEW = 4096, 32
 
 
 def host_patterns(rule: str) -> list[list[int]]:
@@ -72,10 +73,22 @@ class ShiftAnd:
             self.final.append(at)
             at += 1
         self.b, self.loop, self.start = (self._pack(x) for x in (b, loop, start[None]))
+        self.whole: tuple[list[int], list[int]] | None = None
 
     def _pack(self, bits: np.ndarray) -> np.ndarray:
         return np.packbits(bits.reshape(len(bits), self.width, 64), axis=2, bitorder="little").view("<u8").reshape(len(bits), self.width).astype(U64)
 
+    def _run(self, state: np.ndarray, rest: bytes) -> np.ndarray:
+        """The same step with the words as one number, for a single text."""
+        if self.whole is None:
+            number = lambda x: [int.from_bytes(r.astype("<u8").tobytes(), "little") for r in x]
+            self.whole = number(self.b), number(self.loop)
+        b, loop = self.whole
+        d = int.from_bytes(state.astype("<u8").tobytes(), "little")
+        for c in rest:
+            d = d << 1 & b[c] | d & loop[c]
+        return np.frombuffer(d.to_bytes(8 * self.width, "little"), "<u8").astype(U64)
+
     def match(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Which texts each pattern accepts: booleans, texts by patterns."""
         n = len(offs) - 1
@@ -86,7 +99,9 @@ class ShiftAnd:
             rows = rows[np.argsort(-size[rows], kind="stable")]
             d = np.repeat(self.start, len(rows), axis=0)
             begin, length = offs[:-1][rows], size[rows]
-            for k in range(int(length[0]) if len(rows) else 0):
+            # In step as long as there are many; the few longest then go on one by one.
+            shared = int(length[FEW]) if len(rows) > FEW else 0
+            for k in range(shared):
                 live = int(np.searchsorted(-length, -k, side="left"))
                 c, old = data[begin[:live] + k], d[:live]
                 new = old << U64(1)
@@ -94,6 +109,9 @@ class ShiftAnd:
                 new &= self.b[c]
                 new |= old & self.loop[c]
                 d[:live] = new
+            for r in range(min(FEW, len(rows))):
+                if length[r] > shared:
+                    d[r] = self._run(d[r], data[begin[r] + shared : begin[r] + length[r]].tobytes())
             for j, f in enumerate(self.final):
                 out[rows, j] = (d[:, f // 64] >> U64(f % 64)) & U64(1) != 0
         return out
