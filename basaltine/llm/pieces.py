@@ -16,6 +16,9 @@ encoded once. For the concatenated text of the distinct cuts:
    merging the two pieces' text gives these two again. For byte-pair merges
    ranked by the merged piece exactly one edge passes at each position.
 
+A cut of more than ``LONG_CUT`` bytes is encoded in overlapping blocks, which are joined
+at a piece that neighbours have in common.
+
 So the result is that of merging by rank, the library's own algorithm, with
 characters outside the vocabulary as byte pieces. The vocabulary is read from a
 model file on the driver, has a fixed size and travels with the code. Null text
@@ -33,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import text_of
-from .tokens import U64, chunks, give_back
+from .tokens import U64, chunks, give_back, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of distinct cuts in a suffix array, and of texts encoded at a time, at most but for one longer text: they bound a worker's memory and change no result.
 ARRAY_BYTES = 192 << 10
 BATCH_BYTES = 512 << 10
+#: Longer cuts (text without spaces) are encoded in overlapping blocks, so that rounds of relaxing do not follow their length.
+LONG_CUT, BLOCK_BYTES, OVERLAP = 8192, 1024, 256
+#: Pairs of pieces whose fit is remembered, and how many are looked at one by one.
+SLOT_BITS, FEW = 20, 200
 
 
 class Vocabulary:
@@ -78,7 +85,10 @@ class Vocabulary:
         self.unknown = len(order)
         self.sizes = np.array([len(b) for b in self.texts] + [0], np.int64)
         self.byte_ids = np.array(byte_ids, np.int32)
-        self.known_keys, self.known = np.empty(0, np.int64), np.empty(0, bool)
+        self.known_keys, self.known = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
+        self.splits = np.array([*self.split, (0, 0)], np.int64)
+        joint = sorted((self.rank[p[:k]] << 32 | self.rank[p[k:]], r) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
+        self.joint_keys, self.joint_ranks = (np.array(x, np.int64) for x in zip(*joint, strict=True)) if joint else (np.full(1, -1, np.int64), np.zeros(1, np.int64))
         kept.sort(key=lambda r: self.texts[r])  # neighbours in the suffix array are looked up together
         matched = np.array(kept, np.int64)
         pad = np.zeros((len(matched), 16), np.uint8)
@@ -104,14 +114,15 @@ class Vocabulary:
         """Pieces of n spaces that merged with nothing else."""
         got = self.run_cache.get(n)
         if got is None:
-            parts, k = [1] * n, 0
-            while k + 1 < len(parts):
-                if parts[k] + parts[k + 1] in self.runs:
-                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                    k = max(0, k - 1)  # the merged piece may now fit the one before it, which comes first
-                else:
-                    k += 1
-            got = self.run_cache[n] = [self.runs[x] for x in parts]
+            parts: list[int] = []
+            for _ in range(n):
+                parts.append(1)
+                # A merged piece may now fit the one before it, which comes first.
+                while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                    parts[-2:] = [parts[-2] + parts[-1]]
+            got = [self.runs[x] for x in parts]
+            if n < 1 << 12:
+                self.run_cache[n] = got
         return got
 
     def adjacent(self, a: int, b: int) -> bool:
@@ -134,26 +145,45 @@ class Vocabulary:
                     if a == limit:
                         return True
 
+    def adjacent_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``adjacent`` of many pairs in step."""
+        out, at = np.ones(len(a), bool), np.arange(len(a))
+        a, b, limit = a.astype(np.int64), b.astype(np.int64), np.full(len(a), 1 << 30, np.int64)
+        while len(at):
+            key = a << 32 | b
+            place = np.minimum(np.searchsorted(self.joint_keys, key), len(self.joint_keys) - 1)
+            crossed = (self.joint_keys[place] == key) & (self.joint_ranks[place] < limit)
+            out[at[crossed]] = False
+            first = a > b
+            left, right = np.where(first, self.splits[a, 1], a), np.where(first, b, self.splits[b, 0])
+            limit = np.where(first, a, b + 1)
+            # One side is a single character: the other is undone now.
+            single = np.where(first, left == limit, right + 1 == limit)
+            again_l, again_r = np.where(single & ~first, self.splits[a, 1], left), np.where(single & first, self.splits[b, 0], right)
+            limit = np.where(single, np.where(first, b + 1, a), limit)
+            done = crossed | single & np.where(first, again_r + 1 == limit, again_l == limit)
+            live = ~done
+            at, a, b, limit = at[live], again_l[live], again_r[live], limit[live]
+        return out
+
     def fits(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """``adjacent`` for arrays, remembered; the start (-1) and unknown characters stand next to anything."""
+        """``adjacent`` for arrays, remembered in a table of fixed size; the start (-1) and unknown characters stand next to anything."""
         out = np.ones(len(token), bool)
         ask = np.flatnonzero((last >= 0) & (last != self.unknown) & (token != self.unknown))
         if len(ask):
             keys = (last[ask].astype(np.int64) << 32) | token[ask]
-            at = np.minimum(np.searchsorted(self.known_keys, keys), max(0, len(self.known_keys) - 1))
-            new = self.known_keys[at] != keys if len(self.known_keys) else np.ones(len(keys), bool)
-            if new.any():
-                more = np.unique(keys[new])
-                values = np.array([self.adjacent(k >> 32, k & 0xFFFFFFFF) for k in more.tolist()], bool)
-                if len(self.known_keys) > 4_000_000:
-                    self.known_keys, self.known = np.empty(0, np.int64), np.empty(0, bool)
-                    more = np.unique(keys)
-                    values = np.array([self.adjacent(k >> 32, k & 0xFFFFFFFF) for k in more.tolist()], bool)
-                keys_all = np.concatenate([self.known_keys, more])
-                order = np.argsort(keys_all, kind="stable")
-                self.known_keys, self.known = keys_all[order], np.concatenate([self.known, values])[order]
-                at = np.searchsorted(self.known_keys, keys)
-            out[ask] = self.known[at]
+            slot = (mix(keys.view(U64)) >> U64(64 - SLOT_BITS)).astype(np.int64)
+            new = np.flatnonzero(self.known_keys[slot] != keys)
+            got = self.known[slot]
+            if len(new):
+                k = keys[new]
+                values = self.adjacent_all(k >> 32, k & 0xFFFFFFFF) if len(k) > FEW else np.array([self.adjacent(x >> 32, x & 0xFFFFFFFF) for x in k.tolist()], bool)
+                self.known_keys[slot[new]], self.known[slot[new]] = k, values
+                # Of pairs of one place the last stays; each has its own value here.
+                kept = self.known_keys[slot[new]] == k
+                self.known[slot[new[kept]]] = values[kept]
+                got[new] = values
+            out[ask] = got
         return out
 
 
@@ -186,8 +216,8 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
 
 
-def _encode_units(v: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of the cuts of ``data`` that begin at ``starts``."""
+def _pieces_of(v: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, pieces by rank) of the encodings of the cuts of ``data`` that begin at ``starts``, in order; unknown characters are one piece each."""
     n = len(data)
     ends = np.concatenate([starts[1:], [n]])
     starts32, ends32 = starts.astype(np.int32), ends.astype(np.int32)
@@ -257,7 +287,72 @@ def _encode_units(v: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[
         at, owner = s[live], owner[live]
     pos, tok = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (got_pos, got_tok))
     order = np.argsort(pos)
-    pos, tok = pos[order], tok[order]
+    return pos[order].astype(np.int64), tok[order]
+
+
+def _stitched(v: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_pieces_of one long cut, from blocks that overlap.
+
+    A sequence of pieces is an encoding if each fits the one before it. So the encoding of what lies before a border
+    and that of a block which begins earlier may be joined at any piece that both have. Where they have none, the
+    block begins earlier still; at the cut's own start at last.
+    """
+    n = len(data)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    borders = np.searchsorted(lead, np.arange(0, n, BLOCK_BYTES))
+    borders = lead[borders[borders < len(lead)]]
+    borders = np.append(np.unique(borders), n)
+
+    def blocks(begins: np.ndarray, stops: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = np.concatenate([[0], np.cumsum(stops - begins)])
+        source, _ = _ranges(begins, stops)
+        pos, tok = _pieces_of(v, data[source], at[:-1])
+        cuts = np.searchsorted(pos, at)
+        return [(pos[a:b] - p + q, tok[a:b]) for a, b, p, q in zip(cuts[:-1], cuts[1:], at[:-1], begins, strict=True)]
+
+    each = max(1, ARRAY_BYTES // (BLOCK_BYTES + OVERLAP))
+    got_pos, got_tok, seen = [], [], {}
+    for k in range(0, len(borders) - 1, each):
+        ks = np.arange(k, min(k + each, len(borders) - 1))
+        begins = lead[np.searchsorted(lead, np.maximum(borders[ks] - OVERLAP, 0), side="right") - 1]
+        for j, (pos, tok) in zip(ks.tolist(), blocks(begins, borders[ks + 1]), strict=True):
+            reach = OVERLAP
+            while j:
+                old_pos, old_tok = got_pos[-1], got_tok[-1]
+                _, a, b = np.intersect1d(old_pos, pos, assume_unique=True, return_indices=True)
+                same = np.flatnonzero(old_tok[a] == tok[b])
+                if len(same):
+                    x = same[-1]
+                    got_pos[-1], got_tok[-1] = old_pos[: a[x]], old_tok[: a[x]]
+                    pos, tok = pos[b[x] :], tok[b[x] :]
+                    break
+                # Text of one period, for instance: begin where a piece begins, further back each time.
+                begin = int(old_pos[max(0, np.searchsorted(old_pos, borders[j] - reach, side="right") - 1)])
+                if begin == old_pos[0] and len(got_pos) > 1:
+                    got_pos[-2:], got_tok[-2:] = [np.concatenate(got_pos[-2:])], [np.concatenate(got_tok[-2:])]
+                reach *= 2
+                text = data[begin : borders[j + 1]].tobytes()
+                if text not in seen:
+                    if len(seen) > 64:
+                        seen.clear()
+                    ((pos, tok),) = blocks(np.array([begin]), borders[j + 1 : j + 2])
+                    seen[text] = pos - begin, tok
+                pos, tok = seen[text][0] + begin, seen[text][1]
+                if not begin:
+                    got_pos, got_tok = [], []
+                    break
+            got_pos.append(pos)
+            got_tok.append(tok)
+    return np.concatenate(got_pos), np.concatenate(got_tok)
+
+
+def _ids_of(v: Vocabulary, data: np.ndarray, starts: np.ndarray, pos: np.ndarray, tok: np.ndarray, spaces: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of cuts from their pieces; ``spaces`` more stand before the first."""
+    n = len(data)
+    ends = np.concatenate([starts[1:], [n]])
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    span = np.zeros(n, np.int32)
+    span[lead] = np.diff(np.concatenate([lead, [n]]))
     wide = np.where(tok == v.unknown, span[pos], 1)
     out = np.repeat(v.ids[tok], wide)
     if (tok == v.unknown).any():
@@ -269,6 +364,10 @@ def _encode_units(v: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[
     offsets = np.concatenate([[0], np.cumsum(per_unit)])
     pairs = np.flatnonzero(starts + 1 < ends)
     pairs = pairs[data[starts[pairs] + 1] == 0x20]
+    if spaces:
+        n = int(np.argmin(np.append(out == v.runs[1], False)))
+        out = np.concatenate([np.array(v.run_ids(n + spaces), out.dtype), out[n:]])
+        return out, np.array([0, len(out)])
     if len(pairs):
         lone, keep = v.runs[1], np.ones(len(out), bool)
         for u in pairs.tolist():
@@ -284,6 +383,14 @@ def _encode_units(v: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[
     return out, offsets
 
 
+def _encode_long(v: Vocabulary, data: np.ndarray) -> np.ndarray:
+    """The ids of one long cut. Of many spaces before it two are encoded, and the others counted with them."""
+    spaces = int(np.argmax(np.append(data != 0x20, True)))
+    spare = max(0, spaces - 2)
+    data = data[spare:]
+    return _ids_of(v, data, np.zeros(1, np.int64), *_stitched(v, data), spaces=spare)[0]
+
+
 def encode_batch(v: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts of a chunk."""
     rows, size = len(offs) - 1, np.diff(offs)
@@ -314,9 +421,16 @@ def encode_batch(v: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.
     ids, sizes, k = [], [], 0
     total = np.concatenate([[0], np.cumsum(lens)])
     while k < len(at):
+        if lens[k] > LONG_CUT:
+            ids.append(_encode_long(v, data[starts[at[k]] : ends[at[k]]]))
+            sizes.append(np.array([len(ids[-1])]))
+            k += 1
+            continue
         j = max(k + 1, int(np.searchsorted(total, total[k] + ARRAY_BYTES, side="right")) - 1)
+        long = np.flatnonzero(lens[k:j] > LONG_CUT)
+        j = k + int(long[0]) if len(long) else j
         source, _ = _ranges(starts[at[k:j]], ends[at[k:j]])
-        part, cuts = _encode_units(v, data[source], (total[k:j] - total[k]))
+        part, cuts = _ids_of(v, data[source], first := total[k:j] - total[k], *_pieces_of(v, data[source], first))
         ids.append(part)
         sizes.append(np.diff(cuts))
         k = j

@@ -303,3 +303,60 @@ def test_one_long_trusted_text(spark, monkeypatch):
     for one in ({half[0].doc_id}, set(range(300)) - {r.doc_id for r in half}):
         labels = docs.select("doc_id", F.col("doc_id").isin(list(one)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
         assert quality.classify(docs, labels).where("threshold is null").count() == 0
+
+
+# 5, 9, 10: very long runs
+
+
+def test_long_cuts_equal_the_library():
+    import pyarrow as pa
+    import sentencepiece
+
+    from basaltine.llm import pieces
+    from basaltine.llm.tokens import buffers
+
+    v, sp = pieces.load_vocabulary(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    g = random.Random(4)
+    letters = "".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))
+    wide = "".join(g.choices("\u6f22\u5b57\u65e5\u672c\u8a9e\u4e00\u4e8c\u4e09\u7684\u662f", k=20_000))
+    texts = [letters, wide, "a" * 50_000, "ab" * 20_000 + "c", "x" + " " * 30_000 + "end" + " " * 20_001, "\U0001f9e0" * 9_000 + "\x00", "word " + letters[:9000] + " \u00e9 " + wide[:5000] + "  " + letters[:9000], "a b  c", " " * 40, "=" * 9_001 + "\n" * 9_001]
+    with np.errstate(over="ignore"):
+        ids, offsets = pieces.encode_batch(v, *buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == sp.encode(t), i
+    assert [b.decode() for b in pieces.decode_batch(v, ids, offsets)] == texts
+
+
+def test_long_runs_of_key_starts():
+    """Runs that start like a key at every few characters, wrapped blobs, and a real key behind them."""
+    import base64
+    import time
+
+    from basaltine.llm import secrets
+
+    g = random.Random(2)
+    number = lambda n: b"\x02" + bytes([n]) + bytes(g.randrange(1, 127) for _ in range(n))
+    body = b"\x02\x01\x00" + b"".join(number(20) for _ in range(8))
+    key = base64.b64encode(b"\x30\x81" + bytes([len(body)]) + body).decode()
+    blob = "\n".join("MIIEvQ" + "".join(g.choices("abcABC012+/", k=58)) for _ in range(5_000))
+    began = time.time()
+    for text in ("30/" * 200_000, "MIIEvQ/" * 50_000, "b3BlbnNzaC1rZXktdjEA/" * 20_000, blob):
+        whole = f"{text} {key} x"
+        assert (len(text) + 1, 3, len(text) + 1 + len(key)) in secrets.scan(whole)
+    lines = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    assert [x for x in secrets.scan(f"{blob}\n\n{lines}\n") if x[1] == 3] == [(len(blob) + 2, 3, len(blob) + 2 + len(lines))]
+    assert time.time() - began < 60
+
+
+def test_long_urls():
+    import pyarrow as pa
+
+    from basaltine.llm import urls
+    from basaltine.llm.tokens import buffers
+
+    automaton = urls.ShiftAnd([p for _, r in urls.RULES for p in urls.host_patterns(r)] + [urls.glob_pattern(x) for x in urls.GLOBS])
+    texts = ["a" * 200_000 + "casino", "x.com/en/" + "b" * 100_000, "x.com/en", "", "spam-farm", *(f"h{i}.net/de/{'c' * i}" for i in range(100))]
+    got = automaton.match(*buffers(pa.array(texts)))
+    one = np.concatenate([automaton.match(*buffers(pa.array([t]))) for t in texts])
+    assert (got == one).all()
+    assert got[0].tolist().count(True) == 1 and got[1].any() and not got[2].any() and got[5:].any(axis=1).all()
