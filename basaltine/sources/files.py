@@ -11,6 +11,7 @@ import json
 import re
 import struct
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return got or tempfile.mkdtemp(prefix="basaltine-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut and nothing is computed twice."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
