@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def overlap_edges(df: DataFrame, node: str, marker: str, self_pairs: bool = False) -> DataFrame:
     """(src, dst, weight): markers that two nodes share, src < dst (or <= with self pairs)."""
@@ -53,6 +55,47 @@ def spanning_forests(edges: DataFrame, scan: str) -> DataFrame:
     return edges.select(scan, "src", "dst", "weight").groupBy(scan).applyInPandas(run, f"{scan} {kind[scan]}, parent {kind['src']}, child {kind['dst']}, weight {kind['weight']}")
 
 
+def _rooted(links: DataFrame, part: str) -> DataFrame:
+    """(part, node, root) of nodes that each point to one other of their part (part, node, to), where the only cycles are pairs: pointers are doubled until nothing moves. Of a pair the smaller is the root."""
+    back = links.select(part, F.col("node").alias("to"), F.col("to").alias("__back"))
+    now = links.join(back, [part, "to"], "left")
+    pair = F.col("__back").eqNullSafe(F.col("node")) & (F.col("node") < F.col("to"))
+    now = written(now.select(part, "node", F.when(pair, F.col("node")).otherwise(F.col("to")).alias("to")))
+    while True:
+        step = now.select(part, F.col("node").alias("to"), F.col("to").alias("__next"))
+        new = written(now.join(step, [part, "to"], "left").select(part, "node", F.coalesce("__next", "to").alias("to"), (F.col("__next") != F.col("to")).alias("__moved")))
+        now = new.select(part, "node", "to")
+        if new.where("__moved").isEmpty():
+            return now.withColumnRenamed("to", "root")
+
+
+def forest_edges(edges: DataFrame, part: str) -> DataFrame:
+    """(part, src, dst, weight) of the maximum spanning forest of each part's graph (part, src, dst, weight); of equal weights the lesser (src, dst) is better.
+
+    Rounds of Boruvka: every component takes its best edge to another one (an aggregate), components that are so joined are
+    contracted, and of the edges between two components only the best is kept. The number of components at least halves
+    each round, and no part is gathered anywhere. Loops and edges with a null are left out; of parallel edges the best counts.
+    """
+    e = edges.select(part, "src", "dst", "weight").dropna().where("src <> dst")
+    rank = F.struct((-F.col("weight")).alias("w"), F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("weight").alias("weight"))
+    live = written(e.select(part, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), rank.alias("best")).groupBy(part, "a", "b").agg(F.min("best").alias("best")))
+    taken = []
+    while not live.isEmpty():
+        ends = live.select(part, F.col("a").alias("node"), F.col("b").alias("to"), "best").unionByName(live.select(part, F.col("b").alias("node"), F.col("a").alias("to"), "best"))
+        pick = written(ends.groupBy(part, "node").agg(F.min(F.struct("best", "to")).alias("p")).select(part, "node", F.col("p.to").alias("to"), F.col("p.best").alias("best")))
+        taken.append(pick.select(part, "best.src", "best.dst", "best.weight"))
+        root = _rooted(pick.select(part, "node", "to"), part)
+        live = live.join(root.select(part, F.col("node").alias("a"), F.col("root").alias("ra")), [part, "a"]).join(root.select(part, F.col("node").alias("b"), F.col("root").alias("rb")), [part, "b"])
+        live = live.where("ra <> rb").groupBy(part, F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("best").alias("best"))
+        live = written(live)
+    if not taken:
+        return edges.select(part, "src", "dst", "weight").limit(0)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
 def propagated(roots: DataFrame, steps: DataFrame, compose) -> DataFrame:
     """(node, value): values carried from the roots (node, value) along tree edges (parent, child, value) until no node is new.
 

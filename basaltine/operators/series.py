@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,3 +232,67 @@ def best_lut(hist: np.ndarray, levels: int = 256) -> np.ndarray:
         out[a:b] = k - 1
         b = a
     return out
+
+
+def banded_lut(hist: np.ndarray, levels: int = 256, band: int = 65) -> np.ndarray:
+    """The monotone table from values to levels with the fewest collisions that stays near the straight line.
+
+    Values 0 .. n-1 go to levels 0 .. levels-1, the next value to the same level or the next one, and no value x further than
+    ``band`` from round(levels * x / n). A level costs all that falls on it but its most frequent value. Exact dynamic
+    programming over (level, last value of its run); runs of all lengths that the band allows.
+    """
+    hist = np.asarray(hist, np.int64)
+    n = len(hist)
+    if n < levels:
+        raise ValueError("fewer values than levels")
+    line = np.rint(levels * np.arange(n) / n)
+    sums = np.concatenate([[0], np.cumsum(hist)])
+    far = np.iinfo(np.int64).max // 4
+    before = np.full(n + 1, far)
+    before[0] = 0
+    starts = np.zeros((levels, n), np.int32)
+    for y in range(levels):
+        inside = np.flatnonzero(np.abs(y - line) <= band)
+        now = np.full(n + 1, far)
+        if len(inside):
+            lo, hi = int(inside[0]), int(inside[-1]) + 1
+            most = np.zeros(hi - lo, np.int64)
+            for width in range(1, hi - lo + 1):
+                # Runs of this width that begin at lo, lo + 1, ...
+                top = most[: hi - lo - width + 1] = np.maximum(most[: hi - lo - width + 1], hist[lo + width - 1 : hi])
+                a = np.arange(lo, hi - width + 1)
+                cost = before[a] + sums[a + width] - sums[a] - top
+                better = cost < now[a + width]
+                now[a[better] + width] = cost[better]
+                starts[y, a[better] + width - 1] = a[better]
+        before = now
+    if before[n] >= far:
+        raise ValueError("no table within the band")
+    out, end = np.zeros(n, np.int64), n
+    for y in range(levels - 1, -1, -1):
+        a = int(starts[y, end - 1])
+        out[a:end] = y
+        end = a
+    return out
+
+
+def lookup_tables(df: DataFrame, keys: list[str], value: str, values: int = 1024, levels: int = 256, band: int = 65) -> DataFrame:
+    """(keys, collisions, lut): a banded table for each group of values in 0 .. values-1, from histograms summed in Spark; others and nulls are not counted."""
+    counted = df.where(F.col(value).between(0, values - 1)).groupBy(*keys, F.col(value).cast("int").alias("__v")).agg(F.count("*").alias("__n"))
+    # One entry for each value at most.
+    hists = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__v", "__n"))).alias("__h"))
+
+    @F.arrow_udf("struct<collisions: bigint, lut: array<int>>")
+    def table(h: pa.Array) -> pa.Array:
+        rows = []
+        for entries in h.to_pylist():
+            hist = np.zeros(values, np.int64)
+            for v, n in entries:
+                hist[v] = n
+            lut = banded_lut(hist, levels, band)
+            top = np.zeros(levels, np.int64)
+            np.maximum.at(top, lut, hist)
+            rows.append({"collisions": int(hist.sum() - top.sum()), "lut": lut.tolist()})
+        return pa.array(rows, pa.struct([("collisions", pa.int64()), ("lut", pa.list_(pa.int32()))]))
+
+    return hists.withColumn("__t", table("__h")).select(*keys, "__t.collisions", "__t.lut")

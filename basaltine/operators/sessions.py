@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 SESSIONS = "id string, created_at timestamp, finalized_at timestamp, name string, handle string, email string, notify_opt_in boolean, mode string, image_count int, focal_length float"
 IMAGES = "id long, session_id string, server_filename string, original_mime string, size_bytes long, sha256 string, hash_source string, created_at timestamp"
 DEDUP = "sha256 string, image_id long"
@@ -111,6 +113,53 @@ def rate_limited(df: DataFrame, key: str, ts: str, order: list[str], limit: int,
     return df.withColumn("window_start", start).withColumn("hit", F.row_number().over(w)).withColumn("allowed", F.col("hit") <= limit)
 
 
+def _successors(times: DataFrame, span: int) -> DataFrame:
+    """(t, next) of distinct times t: the first one more than ``span`` later, null where there is none.
+
+    It stands in the bucket (of one span) after t's, or else begins the next bucket that holds anything. Within a bucket times
+    are numbered on their own; only the list of buckets, one for each span of time at most, is in one line.
+    """
+    b = times.withColumn("b", F.floor(F.col("t") / span))
+    line = Window.orderBy("b")
+    of = b.groupBy("b").agg(F.min("t").alias("first")).withColumns({"b1": F.lead("b").over(line), "f1": F.lead("first").over(line), "f2": F.lead("first", 2).over(line)}).drop("first")
+    asked = b.select((F.col("b") + 1).alias("b"), (F.col("t") + span).alias("at"), F.col("t"), F.lit(None).cast("long").alias("hit"))
+    both = asked.unionByName(b.select("b", F.col("t").alias("at"), F.lit(None).cast("long").alias("t"), F.col("t").alias("hit")))
+    # From the latest back; at equal times those who ask come first, so that they do not see what is not later.
+    seen = F.min("hit").over(Window.partitionBy("b").orderBy(F.col("at").desc(), F.col("hit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("inside", seen).where("t is not null").select("t", (F.col("b") - 1).alias("b"), "inside")
+    after = F.when(F.col("b1") == F.col("b") + 1, F.col("f2")).otherwise(F.col("f1"))
+    return found.join(of, "b").select("t", F.coalesce("inside", after).alias("next"))
+
+
+def reset_limited(df: DataFrame, key: str, ts: str, order: list[str], limit: int, seconds: int = 60) -> DataFrame:
+    """Rows with window_start, hit (number within the window and key) and allowed, as one limiter for all keys counts them.
+
+    Its window begins with the first row, and anew, for all keys at once, with the first row more than ``seconds`` after its
+    beginning. So the windows are a chain: from each time to the first one that is that much later. Which times are in
+    the chain is found by pointer doubling, in as many joins as the logarithm of its length; then each row's window begins in
+    its own span of time or the one before. Rows without a time are left out.
+    """
+    span = seconds * 1_000_000
+    rows = df.where(F.col(ts).isNotNull()).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    times = written(rows.select(F.col("__us").alias("t")).distinct())
+    jump = written(_successors(times, span).where("next is not null"))
+    chain = written(times.agg(F.min("t").alias("t")).where("t is not null"))
+    while True:
+        further = written(chain.join(jump, "t").select(F.col("next").alias("t")).join(chain, "t", "left_anti"))
+        if further.isEmpty():
+            break
+        chain = written(chain.unionByName(further))
+        # A jump now goes as far as two did.
+        jump = written(jump.join(jump.select(F.col("t").alias("next"), F.col("next").alias("n2")), "next").select("t", F.col("n2").alias("next")))
+    starts = chain.select(F.floor(F.col("t") / span).alias("__b"), F.col("t").alias("__own"))
+    before = starts.select((F.col("__b") + 1).alias("__b"), F.col("__own").alias("__before"))
+    got = rows.withColumn("__b", F.floor(F.col("__us") / span)).join(starts, "__b", "left").join(before, "__b", "left")
+    start = F.when(F.col("__own") <= F.col("__us"), F.col("__own")).otherwise(F.col("__before"))
+    got = got.withColumn("window_start", F.timestamp_micros(start)).drop("__us", "__b", "__own", "__before")
+    hit = F.row_number().over(Window.partitionBy("window_start", key).orderBy(*order))
+    return got.withColumn("hit", hit).withColumn("allowed", F.col("hit") <= limit)
+
+
 def first_focal(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """A session's focal length: the first that is known, never replaced."""
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))

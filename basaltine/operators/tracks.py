@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,9 +135,54 @@ def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return out
 
 
+def _edges(points: np.ndarray) -> np.ndarray:
+    return np.concatenate([points, np.roll(points, -1, axis=0)], axis=1)
+
+
+def common_area(a: np.ndarray, b: np.ndarray) -> float:
+    """The area inside both polygons, of any shape; what a boundary goes around twice is outside (even-odd).
+
+    The plane is cut into strips at every vertex and every crossing of two edges. In a strip edges do not cross: sorted by
+    their middle, they bound trapezoids, and those that lie in both polygons are added up.
+    """
+    if len(a) < 3 or len(b) < 3:
+        return 0.0
+    e = np.concatenate([_edges(np.asarray(a, float)), _edges(np.asarray(b, float))])
+    mine = np.arange(len(e)) < len(a)
+    x1, y1, x2, y2 = e.T
+    dx, dy = x2 - x1, y2 - y1
+    det = dx[:, None] * dy[None] - dy[:, None] * dx[None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((x1[None] - x1[:, None]) * dy[None] - (y1[None] - y1[:, None]) * dx[None]) / det
+        u = ((x1[None] - x1[:, None]) * dy[:, None] - (y1[None] - y1[:, None]) * dx[:, None]) / det
+    i, j = np.nonzero((det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
+    ys = np.unique(np.concatenate([y1, y1[i] + t[i, j] * dy[i]]))
+    total = 0.0
+    for lo, hi in zip(ys[:-1], ys[1:], strict=True):
+        over = np.flatnonzero((np.minimum(y1, y2) <= lo) & (np.maximum(y1, y2) >= hi) & (dy != 0))
+        x = lambda y: x1[over] + (y - y1[over]) / dy[over] * dx[over]  # noqa: B023, E731
+        left, right = x(lo), x(hi)
+        order = np.argsort(left + right, kind="stable")
+        inside_a, inside_b = np.cumsum(mine[over][order]) % 2 == 1, np.cumsum(~mine[over][order]) % 2 == 1
+        both = np.flatnonzero((inside_a & inside_b)[:-1])
+        width = (left + right)[order]
+        total += float((width[both + 1] - width[both]).sum()) / 2 * (hi - lo)
+    return total
+
+
 def polygon_iou(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(IoU, share of a inside b) of two polygons, the second convex."""
-    common = clip_convex(a, b)
-    inside = polygon_area(common) if len(common) > 2 else 0.0
-    union = polygon_area(a) + polygon_area(b) - inside
-    return (inside / union if union > 0 else 0.0), (inside / polygon_area(a) if polygon_area(a) > 0 else 0.0)
+    """(IoU, share of a inside b) of two polygons of any shape."""
+    inside, of_a = common_area(a, b), common_area(a, a)
+    union = of_a + common_area(b, b) - inside
+    return (inside / union if union > 0 else 0.0), (inside / of_a if of_a > 0 else 0.0)
+
+
+def polygon_overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with iou and covered (the share of a inside b) of two columns of polygons, arrays of [x, y]; null for a null, 0 for fewer than three points."""
+
+    @F.arrow_udf("struct<iou: double, covered: double>")
+    def both(left: pa.Array, right: pa.Array) -> pa.Array:
+        got = [None if p is None or q is None else polygon_iou(np.array(p, float).reshape(-1, 2), np.array(q, float).reshape(-1, 2)) for p, q in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+        return pa.array([g and {"iou": g[0], "covered": g[1]} for g in got], pa.struct([("iou", pa.float64()), ("covered", pa.float64())]))
+
+    return df.withColumn("__o", both(F.col(a), F.col(b))).withColumns({"iou": F.col("__o.iou"), "covered": F.col("__o.covered")}).drop("__o")

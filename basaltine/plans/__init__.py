@@ -3,4 +3,4 @@
 from . import assembly, basics, calibrations, catalogs, detection, generated, measures, records, services, series, tracks, vectors
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "basics", "calibrations", "catalogs", "detection", "generated", "measures", "records", "series", "services", "tracks", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "basics", "calibrations", "catalogs", "detection", "generated", "measures", "records", "series", "services", "shapes", "tracks", "vectors"]
