@@ -180,9 +180,61 @@ def read_tensors(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
 
 
+#: What a PNG of 16 bits says in its header: colour kinds and their channels, and where depth and kind stand.
+_PNG, _PNG_CHANNELS = b"\x89PNG\r\n\x1a\n", {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def decode_deep_png(content: bytes) -> np.ndarray:
+    """A PNG of 16 bits a channel (grey or colour, not interlaced) as rows x columns x 3 uint8: the high byte of each channel, alpha dropped."""
+    w, h, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", content[16:29])
+    if not content.startswith(_PNG) or bits != 16 or kind not in _PNG_CHANNELS or interlaced:
+        raise ValueError("not a plain PNG of 16 bits")
+    at, body = 8, []
+    while at + 8 <= len(content):
+        size, name = struct.unpack(">I4s", content[at : at + 8])
+        if name == b"IDAT":
+            body.append(content[at + 8 : at + 8 + size])
+        at += 12 + size
+    n = _PNG_CHANNELS[kind]
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + 2 * n * w)
+    out = np.zeros((h + 1, w + 1, 2 * n), np.uint8)  # a line and a pixel of zeros before all others
+    for y in range(h):
+        way, line, up, now = lines[y, 0], lines[y, 1:].reshape(w, 2 * n), out[y], out[y + 1]
+        if way == 0:
+            now[1:] = line
+        elif way == 1:
+            now[1:] = np.cumsum(line, axis=0, dtype=np.uint64).astype(np.uint8)
+        elif way == 2:
+            now[1:] = line + up[1:]
+        elif way in (3, 4):
+            for x in range(w):
+                left, above, corner = now[x].astype(int), up[x + 1].astype(int), up[x].astype(int)
+                if way == 3:
+                    guess = (left + above) // 2
+                else:
+                    p = left + above - corner
+                    d = np.abs(np.stack([p - left, p - above, p - corner]))
+                    guess = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
+                now[x + 1] = (line[x] + guess).astype(np.uint8)
+        else:
+            raise ValueError("a PNG line of an unknown kind")
+    high = out[1:, 1:, ::2]
+    return np.repeat(high[:, :, :1], 3, axis=2) if n < 3 else high[:, :, :3]
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, tensor) of JPG and PNG files as rows x columns x 3 uint8 in RGB; grey is repeated, alpha dropped. A file that can't be decoded is an error."""
+    """(path, tensor) of JPG and PNG files as rows x columns x 3 uint8 in RGB; grey is repeated, alpha dropped. A file that can't be decoded is an error.
+
+    PNG files of 16 bits keep the high byte of each channel. Spark's image reader has no such step and would keep the low one, so the
+    depth is read from the header of each PNG and those files are decoded apart.
+    """
+    plain = lambda c: F.regexp_replace(c, "^(\\w+):/+", "$1:/")
+    png = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
+    deep = png.where((F.substring("content", 1, 8) == F.lit(_PNG)) & (F.substring("content", 25, 1) == F.lit(b"\x10")))
     img = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    img = img.withColumn("key", plain("path")).join(deep.select(plain("path").alias("key")), "key", "left_anti").select("path", "height", "width", "nChannels", "data")
+    kind = pa.struct([("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("data", pa.binary())])
+    row = lambda a: {"shape": list(a.shape), "dtype": "uint8", "data": np.ascontiguousarray(a).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,11 +243,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 if h < 0 or n not in (1, 3, 4):
                     raise ValueError(f"not an image of 8 bits: {path}")
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                a = np.repeat(a, 3, axis=2) if n == 1 else a[:, :, 2::-1]
-                rows.append({"shape": [h, w, 3], "dtype": "uint8", "data": np.ascontiguousarray(a).tobytes()})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.struct([("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("data", pa.binary())]))], ["path", "tensor"])
+                rows.append(row(np.repeat(a, 3, axis=2) if n == 1 else a[:, :, 2::-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["path", "tensor"])
+
+    def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([row(decode_deep_png(c)) for c in b.column(1).to_pylist()], kind)], ["path", "tensor"])
 
-    return img.mapInArrow(run, f"path string, tensor {TENSOR}")
+    out = f"path string, tensor {TENSOR}"
+    return img.mapInArrow(run, out).unionByName(deep.select("path", "content").mapInArrow(stripped, out))
 
 
 def probe(spark: SparkSession, root: str, subdirs: list[str]) -> dict[str, tuple[str, list[int], str]]:
