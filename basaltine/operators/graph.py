@@ -131,6 +131,12 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _stack(vectors) -> np.ndarray:
+    """Vectors of one length as rows."""
+    rows = vectors.to_pylist()
+    return np.array(rows, float).reshape(len(rows), -1)
+
+
 def _unit(rows: list) -> np.ndarray:
     x = np.array(rows, float).reshape(len(rows), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -151,39 +157,55 @@ def _nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k:
 FEW_QUERIES, BLOCK_ROWS = 20_000, 5_000
 
 
-def cosine_neighbours(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
-    """(query, item, similarity, rank): the k items most alike to each query row, itself left out; ties by key.
-
-    Blocks of queries are held against blocks of items as matrix products; each gives its own best k per query, and those are
-    merged by a window per query. Up to ``FEW_QUERIES`` queries travel with the code and items are scanned where they are. Of more,
-    both sides are dealt into blocks by a hash and every pair of blocks is a task: any number will do, and the driver sees none.
-    """
+def _in_blocks(queries: DataFrame, items: DataFrame, key: str, vector: str, f) -> DataFrame:
+    """(query, item, similarity) that f(query ids, vectors, item ids, vectors) gives for blocks of queries and of items."""
     wanted = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
     queries, items = queries.select(*wanted), items.select(*wanted)
     out, n = "query long, item long, similarity double", queries.count()
+    kinds = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())])
     if n <= FEW_QUERIES:
         rows = queries.toArrow()
-        ids, q = rows.column(0).to_numpy(), _unit(rows.column(1).to_pylist())
+        ids, q = rows.column(0).to_numpy(), _stack(rows.column(1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own, x = b.column(0).to_numpy(), _unit(b.column(1).to_pylist())
+                own, x = b.column(0).to_numpy(), _stack(b.column(1))
                 for lo in range(0, len(q) if len(own) else 0, 512):
-                    yield _nearest(ids[lo : lo + 512], q[lo : lo + 512], own, x, k, digits)
+                    yield f(ids[lo : lo + 512], q[lo : lo + 512], own, x)
+
+        return items.mapInArrow(run, out)
+    q_blocks, i_blocks = -(-n // BLOCK_ROWS), max(1, -(-items.count() // BLOCK_ROWS))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("a"), every(i_blocks).alias("b"), "id", "v")
+    i = items.select(every(q_blocks).alias("a"), F.pmod(F.xxhash64("id"), F.lit(i_blocks)).cast("int").alias("b"), "id", "v")
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, q, own, x = left["id"].to_numpy(), _stack(left["v"]), right["id"].to_numpy(), _stack(right["v"])
+        return pa.Table.from_batches([f(ids[lo : lo + 512], q[lo : lo + 512], own, x) for lo in range(0, len(ids) if len(own) else 0, 512)], kinds)
+
+    return q.groupBy("a", "b").cogroup(i.groupBy("a", "b")).applyInArrow(pair, out)
 
-        best = items.mapInArrow(run, out)
-    else:
-        q_blocks, i_blocks = -(-n // BLOCK_ROWS), max(1, -(-items.count() // BLOCK_ROWS))
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        q = queries.select(F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("a"), every(i_blocks).alias("b"), "id", "v")
-        i = items.select(every(q_blocks).alias("a"), F.pmod(F.xxhash64("id"), F.lit(i_blocks)).cast("int").alias("b"), "id", "v")
 
-        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids, q, own, x = left["id"].to_numpy(), _unit(left["v"].to_pylist()), right["id"].to_numpy(), _unit(right["v"].to_pylist())
-            parts = [_nearest(ids[lo : lo + 512], q[lo : lo + 512], own, x, k, digits) for lo in range(0, len(ids) if len(own) else 0, 512)]
-            return pa.Table.from_batches(parts, pa.schema([("query", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())]))
+def products(queries: DataFrame, items: DataFrame, key: str, vector: str) -> DataFrame:
+    """(query, item, similarity): the inner product of each query vector with each item vector, as products of blocks."""
+
+    def all_of(ids, q, own, x):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(own))), pa.array(np.tile(own, len(ids))), pa.array((q @ x.T).ravel())], ["query", "item", "similarity"])
+
+    return _in_blocks(queries, items, key, vector, all_of)
+
+
+def cosine_neighbours(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
+    """(query, item, similarity, rank): the k items most alike to each query row, itself left out; ties by key.
+
+    Blocks of queries are held against blocks of items as matrix products; each gives its own best k per query, and those are
+    merged by a window per query. Up to ``FEW_QUERIES`` queries travel with the code and items are scanned where they are. Of more,
+    both sides are dealt into blocks by a hash and every pair of blocks is a task: any number will do, and the driver sees none.
+    """
+    def best_of(ids, q, own, x):
+        return _nearest(ids, _unit(q), own, _unit(x), k, digits)
 
-        best = q.groupBy("a", "b").cogroup(i.groupBy("a", "b")).applyInArrow(pair, out)
+    best = _in_blocks(queries, items, key, vector, best_of)
     w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "item")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

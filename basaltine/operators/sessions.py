@@ -189,6 +189,11 @@ def migrated(tables: dict[str, DataFrame], spark, upto: int | None = None) -> di
     return out
 
 
+def next_key(key: str) -> Column:
+    """One above the greatest key, as an aggregate; 1 for an empty table."""
+    return F.coalesce(F.max(key), F.lit(0)) + 1
+
+
 def next_id(df: DataFrame, key: str = "id") -> int:
     """One above the greatest key; 1 for an empty table."""
     return (df.agg(F.max(key)).first()[0] or 0) + 1

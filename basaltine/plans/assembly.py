@@ -86,9 +86,9 @@ def seeded_crop(t):
     return t("events").select("event_id", h.alias("height"), w.alias("width"), uniform_size(off, 2, 64 - h).alias("top"), uniform_size(off, 3, 48 - w).alias("left"))
 
 
-@query(f"SELECT i AS idx, round({uniform_sql('i', 0)}, 12) AS a, round({uniform_sql('i', 5)}, 12) AS b FROM (SELECT unnest(generate_series(0, 9999)) AS i)")
+@query(f"SELECT event_id AS idx, round({uniform_sql('event_id', 0)}, 12) AS a, round({uniform_sql('event_id', 5)}, 12) AS b FROM events")
 def seeded_generator(t):
-    return t.spark.range(10000).select(F.col("id").alias("idx"), F.round(uniform(F.col("id"), 0), 12).alias("a"), F.round(uniform(F.col("id"), 5), 12).alias("b"))
+    return t("events").select(F.col("event_id").alias("id")).select(F.col("id").alias("idx"), F.round(uniform(F.col("id"), 0), 12).alias("a"), F.round(uniform(F.col("id"), 5), 12).alias("b"))
 
 
 def _points(t):
@@ -144,10 +144,12 @@ def pad_truncate_mask(t):
     return t("embeddings").select("vec_id", F.posexplode(mask_after(xs, F.col("label") + 1, -2.0)).alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 
 
-@query("SELECT n AS total, count(*) AS ways, round(count(*) / 36.0, 9) AS chance FROM (SELECT a.i + b.i AS n FROM (SELECT unnest(generate_series(1, 6)) AS i) a, (SELECT unnest(generate_series(1, 6)) AS i) b) GROUP BY n")
+@query("SELECT n AS total, count(*) AS ways, round(count(*) / (SELECT count(*) FROM lineitem)::DOUBLE, 9) AS chance FROM (SELECT l_partkey % 6 + l_suppkey % 6 + 2 AS n FROM lineitem) GROUP BY n")
 def dice_distribution(t):
-    d = t.spark.range(1, 7).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x + F.col("id"))).alias("total"))
-    return d.groupBy("total").agg(F.count("*").alias("ways"), F.round(F.count("*") / 36.0, 9).alias("chance"))
+    """How often two dice, thrown by each line's part and supplier, show each total."""
+    d = t("lineitem").select((F.col("l_partkey") % 6 + F.col("l_suppkey") % 6 + 2).alias("total"))
+    ways = d.groupBy("total").agg(F.count("*").alias("ways"))
+    return ways.crossJoin(F.broadcast(ways.agg(F.sum("ways").alias("all")))).select("total", "ways", F.round(F.col("ways") / F.col("all"), 9).alias("chance"))
 
 
 @query("SELECT 'parts' AS part, count(*) AS n, 1::BIGINT AS most_parts, count(*) AS n_keys FROM documents UNION ALL SELECT 'train', CAST(floor(0.8::DOUBLE * count(*) + 0.5) AS BIGINT), 1, CAST(floor(0.8::DOUBLE * count(*) + 0.5) AS BIGINT) FROM documents")

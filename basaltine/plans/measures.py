@@ -40,11 +40,12 @@ def batch_mean_of_means(t):
     return b.agg(F.round(F.avg("m"), 6).alias("metric"), F.count("*").alias("batches"))
 
 
-@query("""WITH i AS (SELECT s, CAST(s % 1000 AS DOUBLE) AS i FROM (SELECT unnest(generate_series(0, 2499)) AS s))
+@query("""WITH i AS (SELECT event_id AS s, CAST(event_id % 1000 AS DOUBLE) AS i FROM events)
 SELECT s AS step, round(CASE WHEN i <= 100 THEN 0.01 * i / 100 WHEN i <= 400 THEN 0.002 + 0.5 * (0.01 - 0.002) * (1 + cos(pi() * (i - 100) / 300)) WHEN i <= 700 THEN 0.002 ELSE 0.002 * pow(0.0001 / 0.002, (i - 700) / 1000) END, 12) AS lr FROM i""")
 def lr_schedule(t):
-    lr = detect.learning_rate(F.col("id"), 0.01, 0.002, 0.0001, 100, 300, 300, 300)
-    return t.spark.range(2500).select(F.col("id").alias("step"), F.round(lr, 12).alias("lr"))
+    """Each event's number as a step."""
+    lr = detect.learning_rate(F.col("event_id"), 0.01, 0.002, 0.0001, 100, 300, 300, 300)
+    return t("events").select(F.col("event_id").alias("step"), F.round(lr, 12).alias("lr"))
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n, sum(count(*)) OVER () * 2 // 3 AS target FROM documents GROUP BY source),

@@ -60,11 +60,14 @@ def contaminated_items(t):
     keyed = items.where(F.size("w") >= 7).select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))
     single = items.where(F.size("w").between(3, 6)).select("item_id", "needle", F.xxhash64(F.lit("one"), F.get("w", F.lit(1))).alias("run"))
     # Words are a column of their own: within a lambda they would be split anew for each run.
-    docs = t("documents").select("text", words(F.col("text")).alias("w"))
+    docs = t("documents").where(F.col("text").isNotNull()).select("text", F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))).alias("key"), words(F.col("text")).alias("w"))
     parts = F.coalesce(runs(F.col("w")), F.array().cast("array<bigint>"))
     if not single.isEmpty():
         parts = F.concat(parts, F.coalesce(F.transform("w", lambda w: F.xxhash64(F.lit("one"), w)), F.array().cast("array<bigint>")))
-    hits = docs.select("text", F.explode(F.array_distinct(parts)).alias("run")).join(keyed.unionByName(single), "run").where(F.contains("text", "needle")).select("item_id")
+    # Runs travel with the text's hash; texts are fetched for those that share one with an item.
+    narrow = docs.select("key", F.explode(F.array_distinct(parts)).alias("run"))
+    shared = narrow.join(keyed.unionByName(single), "run").select("key", "item_id", "needle").distinct()
+    hits = docs.select("key", "text").join(shared, "key").where(F.contains("text", "needle")).select("item_id")
     # Items of one or two words are parts of words: they are looked for in every text, one after the other.
     bits = items.where(F.size("w") < 3).select("item_id", "needle")
     if not bits.isEmpty():

@@ -25,9 +25,8 @@ def cosine_topk(t):
 def similarity_matrix(t):
     """Products of the query vectors (ids divisible by 100) with all vectors."""
     e = t("embeddings")
-    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return b.join(a, F.lit(True)).select("a", "b", F.round(graph.dot("x", "y"), 6).alias("similarity"))
+    got = graph.products(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
+    return got.select(F.col("query").alias("a"), F.col("item").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.5) AS BIGINT) AS k FROM embeddings GROUP BY label")
