@@ -30,12 +30,11 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def suppressed(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[int]:
     """Positions kept by greedy suppression, best first; ties by position."""
-    order, kept = list(np.argsort(-scores, kind="stable")), []
-    overlap = iou_matrix(boxes, boxes)
-    while order:
-        best = order.pop(0)
+    order, kept = np.argsort(-scores, kind="stable"), []
+    while len(order):
+        best, order = order[0], order[1:]
         kept.append(int(best))
-        order = [k for k in order if overlap[best, k] < threshold]
+        order = order[iou_matrix(boxes[best : best + 1], boxes[order])[0] < threshold]
     return kept
 
 

@@ -39,14 +39,16 @@ def rigid_2d(xs: Column, ys: Column, us: Column, vs: Column, n: Column) -> dict[
     return {"angle": F.atan2(cross, dot)}
 
 
-def rigid_of_lists(xs: Column, ys: Column, us: Column, vs: Column) -> dict[str, Column]:
-    """Cosine, sine and shift of the turn that takes points (xs, ys) to (us, vs) with the least squares, in the JVM."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    mx, my, mu, mv, n = mean(xs), mean(ys), mean(us), mean(vs), F.size(xs)
-    along = dot(xs, us) + dot(ys, vs) - n * (mx * mu + my * mv)
-    across = dot(xs, vs) - dot(ys, us) - n * (mx * mv - my * mu)
-    size = F.sqrt(along * along + across * across)
+def rigid_sums(x: Column, y: Column, u: Column, v: Column) -> list[Column]:
+    """Aggregates that rigid_of_sums needs: means and mean products of points (x, y) and (u, v)."""
+    return [F.avg(c).alias(n) for n, c in (("mx", x), ("my", y), ("mu", u), ("mv", v), ("dot", x * u + y * v), ("cross", x * v - y * u))]
+
+
+def rigid_of_sums() -> dict[str, Column]:
+    """Cosine, sine and shift of the turn that takes points (x, y) to (u, v) with the least squares, of rows of rigid_sums. Null where the points have no extent."""
+    mx, my, mu, mv = (F.col(n) for n in ("mx", "my", "mu", "mv"))
+    along, across = F.col("dot") - (mx * mu + my * mv), F.col("cross") - (mx * mv - my * mu)
+    size = F.nullif(F.sqrt(along * along + across * across), F.lit(0.0))
     c, s = along / size, across / size
     return {"c": c, "s": s, "tx": mu - (c * mx - s * my), "ty": mv - (s * mx + c * my)}
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,22 +90,44 @@ def fold_edits(df: DataFrame, key: str, order: list[str], kind: str, item: str,
     """Items deleted after a log of delete, undo and toggle events, with at most ``keep`` undo steps.
 
     Events of a key are folded in order: delete adds an item and remembers it, undo takes the last remembered deletion
-    back, toggle adds or removes an item without memory.
+    back, toggle adds or removes an item without memory; other kinds change nothing. Logs are sorted within partitions and streamed
+    through, so of a long log only what is deleted just now, and the undo steps, are held. A null item is an item like others.
     """
-    events = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("kind"), F.col(item).alias("item"))))
-    text = "array<" + dict(df.dtypes)[item] + ">"
-    empty = F.array().cast(text)
-    start = F.struct(empty.alias("gone"), empty.alias("undo"))
-
-    def step(s: Column, e: Column) -> Column:
-        gone, undo, x = s["gone"], s["undo"], e["item"]
-        last = F.element_at(undo, -1)
-        deleted = F.struct(F.array_union(gone, F.array(x)).alias("gone"), F.slice(F.concat(undo, F.array(x)), -F.least(F.size(undo) + 1, F.lit(keep)), F.least(F.size(undo) + 1, F.lit(keep))).alias("undo"))
-        undone = F.when(F.size(undo) > 0, F.struct(F.array_remove(gone, last).alias("gone"), F.slice(undo, 1, F.size(undo) - 1).alias("undo"))).otherwise(s)
-        toggled = F.struct(F.when(F.array_contains(gone, x), F.array_remove(gone, x)).otherwise(F.array_union(gone, F.array(x))).alias("gone"), undo.alias("undo"))
-        return F.when(e["kind"] == "delete", deleted).when(e["kind"] == "undo", undone).when(e["kind"] == "toggle", toggled).otherwise(s)
-
-    return df.groupBy(key).agg(events.alias("e")).select(key, F.array_sort(F.aggregate("e", start, step)["gone"]).alias("deleted"))
+    kinds = dict(df.dtypes)
+    rows = df.select(key, F.col(kind).alias("kind"), F.col(item).alias("item"), F.struct(*order).alias("at"))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "at", "kind", "item").select(key, "kind", "item")
+    out = pa.schema([(key, rows_type(rows, key)), ("deleted", pa.list_(rows_type(rows, "item")))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone, undo, begun = None, set(), deque(maxlen=keep), False
+
+        def row() -> pa.RecordBatch:
+            there = sorted(x for x in gone if x is not None) + [None] * (None in gone)
+            return pa.RecordBatch.from_pylist([{key: now, "deleted": there}], out)
+
+        for b in batches:
+            for k, what, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        yield row()
+                    now, gone, undo, begun = k, set(), deque(maxlen=keep), True
+                if what == "delete":
+                    gone.add(x)
+                    undo.append(x)
+                elif what == "undo" and undo:
+                    gone.discard(undo.pop())
+                elif what == "toggle":
+                    gone.symmetric_difference_update({x})
+        if begun:
+            yield row()
+
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, deleted array<{kinds[item]}>")
+
+
+def rows_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def spliced(backward: Column, forward: Column) -> Column:

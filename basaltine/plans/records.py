@@ -207,13 +207,18 @@ def distribution_loss(t):
     return t("events").groupBy("user_id").agg(F.round(loss, 6).alias("loss"))
 
 
-@query("SELECT label, 0.6 AS c, 0.8 AS s, 3.0 AS tx, -2.0 AS ty FROM embeddings GROUP BY label HAVING count(*) > 1")
+@query(
+    """WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS p, embedding[4]::DOUBLE AS q FROM embeddings), m AS (SELECT label, x, y, 0.6 * x - 0.8 * y + 3 + p / 10 AS u, 0.8 * x + 0.6 * y - 2 + q / 10 AS v FROM e),
+c AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM m GROUP BY label HAVING count(*) > 1),
+d AS (SELECT label, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv, atan2(sum((x - mx) * (v - mv) - (y - my) * (u - mu)), sum((x - mx) * (u - mu) + (y - my) * (v - mv))) AS a FROM m JOIN c USING (label) GROUP BY label)
+SELECT label, round(cos(a), 6) AS c, round(sin(a), 6) AS s, round(mu - (cos(a) * mx - sin(a) * my), 6) AS tx, round(mv - (sin(a) * mx + cos(a) * my), 6) AS ty FROM d"""
+)
 def rigid_motion(t):
-    """The turn and shift between two sets of points, found back from them."""
-    e = t("embeddings").select("label", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate("xy")))
-    e = e.withColumns({"u": 0.6 * F.col("x") - 0.8 * F.col("y") + 3, "v": 0.8 * F.col("x") + 0.6 * F.col("y") - 2})
-    g = e.groupBy("label").agg(*(F.collect_list(c).alias(c) for c in "xyuv"), F.count("*").alias("n")).where("n > 1")
-    return g.select("label", *(F.round(c, 6).alias(k) for k, c in geometry.rigid_of_lists(*(F.col(c) for c in "xyuv")).items()))
+    """The turn and shift that come nearest to taking one set of points to another, from their sums."""
+    e = t("embeddings").select("label", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate("xypq")))
+    e = e.withColumns({"u": 0.6 * F.col("x") - 0.8 * F.col("y") + 3 + F.col("p") / 10, "v": 0.8 * F.col("x") + 0.6 * F.col("y") - 2 + F.col("q") / 10})
+    g = e.groupBy("label").agg(*geometry.rigid_sums(*(F.col(c) for c in "xyuv")), F.count("*").alias("n")).where("n > 1")
+    return g.select("label", *(F.round(c, 6).alias(k) for k, c in geometry.rigid_of_sums().items()))
 
 
 @query("SELECT vec_id, round((embedding[1]::DOUBLE * 2 + 1) / (abs(embedding[3]::DOUBLE) + 1), 6) + 0.0 AS x, round((embedding[2]::DOUBLE * 2 - 1) / (abs(embedding[3]::DOUBLE) + 1), 6) + 0.0 AS y FROM embeddings")

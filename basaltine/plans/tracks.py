@@ -55,12 +55,21 @@ def common_names(t):
     return l.where("l_quantity > 49").select("l_suppkey").intersect(l.where("l_discount > 0.09").select("l_suppkey"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id % 17 AS x, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'signup' THEN 'toggle' ELSE 'delete' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, gone, undo) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM e UNION ALL
+  SELECT e.user_id, e.n,
+    CASE WHEN kind = 'delete' THEN list_append(list_filter(gone, lambda g: g <> x), x) WHEN kind = 'undo' THEN list_filter(gone, lambda g: len(undo) = 0 OR g <> undo[-1]) WHEN list_contains(gone, x) THEN list_filter(gone, lambda g: g <> x) ELSE list_append(gone, x) END,
+    CASE WHEN kind = 'delete' THEN list_append(undo, x)[-50:] WHEN kind = 'undo' THEN undo[:-2] ELSE undo END
+  FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.n = r.n + 1)
+SELECT user_id, array_to_string(list_sort(arg_max(gone, n)), ',') AS deleted FROM r GROUP BY user_id"""
+)
 def edit_log_fold(t):
-    """Deleted items after delete, undo and toggle events; a test folds the log in plain Python."""
+    """Deleted items after delete, undo and toggle events."""
     kind = F.when(F.col("event_type") == "purchase", "undo").when(F.col("event_type") == "signup", "toggle").otherwise("delete")
     e = t("events").select("user_id", "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 17).alias("item"))
-    return tracks.fold_edits(e, "user_id", ["ts", "event_id"], "kind", "item")
+    got = tracks.fold_edits(e, "user_id", ["ts", "event_id"], "kind", "item")
+    return got.select("user_id", F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"))
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type <> 'error') AS n FROM events GROUP BY ALL)
