@@ -53,6 +53,22 @@ def above(candidates: Column, least: float) -> Column:
     return F.filter(candidates, lambda c: c["score"] >= least)
 
 
+def side_lengths(sides: Column, horizontal: tuple[float, float], vertical: tuple[float, float]) -> list[Column]:
+    """Left, right, up and down of a candidate from its four distributions (arrays of bins): the mean of the bins, from 0 to 1, between the least and the greatest length of its direction."""
+    mean = lambda bins: F.aggregate(bins, F.lit(0.0), lambda a, x: a + x) / F.size(bins)
+    return [lo + mean(F.get(sides, F.lit(k))) * (hi - lo) for k, (lo, hi) in enumerate((horizontal, horizontal, vertical, vertical))]
+
+
+def decoded(df: DataFrame, image: str, least: float, horizontal: tuple[float, float], vertical: tuple[float, float], threshold: float) -> DataFrame:
+    """(image, box_id, x1, y1, x2, y2, score): candidates (image, box_id, cx, cy, score, sides) that reach the least score, as boxes about their cells, after suppression in each image.
+
+    The scores are tested first, in the scan where it can; lengths are made of what passes, and only boxes are shuffled.
+    """
+    left, right, up, down = side_lengths(F.col("sides"), horizontal, vertical)
+    boxes = df.where(F.col("score") >= least).select(image, "box_id", (F.col("cx") - left).alias("x1"), (F.col("cy") - up).alias("y1"), (F.col("cx") + right).alias("x2"), (F.col("cy") + down).alias("y2"), "score")
+    return nms(boxes, image, threshold)
+
+
 def matched(pred: np.ndarray, scores: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
     """For predictions in order of score: whether each takes a ground-truth box that none before it took."""
     overlap = iou_matrix(pred, truth) if len(truth) else np.zeros((len(pred), 0))

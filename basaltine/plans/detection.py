@@ -46,6 +46,31 @@ def nms(t):
     return detect.nms(_boxes(t, 0), "image", 0.4)
 
 
+_BINS = "list_sum(list_transform(generate_series({0}, {1}), lambda i: abs(embedding[i]::DOUBLE)))"
+_SIDE = "(4.0::DOUBLE + " + _BINS + " / 8 * 56)"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT vec_id // 25 AS image, vec_id AS box_id, CAST(vec_id % 25 % 5 * 16 AS DOUBLE) AS cx, CAST(vec_id % 25 // 5 * 16 AS DOUBLE) AS cy, round(abs(embedding[33]::DOUBLE) * 4, 4) AS score,
+  {_SIDE.format(1, 8)} AS l, {_SIDE.format(9, 16)} AS r, {_SIDE.format(17, 24)} AS u, {_SIDE.format(25, 32)} AS d FROM embeddings),
+b AS (SELECT image, box_id, cx - l AS x1, cy - u AS y1, cx + r AS x2, cy + d AS y2, score FROM c WHERE score >= 0.2),
+o AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) AS n, {{'box_id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}} AS b FROM b),
+r(image, n, kept) AS (SELECT image, n, [b] FROM o WHERE n = 1 UNION ALL SELECT o.image, o.n, CASE WHEN len(list_filter(kept, lambda a: {_COMMON} / ({_AREAS} - {_COMMON}) >= 0.3)) = 0 THEN list_append(kept, b) ELSE kept END FROM r JOIN o ON o.image = r.image AND o.n = r.n + 1),
+k AS (SELECT image, unnest(arg_max(kept, n)) AS b FROM r GROUP BY image)
+SELECT image, b.box_id, round(b.x1, 4) AS x1, round(b.y1, 4) AS y1, round(b.x2, 4) AS x2, round(b.y2, 4) AS y2, b.score FROM k"""
+)
+def decoded_detections(t):
+    """A candidate of each vector: four lengths from distributions of eight bins, about a cell of a grid of five by five; low scores go, then overlaps."""
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    cell = F.col("vec_id") % 25
+    c = t("embeddings").select(
+        F.floor(F.col("vec_id") / 25).alias("image"), F.col("vec_id").alias("box_id"), (cell % 5 * 16).cast("double").alias("cx"), (F.floor(cell / 5) * 16).cast("double").alias("cy"), F.round(F.get(e, F.lit(32)) * 4, 4).alias("score"),
+        F.array(*(F.slice(e, 8 * k + 1, 8) for k in range(4))).alias("sides"),
+    )
+    got = detect.decoded(c, "image", 0.2, (4.0, 60.0), (4.0, 60.0), 0.3)
+    return got.select("image", "box_id", *(F.round(x, 4).alias(x) for x in ("x1", "y1", "x2", "y2")), "score")
+
+
 @query()
 def average_precision(t):
     """Mean over thresholds 0.50 to 0.95 of the area under each image's precision curve."""
