@@ -34,7 +34,8 @@ that counts is left out.
 
 Words are runs outside white space, unchanged. Null or empty text has no words
 and scores 0. Rows that repeat a doc_id are documents of their own, with or
-without a doc_id; very long texts are blocks of their own.
+without a doc_id. A block is chosen by a hash of doc_id and text: a very long text makes
+its block as large as itself, and rows equal in both are in one block.
 """
 
 from __future__ import annotations
