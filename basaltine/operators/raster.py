@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,3 +136,50 @@ def pixels(df: DataFrame, tensor: str, *keep: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*own, pa.array(r.ravel()), pa.array(c.ravel()), pa.array(a.ravel())], names)
 
     return df.select(*keep, tensor).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "row long, col long, value double"]))
+
+
+def mosaic(df: DataFrame, tensor: str, homography: str | Column, tile: int = 64) -> DataFrame:
+    """(tile_row, tile_col, average, hits): rasters of one channel, each through its own map (nine numbers) onto one plane, averaged by pixel.
+
+    The plane is cut into tiles of ``tile`` x ``tile`` pixels, any number in either direction. Each raster gives sums for the tiles
+    that its outline's box touches; those are added up tile by tile, partial in each task, so neither the plane nor a
+    tile's rasters are ever gathered. A pixel takes a raster's bilinear value where it falls within the raster; ``hits`` says how many
+    did, and ``average`` is NaN where none did. Nulls are left out.
+    """
+
+    def parts(a: np.ndarray, h: np.ndarray):
+        height, width = a.shape
+        corners = h @ np.array([[0, width - 1, width - 1, 0], [0, 0, height - 1, height - 1], [1, 1, 1, 1]], float)
+        x, y = corners[0] / corners[2], corners[1] / corners[2]
+        back = np.linalg.inv(h)
+        for i in range(int(np.floor(y.min())) // tile, int(np.ceil(y.max())) // tile + 1):
+            for j in range(int(np.floor(x.min())) // tile, int(np.ceil(x.max())) // tile + 1):
+                v, u = np.mgrid[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile].astype(float)
+                z = back[2, 0] * u + back[2, 1] * v + back[2, 2]
+                p, q = (back[0, 0] * u + back[0, 1] * v + back[0, 2]) / z, (back[1, 0] * u + back[1, 1] * v + back[1, 2]) / z
+                # A hair's width of rounding is no reason to lose a border.
+                ok = (p >= -1e-9) & (p <= width - 1 + 1e-9) & (q >= -1e-9) & (q <= height - 1 + 1e-9)
+                if ok.any():
+                    p, q = np.clip(p, 0, width - 1), np.clip(q, 0, height - 1)
+                    yield i, j, np.concatenate([np.where(ok, sampled(a, p, q), 0.0).ravel(), ok.ravel()])
+
+    def run(batches):
+        for b in batches:
+            for x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if x is not None and h is not None:
+                    a = np.frombuffer(x["data"], x["dtype"]).reshape(x["shape"]).astype(np.float64)
+                    for i, j, sums in parts(a, np.array(h, float).reshape(3, 3)):
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([sums])], ["tile_row", "tile_col", "sums"])
+
+    def averaged(batches):
+        for b in batches:
+            rows = [np.array(s).reshape(2, tile, tile) for s in b.column(2).to_pylist()]
+            with np.errstate(invalid="ignore"):
+                means = [s[0] / s[1] for s in rows]
+            made = [[{"shape": [tile, tile], "dtype": str(m.dtype), "data": m.tobytes()} for m in part] for part in (means, [s[1].astype(np.int64) for s in rows])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(m, TENSOR) for m in made)], ["tile_row", "tile_col", "average", "hits"])
+
+    out = "struct<shape:array<int>,dtype:string,data:binary>"
+    parts_of = df.select(tensor, (F.col(homography) if isinstance(homography, str) else homography).alias("__h")).mapInArrow(run, "tile_row long, tile_col long, sums array<double>")
+    sums = parts_of.groupBy("tile_row", "tile_col").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    return sums.mapInArrow(averaged, f"tile_row long, tile_col long, average {out}, hits {out}")

@@ -46,3 +46,19 @@ SELECT vec_id, i AS row, j AS col, round(sum(weight * embedding[r * 8 + c + 1]::
 def raster_area_resize(t):
     """Averages over areas, 8 x 8 to 3 x 5."""
     return _pixels(raster.area_resize(_tensors(t), "tensor", 3, 5))
+
+
+@query(
+    """WITH p AS (SELECT vec_id % 37 * 3 - 20 + c AS x, vec_id % 23 * 5 - 11 + r AS y, embedding[r * 8 + c + 1]::DOUBLE AS v FROM embeddings, range(8) a(r), range(8) b(c))
+SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(avg(v), 5) + 0.0 AS value, count(*) AS hits FROM p GROUP BY y, x"""
+)
+def raster_mosaic(t):
+    """Rasters laid on one plane, each at its own place, averaged by pixel."""
+    key = F.col("vec_id")
+    at = F.array(F.lit(1.0), F.lit(0.0), (key % 37 * 3 - 20).cast("double"), F.lit(0.0), F.lit(1.0), (key % 23 * 5 - 11).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    tiles = raster.mosaic(_tensors(t), "tensor", at, 32)
+    place = ["tile_row", "tile_col"]
+    means = raster.pixels(tiles, "average", *place).withColumnRenamed("value", "mean")
+    hits = raster.pixels(tiles, "hits", *place).where("value > 0").withColumnRenamed("value", "hits")
+    both = means.join(hits, [*place, "row", "col"])
+    return both.select((F.col("tile_row") * 32 + F.col("row")).alias("y"), (F.col("tile_col") * 32 + F.col("col")).alias("x"), (F.round("mean", 5) + 0.0).alias("value"), F.col("hits").cast("long").alias("hits"))

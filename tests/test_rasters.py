@@ -141,3 +141,46 @@ def test_video(spark, tmp_path, chroma, bits):
     (tmp_path / "b.y4m").write_bytes(data[:-1])
     with pytest.raises(Exception, match="ends within"):
         video.read_frames(spark, str(tmp_path / "b.y4m")).collect()
+
+
+def test_mosaic(spark):
+    """Turned and scaled rasters on tiles of both signs, against a loop over all pixels."""
+    g = np.random.default_rng(3)
+    rasters = [g.random((6, 9)), g.random((5, 5)), g.random((6, 9))]
+    maps = [np.array([[1.5, 0.3, -4.0], [-0.2, 1.2, 2.0], [0, 0, 1]]), np.array([[0.8, -0.6, 3.0], [0.6, 0.8, -5.0], [0.01, 0, 1]]), np.eye(3)]
+    rows = [(([*a.shape], "float64", bytearray(a.tobytes())), h.ravel().tolist()) for a, h in zip(rasters, maps, strict=True)] + [(None, maps[0].ravel().tolist())]
+    df = spark.createDataFrame(rows, "tensor struct<shape:array<int>,dtype:string,data:binary>, h array<double>").repartition(3)
+    got = {}
+    for r in raster.mosaic(df, "tensor", "h", 8).collect():
+        mean, hits = (np.frombuffer(t.data, t.dtype).reshape(t.shape) for t in (r.average, r.hits))
+        got |= {(r.tile_row * 8 + i, r.tile_col * 8 + j): (mean[i, j], hits[i, j]) for i in range(8) for j in range(8) if hits[i, j]}
+    want = {}
+    for y in range(-20, 25):
+        for x in range(-20, 25):
+            values = []
+            for a, h in zip(rasters, maps, strict=True):
+                u, v, w = np.linalg.inv(h) @ [x, y, 1]
+                u, v = round(u / w, 9), round(v / w, 9)
+                if 0 <= u <= a.shape[1] - 1 and 0 <= v <= a.shape[0] - 1:
+                    values.append(float(bilinear(a, u, v)))
+            if values:
+                want[y, x] = (pytest.approx(sum(values) / len(values), abs=1e-7), len(values))
+    assert got == want
+
+
+def test_files_all_or_none(spark, tmp_path):
+    from basaltine.sources.file_sink import write_files
+
+    out, schema = tmp_path / "out", "n string, c binary"
+    there = lambda: sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file())
+    rows = [(f"d{k % 3}/f{k}.bin", bytearray([k] * k)) for k in range(20)]
+    write_files(spark.createDataFrame(rows, schema).repartition(4), "n", "c", str(out))
+    assert there() == sorted([*(n for n, _ in rows), "_SUCCESS"]) and (out / "d1/f4.bin").read_bytes() == b"\x04" * 4
+    # A task that fails after others have written, a repeated name, a name that is there, one outside.
+    late = spark.createDataFrame([(f"late{k}", bytearray(b"x")) for k in range(8)] + [("bad", None)], schema).repartitionByRange(4, "n")
+    for df in (late, spark.createDataFrame([("a", bytearray()), ("a", bytearray())], schema), spark.createDataFrame([("new", bytearray()), (rows[1][0], bytearray())], schema), spark.createDataFrame([("../x", bytearray())], schema)):
+        with pytest.raises(Exception, match="name|there already"):
+            write_files(df, "n", "c", str(out))
+        assert there() == sorted([*(n for n, _ in rows), "_SUCCESS"]) and not [p for p in out.iterdir() if p.name.startswith("_staging")]
+    write_files(spark.createDataFrame([("only", bytearray(b"1"))], schema), "n", "c", str(out), "overwrite")
+    assert there() == ["_SUCCESS", "only"]
