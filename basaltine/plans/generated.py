@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog, dataset, detect, generate
+from ..sources.files import shared_folder
+from ..streaming import ordered
 from .registry import query
 
 _SPOT = "greatest(0, 1 - sqrt((x - (s * 7 + {k} * 13) % 40)::DOUBLE ** 2 + (y - (s * 11 + {k} * 5) % 30)::DOUBLE ** 2) / 15.0) * ((s * 31 + {k} * 97 + {c} * 57) % 1024)"
@@ -81,3 +85,21 @@ def ordered_delivery(t):
     """Batches made out of order, each user's delivered in order, three ahead at most."""
     e = t("events").select("user_id", "event_id", (F.col("event_id") + F.col("event_id") * 7919 % 501).alias("ready"))
     return dataset.ordered_delivery(e, ["user_id"], "event_id", "ready", 3)
+
+
+@query("""WITH e AS (SELECT event_id % 4 AS stream, event_id // 4 * 8 AS start, epoch_us(ts) + (event_id * 7919) % 501 * 100000000 AS ready FROM events),
+d AS (SELECT *, max(ready) OVER (PARTITION BY stream ORDER BY start ROWS UNBOUNDED PRECEDING) AS delivered FROM e),
+a AS (SELECT *, lag(delivered, 3) OVER (PARTITION BY stream ORDER BY start) AS admitted FROM d)
+SELECT stream, start, ready, delivered, admitted, coalesce(ready < admitted, false) AS waited FROM a""")
+def delivery_stream(t):
+    """The streaming form of ordered_delivery over the table's files, read as a stream to its end."""
+    kinds = t("events").schema
+    e = t.spark.readStream.schema(kinds).parquet(f"{t.sf_dir}/events.parque[t]")
+    ready = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") * 7919 % 501 * 100000000)
+    e = e.select((F.col("event_id") % 4).alias("stream"), (F.floor(F.col("event_id") / 4) * 8).alias("start"), ready.alias("ready"))
+    folder = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    got = ordered.delivered_in_order(e, ["stream"], "start", "ready", 8, 3)
+    q = got.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    us = [F.unix_micros(c).alias(c) for c in ("ready", "delivered", "admitted")]
+    return t.spark.read.schema(got.schema).parquet(f"{folder}/out").select("stream", "start", *us, "waited")

@@ -52,26 +52,32 @@ class _Delivery(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, delivered = self.last.get() if self.last.exists() else (-self.size, None)
+        held = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        recent = {k[0]: v[0] for k, v in self.recent.iterator()} if self.recent.exists() else {}
+        stored, remembered = set(held), set(recent)
         for pdf in rows:
             for start, ready in zip(pdf["start"].tolist(), pdf["ready"], strict=True):
                 # A batch that is sent again is known.
-                if start > last and not self.waiting.containsKey((start,)):
-                    self.waiting.updateValue((start,), (_micros(ready),))
+                if start > last:
+                    held.setdefault(start, _micros(ready))
         out = []
-        while self.waiting.containsKey((last + self.size,)):
+        while last + self.size in held:
             last += self.size
-            ready = self.waiting.getValue((last,))[0]
-            self.waiting.removeKey((last,))
+            ready = held.pop(last)
             delivered = ready if delivered is None else max(delivered, ready)
-            opened = last - self.size * self.prefetch
-            admitted = self.recent.getValue((opened,))[0] if opened >= 0 else None
-            if admitted is not None:
-                self.recent.removeKey((opened,))
-            self.recent.updateValue((last,), (delivered,))
+            admitted = recent.pop(last - self.size * self.prefetch, None)
+            recent[last] = delivered
             out.append((*key, last, _time(ready), _time(delivered), _time(admitted), admitted is not None and ready < admitted))
-        if delivered is not None:
-            self.last.update((last, delivered))
+        for k in stored - held.keys():
+            self.waiting.removeKey((k,))
+        for k in held.keys() - stored:
+            self.waiting.updateValue((k,), (held[k],))
+        for k in remembered - recent.keys():
+            self.recent.removeKey((k,))
+        for k in recent.keys() - remembered:
+            self.recent.updateValue((k,), (recent[k],))
         if out:
+            self.last.update((last, delivered))
             yield pd.DataFrame(out, columns=[*self.names, "start", "ready", "delivered", "admitted", "waited"])
 
     def close(self) -> None:
