@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on odd rows and on random ones."""
 
 import base64
+import functools
 import hashlib
 import json
 import math
@@ -521,7 +522,8 @@ def test_lm_scores(docs, rows, nothing, spark, monkeypatch, fanout, block):
 def brute_kneser_ney(texts, letters):
     """p(text) by dictionaries: counts, continuation counts, three discounts an order, interpolation; characters outside letters are one."""
     code = lambda c: c if c in letters else "?"
-    grams = lambda t: [tuple(([None] * 3 + [code(c) for c in t])[i : i + 4]) for i in range(len(t))]
+    padded = lambda t: [None] * 3 + [code(c) for c in t]
+    grams = lambda t: [tuple(x[i : i + 4]) for x in [padded(t)] for i in range(len(t))]
     counts = {4: Counter(x for t in texts for x in grams(t))}
     for o in (3, 2, 1):
         counts[o] = Counter(x[1:] for x in counts[o + 1])
@@ -537,6 +539,7 @@ def brute_kneser_ney(texts, letters):
             c[0] += n
             c[1] += discount[o, min(n, 3)]
 
+    @functools.cache
     def p(o, x):
         if o == 0:
             return 1 / (len(letters) + 1)
