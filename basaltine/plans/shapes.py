@@ -25,8 +25,8 @@ def exact_rate_limit(t):
 e AS (SELECT a.part, a.node AS src, b.node AS dst, count(*) AS weight FROM x a JOIN x b ON a.part = b.part AND a.day = b.day AND a.node < b.node GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY weight DESC, src, dst) AS n FROM e),
 h AS (SELECT part, n, src AS u, dst AS v FROM o UNION ALL SELECT part, n, dst, src FROM o),
-r(part, n, at) AS (SELECT part, n, src FROM o UNION SELECT r.part, r.n, h.v FROM r JOIN h ON h.part = r.part AND h.u = r.at AND h.n < r.n)
-SELECT part, src, dst, weight FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.part = o.part AND r.n = o.n AND r.at = o.dst)"""
+r(part, n, place) AS (SELECT part, n, src FROM o UNION SELECT r.part, r.n, h.v FROM r JOIN h ON h.part = r.part AND h.u = r.place AND h.n < r.n)
+SELECT part, src, dst, weight FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.part = o.part AND r.n = o.n AND r.place = o.dst)"""
 )
 def forest_edges(t):
     """The maximum spanning forest of each nation's suppliers, joined by the days on which both ship: an edge is in it if no better ones join its ends."""
