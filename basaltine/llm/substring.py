@@ -18,8 +18,9 @@ stand in a document with a smaller doc_id. Plan:
    is sent to as many tasks as those fill: that is the broadcast, and its size
    is bounded by the shard's.
 4. The matching statistics say for each position whether the last ``width``
-   words occur in the shard and which document has them first. Hashes never
-   decide; they only choose what is compared.
+   words occur in the shard and which document has them first. Words
+   decide whether a window occurs; which document owns it is told by a hash of
+   64 bits.
 
 Results for odd rows: null doc_id is never a smaller document and loses
 nothing; null text is empty; a text shorter than the window stays whole; rows
