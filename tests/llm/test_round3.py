@@ -29,7 +29,7 @@ def conversations(seed: int = 3) -> list[tuple]:
     out += [(100, None, None, None), (100, None, "user", None), (100, 4, "user", "late"), (100, 4, "user", "late"), (100, 4, "a", "tie"), (None, 1, "user", "nobody")]
     # One long conversation, copies of it, and one that leaves it late.
     for c in (120, 141, 162, 183):
-        out += [(c, t, "user", f"turn {t % 7}" if (c, t) != (183, 25) else "other") for t in range(30)]
+        out += [(c, t, "user", f"turn {t % 7}" if (c, t) != (183, 6) else "other") for t in range(8)]
     g.shuffle(out)
     return out
 
