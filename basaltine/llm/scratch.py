@@ -74,17 +74,27 @@ def text_hash(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def bitmap_size(n: int) -> int:
+    """Bits for n keys: at least 16 for each, a power of two, MOST_BITS at most."""
+    return min(MOST_BITS, 1 << max(16, (16 * n - 1).bit_length()))
+
+
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """The places (column h) as bits of longs."""
+    marks = places.selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, cast(h & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[marks["w"].to_numpy()] = marks["b"].to_numpy()
+    return held
+
+
 def prefilter(keys: DataFrame, n: int) -> Callable[[Column], Column]:
     """A test of a long column that holds for all values of keys' only column, and for few others.
 
     A bitmap of at least 16 bits for each of the n keys, 32 MB at most: beyond that it lets more pass, never less.
     So rows that surely have no partner need not be shuffled; those that pass are joined exactly.
     """
-    bits = min(MOST_BITS, 1 << max(16, (16 * n - 1).bit_length()))
-    place = F.pmod(F.xxhash64(F.col(keys.columns[0]), F.lit(3)), F.lit(bits))
-    marks = keys.select(place.alias("h")).selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, cast(h & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    held = np.zeros(bits // 64, np.int64)
-    held[marks["w"].to_numpy()] = marks["b"].to_numpy()
+    bits = bitmap_size(n)
+    held = bitmap(keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0]), F.lit(3)), F.lit(bits)).alias("h")), bits)
 
     @F.arrow_udf("boolean")
     def passes(h: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact, fingerprints, lm_scores, minhash, mixing, pieces, quality, queries, secrets, substring, tokens, urls
+from basaltine.llm.scratch import Scratch
 
 WORDS = [f"w{i}" for i in range(60)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, size string, `odd name` int"
@@ -113,6 +114,32 @@ def test_substring_dedup(docs, rows, width, monkeypatch):
     assert got == brute_substring(rows, width)
 
 
+@pytest.mark.parametrize("most", [0, 400, 250_000])
+def test_substring_rows_in_proportion(spark, monkeypatch, most):
+    """A line in many surroundings, some of which stand twice, and a periodic text: each segment is streamed once, whatever the number of families."""
+    monkeypatch.setattr(substring, "MINIMISER_WORDS", most)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 200)
+    monkeypatch.setattr(substring, "STREAM_WORDS", 600)
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    line = " ".join(word() for _ in range(30))
+    rows = []
+    for k in range(120):
+        around = [" ".join(word() for _ in range(40)) for _ in range(4)]
+        rows += [(4 * k + c, " ".join([around[c % 2], line, around[2], around[3] if c < 2 else word()])) for c in range(4)]
+    rows += [(1000 + k, "a b " * (60 + k % 7) + word()) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring.substring_dedup(docs, 50).collect()}
+    assert got == brute_substring(rows, 50)
+    scratch = Scratch(spark)
+    substring.repeated_spans(docs, 50, scratch)
+    # Before, a family's spans went to every shard that held the line: 480 rows became many thousand.
+    segments = spark.read.parquet(f"{scratch.base}/segments")
+    assert segments.agg(F.sum("n")).first()[0] <= sum(len(t.split()) - 49 for _, t in rows)
+    if most == 0:
+        assert spark.read.parquet(f"{scratch.base}/windows").count() > 0
+
+
 def test_substring_odd_rows(spark, nothing):
     assert substring.substring_dedup(nothing).count() == 0
     long = " ".join(WORDS)
