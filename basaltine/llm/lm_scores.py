@@ -40,7 +40,7 @@ its block as large as itself, and rows equal in both are in one block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +55,13 @@ from .tokens import U64, Words, chunks, give_back, gram_hashes, mix
 ALPHA = 0.4
 BLOCK_CHARS = 8_000_000
 FANOUT = 128
+#: Bytes of a block's texts whose words are held from one pass to the next; of larger blocks they are found again.
+HELD_BYTES = 4 * BLOCK_CHARS
 _UNI = U64(0x5851F42D4C957F2D)
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram hashes, positions of second words, bigram hashes. Orders have hashes of their own."""
-    h = words.hashes()
+def _grams(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unigram hashes, positions of second words, bigram hashes, from the words' hashes. Orders have hashes of their own."""
     if len(h) < 2:
         return mix(h ^ _UNI), np.empty(0, np.int64), np.empty(0, U64)
     second = np.flatnonzero(words.text[1:] == words.text[:-1]) + 1
@@ -80,7 +81,8 @@ def _counts(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, U64), np.empty(0, np.int64))]
     size = 0
     for _, _, data, offs in chunks(texts):
-        uni, _, bi = _grams(Words(data, offs))
+        words = Words(data, offs)
+        uni, _, bi = _grams(words, words.hashes())
         for x in (uni, bi):
             held.append(np.unique(x, return_counts=True))
             size += len(held[-1][0])
@@ -179,14 +181,24 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.int64)
 
 
-def _own(text: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often a text has each of its n-grams."""
-    order = np.lexsort((h, text))
-    t, k = text[order], h[order]
-    new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])] if len(t) else np.empty(0, bool)
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, their counts, the place of each value among them)."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.empty(0, bool)
     group = np.cumsum(new) - 1
-    out = np.empty(len(h), np.int64)
-    out[order] = np.bincount(group)[group] if len(t) else 0
+    of = np.empty(len(values), np.int64)
+    of[order] = group
+    return ranked[new], np.bincount(group), of
+
+
+def _own(text: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often a text has each of its n-grams; of: each one's place in ``counts``, how often all these texts have it."""
+    out = np.ones(len(of), np.int64)
+    more = np.flatnonzero(counts[of] > 1)
+    if len(more):
+        _, n, same = _distinct(text[more] * len(counts) + of[more])
+        out[more] = n[same]
     return out
 
 
@@ -203,20 +215,28 @@ def _pairs_counted(parts: int):
 
 
 class _Chunk:
-    """Words of some documents with what others have of them: ``uni`` of each word, ``bi`` of each pair by its second word, and the triples (hash, place of the third word) whose pairs both occur elsewhere."""
-
-    def __init__(self, words: Words, get: Callable[[np.ndarray], np.ndarray]):
-        uni, second, bi = _grams(words)
-        self.text, self.counts, self.second = words.text, words.counts, second
-        self.uni = get(uni) - _own(words.text, uni)
-        self.bi = np.zeros(len(words.text), np.int64)
-        self.bi[second] = get(bi) - _own(words.text[second], bi)
-        self.third = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2 if len(self.text) > 2 else np.empty(0, np.int64)
+    """Words of some documents with what others have of them: ``uni`` of each word, ``bi`` of each pair by its second word, and the triples, by the place of the third word, whose pairs both occur elsewhere."""
+
+    def __init__(self, words: Words):
+        self.text, self.counts, self.hashes = words.text, words.counts, words.hashes()
+        uni, self.second, bi = _grams(words, self.hashes)
+        self.keys, self.sums, self.of = _distinct(np.concatenate([uni, bi]))
+
+    def look(self, total: np.ndarray) -> None:
+        """total: how often all documents have each of ``keys``."""
+        n, second = len(self.text), self.second
+        rest = total[self.of]
+        self.uni = rest[:n] - _own(self.text, self.sums, self.of[:n])
+        self.bi = np.zeros(n, np.int64)
+        self.bi[second] = rest[n:] - _own(self.text[second], self.sums, self.of[n:])
+        self.third = np.flatnonzero(self.text[2:] == self.text[:-2]) + 2 if n > 2 else np.empty(0, np.int64)
         self.at = self.third[(self.bi[self.third - 1] > 0) & (self.bi[self.third] > 0)]
-        self.tri = mix(gram_hashes(words.hashes(), 3)[self.at - 2]) if len(self.at) else np.empty(0, U64)
+        tri = mix(gram_hashes(self.hashes, 3)[self.at - 2]) if len(self.at) else np.empty(0, U64)
+        self.tri, self.tri_sums, self.tri_of = _distinct(tri)
+        self.keys = self.sums = self.of = self.hashes = None
 
     def scores(self, rest: np.ndarray, n_all: int) -> np.ndarray:
-        """log_sum of each document; rest: how often others have each triple of ``tri``."""
+        """log_sum of each document; rest: how often others have the triple at each place of ``at``."""
         score = np.log(np.maximum(self.uni, 0.5) / n_all)
         seen = self.bi[self.second] > 0
         score[self.second[~seen]] += np.log(ALPHA)
@@ -230,10 +250,14 @@ class _Chunk:
 
 def _looked_up(docs: pa.Table, replies: pa.Table) -> Iterator[tuple[int, _Chunk]]:
     """(first row, chunk) of a block's documents; replies: totals of its lists of one and two words."""
-    keys, _ = _counts(docs["text"])
-    total = _joined(replies)
-    for i, _, data, offs in chunks(docs["text"]):
-        yield i, _Chunk(Words(data, offs), lambda h: total[np.searchsorted(keys, h)])
+    texts, total = docs["text"], _joined(replies)
+    found = lambda: ((i, _Chunk(Words(data, offs))) for i, _, data, offs in chunks(texts))
+    held = list(found()) if texts.nbytes <= HELD_BYTES else None
+    keys, _ = _merged([(c.keys, c.sums) for _, c in held] or [(np.empty(0, U64), np.empty(0, np.int64))]) if held is not None else _counts(texts)
+    for i, c in held if held is not None else found():
+        # Sorted keys in a sorted table: each search begins where the last one ended.
+        c.look(total[np.searchsorted(keys, c.keys)])
+        yield i, c
 
 
 def _joined(replies: pa.Table) -> np.ndarray:
@@ -248,7 +272,7 @@ def _triples_counted(parts: int):
         with np.errstate(over="ignore"):
             held = [(np.empty(0, U64), np.empty(0, np.int64))]
             for _, c in _looked_up(docs, replies):
-                held.append(np.unique(c.tri, return_counts=True))
+                held.append((c.tri, c.tri_sums))
             keys, counts = _merged(held)
         give_back()
         return _listed(docs["block"][0].as_py(), 0, parts, parts, keys, counts)
@@ -265,9 +289,10 @@ def _scored(n_all: int):
         ids, out = docs["doc_id"].combine_chunks(), []
         with np.errstate(over="ignore"):
             held = list(_looked_up(docs, pairs))
-            keys, total = np.unique(np.concatenate([c.tri for _, c in held] or [np.empty(0, U64)])), _joined(triples)
+            keys, _ = _merged([(c.tri, c.tri_sums) for _, c in held] or [(np.empty(0, U64), np.empty(0, np.int64))])
+            total = _joined(triples)
             for i, c in held:
-                rest = total[np.searchsorted(keys, c.tri)] - _own(c.text[c.at], c.tri) if len(c.tri) else np.empty(0, np.int64)
+                rest = total[np.searchsorted(keys, c.tri)][c.tri_of] - _own(c.text[c.at], c.tri_sums, c.tri_of)
                 sums, n = c.scores(rest, n_all), c.counts
                 out.append(pa.table([ids.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(sums / np.maximum(n, 1)), pa.array(sums)], names=["doc_id", "n_words", "log_score", "log_sum"]))
         give_back()

@@ -511,6 +511,30 @@ def test_secrets_query(docs, spark, nothing):
 # 6
 
 
+@pytest.mark.parametrize("held", [0, 1 << 25])
+def test_lm_block_words_found_once(rows, monkeypatch, held):
+    """A block's words are found once in a pass (before, twice); of a block above the bound again, with the same result."""
+    monkeypatch.setattr(lm_scores, "HELD_BYTES", held)
+    made = []
+    monkeypatch.setattr(lm_scores, "Words", lambda *a: made.append(1) or tokens.Words(*a))
+    docs = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] or "" for r in rows]), "block": pa.array([0] * len(rows))})
+    lists = lm_scores._pairs_counted(4)(docs)
+    replies = lm_scores._top(lists)
+    made.clear()
+    triples = lm_scores._triples_counted(4)(docs, replies)
+    assert len(made) == (1 if held else 2) * len(list(tokens.chunks(docs["text"])))
+    both = [t.append_column("words", pa.array([k] * t.num_rows)) for k, t in ((2, replies), (3, lm_scores._top(triples)))]
+    got = lm_scores._scored(10**6)(docs, pa.concat_tables(both))
+    texts = [tuple(split(r[1])) for r in rows]
+    counts = Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2))
+    words = Counter(w for t in texts for w in t)
+    for t, n, total in zip(texts, got["n_words"].to_pylist(), got["log_sum"].to_pylist(), strict=True):
+        assert n == len(t)
+        if len(t) == 1:
+            assert total == pytest.approx(math.log(max(words[t[0]] - 1, 0.5) / 10**6))
+    assert max(counts.values()) > 1 and triples.num_rows > 0
+
+
 @pytest.mark.parametrize(("fanout", "block"), [(128, 3000), (2, 1500)])
 def test_lm_scores(docs, rows, nothing, spark, monkeypatch, fanout, block):
     """Against dictionaries; also with so little fan-out that counts are added up in several levels."""
