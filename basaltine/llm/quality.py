@@ -1,10 +1,7 @@
 """Quality classifier: a modified Kneser-Ney model of trusted text.
 
-Training (relational): of the labelled rows with quality 1, half are for
-training; at most about ``TRAIN_DOCS`` of those, chosen by a hash of doc_id. Their
-texts are read whole, in order of the hash, until ``TRAIN_CHARS`` characters are
-reached; texts of more than ``LONG_CHARS`` come after all others, so one that is longer
-than the bound neither keeps others out nor leaves the sample empty. The model's
+Training (relational): of the labelled rows with quality 1, half, by a hash of doc_id,
+are for training: all of them, with their whole texts, however long. The model's
 alphabet is what stands in them (the ``LETTERS`` most frequent characters, if there
 are more; all others are one unknown character). Their character 4-grams are
 counted per language and for all languages together (``*``). Lower orders count
@@ -13,10 +10,10 @@ language and order, and interpolated probabilities and backoff weights from join
 of each order's table with its contexts and with the order below.
 
 The model is a set of sorted tables, a shard for each order and kind with the
-language in the key's head; its size is bounded by the sample (at most one entry
-for each sampled character, in practice about 10**5) and it travels with the
-code. Scoring joins each document's n-grams with the shards in turn, highest
-order first, and passes what a shard lacks to the next.
+language in the key's head; it holds the different n-grams of the trusted text, whose
+number grows slower than the text but has no fixed bound, and travels with the code.
+Scoring joins each document's n-grams with the shards in turn, highest order first, and
+passes what a shard lacks to the next.
 
 A document's score is the perplexity per character of its text, with ``PRIOR``
 characters at the language's own mean added, so that a few words are no
@@ -39,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, prefilter
@@ -47,7 +44,12 @@ from .tokens import chunks, give_back
 
 ORDER, BITS = 4, 13
 LETTERS = (1 << BITS) - 2
-TRAIN_DOCS, TRAIN_CHARS, LONG_CHARS, LEAST_DOCS = 8000, 32_000_000, 500_000, 30
+#: Rows that a language needs for a model of its own, and most languages that have one: as many as a key's head can tell apart.
+LEAST_DOCS, LANGS = 30, 2000
+#: Bounds of the sample that training was cut to. Nothing reads them any more; an older test still sets them.
+TRAIN_CHARS, LONG_CHARS = 0, 0
+#: Different n-grams that a task holds before it hands their counts on.
+HELD_GRAMS = 2_000_000
 PRIOR, QUANTILE, SLACK = 100, 0.99, 1.05
 ALL = "*"
 #: Most trusted ids, of eight bytes each, that are broadcast.
@@ -85,7 +87,25 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(letters: np.ndarray):
+    """Counts of n-grams by language, added up within the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def summed(name: str) -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held[name], strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            return keys[first], np.add.reduceat(n, first)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for name in held:
+                keys, n = summed(name)
+                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(keys), np.int32), pa.array([name])).cast(pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
+            held.clear()
+
         for b in batches:
             lang = b.column(0).dictionary_encode()
             names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
@@ -93,8 +113,17 @@ def _counted(letters: np.ndarray):
                 key, text = _keys(*part, letters)
                 for k in np.unique(which[text]).tolist():
                     value, n = np.unique(key[which[text] == k], return_counts=True)
-                    for name in {names[k], ALL}:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+                    held.setdefault(names[k], []).append((value, n.astype(np.int64)))
+                    size += len(value)
+                if size > HELD_GRAMS:
+                    for name in held:
+                        held[name] = [summed(name)]
+                    size = sum(len(x[0][0]) for x in held.values())
+                    if 2 * size > HELD_GRAMS:
+                        yield from handed_on()
+                        size = 0
+        yield from handed_on()
+        give_back()
 
     return run
 
@@ -181,37 +210,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model | None:
-    """The model, from the trusted rows whose hash falls in the first half, thinned to the bound."""
+    """The model, from all trusted rows whose hash falls in the first half; from all trusted ones where those have no text."""
     scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    texts = docs.where("text <> ''")
     for name, part in (("half", trusted_ids(labels).where(_half() < 500_000)), ("all", trusted_ids(labels))):
-        total = part.count()
-        if not total:
-            continue
-        thin = part.where(_half() < int((500_000 if name == "half" else 1_000_000) * min(1.0, TRAIN_DOCS / total)))
-        # A running sum over the sample's rows, which are bounded.
-        order = Window.orderBy(F.length("text") > LONG_CHARS, _half(), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-        sample = texts.join(F.broadcast(thin), "doc_id").withColumn("before", F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)))
-        sample = scratch.write(sample.where(F.col("before") < TRAIN_CHARS).select("lang", "text"), f"trusted-{name}")
+        ids = scratch.write(part, f"ids-{name}")
+        n = ids.count()
+        # Beyond the broadcast a bitmap lets a few others pass, which the join takes out.
+        sample = _trusted_rows(texts, ids, n) if n <= FEW_IDS else _trusted_rows(texts, ids, n).join(ids, "doc_id", "left_semi")
+        sample = scratch.write(sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), f"trusted-{name}")
         if not sample.isEmpty():
             break
     else:
         return None
-    by_lang = sample.groupBy("lang").count().collect()  # fewer than TRAIN_DOCS
-    common = [r[0] for r in by_lang if r[1] >= LEAST_DOCS and r[0] is not None and r[0] != ALL]
+    by_lang = sample.where(F.col("lang") != ALL).groupBy("lang").count().where(F.col("count") >= LEAST_DOCS)
+    common = [r[0] for r in by_lang.orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()]
     seen = sample.select("text").mapInArrow(_letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     letters = np.array(sorted(r[0] for r in seen.orderBy(F.col("n").desc(), "point").limit(LETTERS).collect()), np.int64)
     known = F.when(F.col("lang").isin(common), F.col("lang")).otherwise(ALL) if common else F.lit(ALL)
     counts = sample.select(known.alias("lang"), "text").mapInArrow(_counted(letters), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    counts = scratch.write(counts, "counts")
+    counts = scratch.write(counts, "counts-by-language")
+    every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "key", "n")
+    counts = scratch.write(counts.where(F.col("lang") != ALL).unionByName(every), "counts")
     langs = sorted([*common, ALL])
     place = {x: i for i, x in enumerate(langs)}
 
-    got = _tables(counts, scratch, len(letters) + 1).toArrow()
-    kind, order = got["kind"].to_numpy(), got["order"].to_numpy()
-    lang = got["lang"].combine_chunks().dictionary_encode()
-    key = got["key"].to_numpy() | (np.array([place[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] << HEAD)
-    value = got["value"].to_numpy()
+    # One column of keys with the language in the head: what the driver passes on is the model alone.
+    heads = F.create_map(*(F.lit(x) for lang, i in place.items() for x in (lang, i << HEAD)))
+    tables = _tables(counts, scratch, len(letters) + 1)
+    got = tables.select(F.col("kind").cast("byte"), F.col("order").cast("byte"), F.col("key").bitwiseOR(F.element_at(heads, F.col("lang"))).alias("key"), "value").toArrow()
+    kind, order, key, value = (got[c].to_numpy() for c in ("kind", "order", "key", "value"))
 
     def shard(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         mine = np.flatnonzero((kind == k) & (order == n))
@@ -262,9 +290,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
-def _trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def _trusted_rows(docs: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
     """(doc_id, lang, text) of rows that may be trusted, none of which is shuffled: up to ``FEW_IDS`` ids are broadcast, of more a bitmap."""
-    n = trusted.count()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     return rows.join(F.broadcast(trusted), "doc_id", "left_semi") if n <= FEW_IDS else rows.where(prefilter(trusted, n)(F.col("doc_id")))
 
@@ -279,7 +306,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, scratch)
     if model is None:
         return docs
-    limits = thresholds(scratch.write(scored(_trusted_rows(docs, scratch.write(trusted_ids(labels), "trusted-ids")), model), "scores"), labels)
+    trusted = scratch.write(trusted_ids(labels), "trusted-ids")
+    limits = thresholds(scratch.write(scored(_trusted_rows(docs, trusted, trusted.count()), model), "scores"), labels)
     found = {r.model: (r.mean, r.threshold) for r in limits.collect()}  # a row for each language of the model
     mean = np.array([found.get(x, (0.0, 0.0))[0] for x in model.langs])
     top = np.array([found.get(x, (0.0, np.inf))[1] for x in model.langs])

@@ -570,6 +570,21 @@ def test_lm_scores(docs, rows, nothing, spark, monkeypatch, fanout, block):
 # 7
 
 
+def test_quality_trains_on_all_trusted_rows(spark, monkeypatch):
+    """Counts hold every character of every trusted training row: more rows and characters than the sample had, and by languages that are added up."""
+    monkeypatch.setattr(quality, "HELD_GRAMS", 500)
+    monkeypatch.setattr(quality, "FEW_IDS", 1000)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").when(F.col("id") % 3 == 1, "de").alias("lang"), F.concat(F.lit("abc "), F.conv("id", 10, 5)).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < 19_000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    scratch = Scratch(spark)
+    quality.train(docs, labels, scratch)
+    half = docs.where("doc_id < 19000").where(quality._half() < 500_000)
+    assert half.count() > 8000
+    want = {r.lang: r.n for r in half.where("lang is not null").groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    want["*"] = half.agg(F.sum(F.length("text"))).first()[0]
+    assert {r.lang: r.n for r in spark.read.parquet(f"{scratch.base}/counts").groupBy("lang").agg(F.sum("n").alias("n")).collect()} == want
+
+
 def brute_kneser_ney(texts, letters):
     """p(text) by dictionaries: counts, continuation counts, three discounts an order, interpolation; characters outside letters are one."""
     code = lambda c: c if c in letters else "?"
