@@ -27,6 +27,11 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn("entry_idx", (F.col("__before") + F.col("__own")).cast("long")).drop("__h", "__b", "__own", "__before")
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df in partitions of about ``rows`` rows, for work that is much for each row of a small table; its rows are counted first."""
+    return df.repartition(max(1, n_batches(df.count(), rows)))
+
+
 def split_bounds(n: int, train: float, valid: float) -> tuple[int, int]:
     """Ends of the first two parts; errors for shares that aren't positive, exceed one or leave a part empty."""
     if train <= 0 or valid <= 0 or train + valid > 1:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,46 +161,90 @@ def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return out
 
 
-def _edges(points: np.ndarray) -> np.ndarray:
-    return np.concatenate([points, np.roll(points, -1, axis=0)], axis=1)
+#: Numbers in the largest array of a step over polygons.
+POLYGON_CELLS = 1 << 19
 
 
-def common_area(a: np.ndarray, b: np.ndarray) -> float:
-    """The area inside both polygons, of any shape; what a boundary goes around twice is outside (even-odd).
+def _areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(area inside both, of a, of b) of each pair of polygons (pairs, points, 2), of any shape; what a boundary goes around twice is outside (even-odd).
 
     The plane is cut into strips at every vertex and every crossing of two edges. In a strip edges do not cross: sorted by
-    their middle, they bound trapezoids, and those that lie in both polygons are added up.
+    their middle, they bound trapezoids, and those that lie in one or both polygons are added up. Pairs and their strips are taken by blocks.
     """
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    e = np.concatenate([_edges(np.asarray(a, float)), _edges(np.asarray(b, float))])
-    mine = np.arange(len(e)) < len(a)
-    x1, y1, x2, y2 = e.T
-    dx, dy = x2 - x1, y2 - y1
-    det = dx[:, None] * dy[None] - dy[:, None] * dx[None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((x1[None] - x1[:, None]) * dy[None] - (y1[None] - y1[:, None]) * dx[None]) / det
-        u = ((x1[None] - x1[:, None]) * dy[:, None] - (y1[None] - y1[:, None]) * dx[:, None]) / det
-    i, j = np.nonzero((det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
-    ys = np.unique(np.concatenate([y1, y1[i] + t[i, j] * dy[i]]))
-    total = 0.0
-    for lo, hi in zip(ys[:-1], ys[1:], strict=True):
-        over = np.flatnonzero((np.minimum(y1, y2) <= lo) & (np.maximum(y1, y2) >= hi) & (dy != 0))
-        x = lambda y: x1[over] + (y - y1[over]) / dy[over] * dx[over]  # noqa: B023, E731
-        left, right = x(lo), x(hi)
-        order = np.argsort(left + right, kind="stable")
-        inside_a, inside_b = np.cumsum(mine[over][order]) % 2 == 1, np.cumsum(~mine[over][order]) % 2 == 1
-        both = np.flatnonzero((inside_a & inside_b)[:-1])
-        width = (left + right)[order]
-        total += float((width[both + 1] - width[both]).sum()) / 2 * (hi - lo)
+    n, k = len(a), a.shape[1] + b.shape[1]
+    if a.shape[1] < 3 or b.shape[1] < 3:
+        # Nothing is in both; an area is that of the polygon with itself.
+        own = [_areas(x, x)[:, 1] if x.shape[1] >= 3 else np.zeros(n) for x in (a, b)]
+        return np.stack([np.zeros(n), *own], axis=1)
+    step = max(1, POLYGON_CELLS // (k * k))
+    if n > step:
+        return np.concatenate([_areas(a[i : i + step], b[i : i + step]) for i in range(0, n, step)])
+    x1, y1 = (np.concatenate([a[:, :, c], b[:, :, c]], axis=1) for c in (0, 1))
+    x2, y2 = (np.concatenate([np.roll(a[:, :, c], -1, axis=1), np.roll(b[:, :, c], -1, axis=1)], axis=1) for c in (0, 1))
+    dx, dy, mine = x2 - x1, y2 - y1, np.arange(k) < a.shape[1]
+    cuts = [y1]
+    # Each edge against later ones: a pair of edges is looked at once.
+    wide = max(1, POLYGON_CELLS // (n * k))
+    for lo in range(0, k - 1, wide):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + wide, k - 1)), np.arange(lo + 1, k), indexing="ij"))
+        i, j = i[i < j], j[i < j]
+        det = dx[:, i] * dy[:, j] - dy[:, i] * dx[:, j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((x1[:, j] - x1[:, i]) * dy[:, j] - (y1[:, j] - y1[:, i]) * dx[:, j]) / det
+            u = ((x1[:, j] - x1[:, i]) * dy[:, i] - (y1[:, j] - y1[:, i]) * dx[:, i]) / det
+            # The height is taken along the flatter edge, and so is exact where that is level.
+            at = np.where(np.abs(dy[:, i]) < np.abs(dy[:, j]), y1[:, i] + t * dy[:, i], y1[:, j] + u * dy[:, j])
+        at = np.sort(np.where((det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1), at, np.nan), axis=1)
+        cuts.append(at[:, : int((~np.isnan(at)).sum(axis=1).max(initial=0))])
+    # Those without a value stand last, and bound no strip.
+    ys = np.sort(np.concatenate(cuts, axis=1), axis=1)
+    total = np.zeros((n, 3))
+    wide = max(1, POLYGON_CELLS // (n * k))
+    for s in range(0, ys.shape[1] - 1, wide):
+        part = ys[:, s : s + wide + 1]
+        row, col = np.nonzero(part[:, 1:] > part[:, :-1])
+        lo, hi = part[row, col], part[row, col + 1]
+        low, high = np.minimum(y1, y2)[row], np.maximum(y1, y2)[row]
+        over = (low <= lo[:, None]) & (high >= hi[:, None]) & (dy[row] != 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.where(over, x1[row] + ((lo + hi)[:, None] / 2 - y1[row]) / dy[row] * dx[row], np.inf)
+        order = np.argsort(x, axis=1, kind="stable")
+        x, over, of_a = np.take_along_axis(x, order, 1), np.take_along_axis(over, order, 1), mine[order]
+        in_a, in_b = np.cumsum(over & of_a, axis=1)[:, :-1] % 2 == 1, np.cumsum(over & ~of_a, axis=1)[:, :-1] % 2 == 1
+        with np.errstate(invalid="ignore"):
+            width = x[:, 1:] - x[:, :-1]
+        for c, inside in enumerate((in_a & in_b, in_a, in_b)):
+            total[:, c] += np.bincount(row, np.where(inside, width, 0.0).sum(axis=1) * (hi - lo), n)
     return total
 
 
+def common_area(a: np.ndarray, b: np.ndarray) -> float:
+    """The area inside both polygons, of any shape; what a boundary goes around twice is outside (even-odd)."""
+    return float(_areas(*(np.asarray(x, float).reshape(1, -1, 2) for x in (a, b)))[0, 0])
+
+
+def polygon_ious(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(IoU, share of a inside b) of pairs of polygons (pairs, points, 2) of any shape."""
+    inside, of_a, of_b = _areas(a, b).T
+    union = of_a + of_b - inside
+    share = lambda of: np.divide(inside, of, out=np.zeros(len(of)), where=of > 0)
+    return share(union), share(of_a)
+
+
 def polygon_iou(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(IoU, share of a inside b) of two polygons of any shape."""
-    inside, of_a = common_area(a, b), common_area(a, a)
-    union = of_a + common_area(b, b) - inside
-    return (inside / union if union > 0 else 0.0), (inside / of_a if of_a > 0 else 0.0)
+    iou, covered = polygon_ious(*(np.asarray(x, float).reshape(1, -1, 2) for x in (a, b)))
+    return float(iou[0]), float(covered[0])
+
+
+def _points(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First point and number of points of each polygon, -1 for a null, and all points (x, y)."""
+    n = pc.fill_null(pc.list_value_length(polygons), -1).to_numpy(zero_copy_only=False)
+    points = polygons.flatten()
+    if points.null_count or pc.any(pc.not_equal(pc.list_value_length(points), 2)).as_py():
+        raise ValueError("a point is an array [x, y]")
+    at = np.concatenate([[0], np.cumsum(np.maximum(n, 0))[:-1]]) if len(n) else n
+    return at, n, points.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 2)
 
 
 def polygon_overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -207,7 +252,12 @@ def polygon_overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
 
     @F.arrow_udf("struct<iou: double, covered: double>")
     def both(left: pa.Array, right: pa.Array) -> pa.Array:
-        got = [None if p is None or q is None else polygon_iou(np.array(p, float).reshape(-1, 2), np.array(q, float).reshape(-1, 2)) for p, q in zip(left.to_pylist(), right.to_pylist(), strict=True)]
-        return pa.array([g and {"iou": g[0], "covered": g[1]} for g in got], pa.struct([("iou", pa.float64()), ("covered", pa.float64())]))
+        (p, n, ps), (q, m, qs) = _points(left), _points(right)
+        iou, covered, there = np.zeros(len(n)), np.zeros(len(n)), (n >= 0) & (m >= 0)
+        # Pairs with as many points are taken together.
+        for i, j in np.unique(np.stack([n, m], axis=1)[there], axis=0):
+            at = np.flatnonzero((n == i) & (m == j))
+            iou[at], covered[at] = polygon_ious(ps[p[at, None] + np.arange(i)], qs[q[at, None] + np.arange(j)])
+        return pa.StructArray.from_arrays([pa.array(iou), pa.array(covered)], ["iou", "covered"], mask=pa.array(~there))
 
     return df.withColumn("__o", both(F.col(a), F.col(b))).withColumns({"iou": F.col("__o.iou"), "covered": F.col("__o.covered")}).drop("__o")

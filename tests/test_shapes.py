@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 
 from basaltine.operators import graph, series, sessions, tracks
+from basaltine.plans import ORACLE_SQL, QUERIES
 
 
 def brute_limiter(rows, limit, seconds):
@@ -96,6 +99,41 @@ def test_polygon_rows(spark):
     assert got[1] == pytest.approx((1 / 3, 0.5)) and got[2] == (None, None) and got[3] == (0.0, 0.0)
 
 
+def test_polygons_by_batches(spark):
+    """Pairs of mixed shapes in one batch are what each pair is alone, and a row takes microseconds."""
+    g = np.random.default_rng(3)
+    shape = lambda n: (g.integers(0, 9, (n, 2)) / 2.0).tolist()
+    rows = [(i, None if i % 41 == 0 else shape(i % 7), None if i % 43 == 0 else shape(3 + i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a array<array<double>>, b array<array<double>>").coalesce(1)
+    got = {r.id: (r.iou, r.covered) for r in tracks.polygon_overlaps(df, "a", "b").collect()}
+    for i, a, b in rows:
+        want = (None, None) if a is None or b is None else tracks.polygon_iou(np.array(a).reshape(-1, 2), np.array(b))
+        assert got[i] == (want if want[0] is None else pytest.approx(want, abs=1e-12)), i
+    many = df.crossJoin(spark.range(100)).coalesce(1)
+    began = time.monotonic()
+    assert tracks.polygon_overlaps(many, "a", "b").selectExpr("count(iou)").first()[0] == 100 * sum(v[0] is not None for v in got.values())
+    assert time.monotonic() - began < 20
+
+
+def test_polygons_in_blocks(monkeypatch):
+    """Blocks of pairs, edges and strips add up to the same."""
+    g = np.random.default_rng(4)
+    a, b = g.uniform(0, 3, (40, 9, 2)), g.uniform(0, 3, (40, 7, 2))
+    whole = tracks._areas(a, b)
+    monkeypatch.setattr(tracks, "POLYGON_CELLS", 50)
+    assert np.allclose(tracks._areas(a, b), whole, atol=1e-12)
+
+
+def test_polygon_ties(spark, tmp_path):
+    """Shares that end in a five after six digits are rounded as SQL rounds them."""
+    keys = [(3678, 39), (68347, 18), (95717, 18), (684172, 18), (795863, 31), (932713, 31)]
+    spark.createDataFrame(keys, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["polygon_overlap"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["polygon_overlap"]).fetchall())
+
+
 def brute_lut(hist, levels, band):
     n, best = len(hist), None
     for cuts in itertools.combinations(range(1, n), levels - 1):
