@@ -28,8 +28,8 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 def dealt(df: DataFrame, rows: int) -> DataFrame:
-    """df in partitions of about ``rows`` rows, for work that is much for each row of a small table; its rows are counted first."""
-    return df.repartition(max(1, n_batches(df.count(), rows)))
+    """df in partitions of about ``rows`` rows, in 10,000 at most, for work that is much for each row of a small table; its rows are counted first."""
+    return df.repartition(min(max(1, n_batches(df.count(), rows)), 10_000))
 
 
 def split_bounds(n: int, train: float, valid: float) -> tuple[int, int]:

@@ -9,8 +9,9 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basaltine.operators import graph, series, sessions, tracks
+from basaltine.operators import generate, graph, series, sessions, tracks
 from basaltine.plans import ORACLE_SQL, QUERIES
 
 
@@ -166,3 +167,40 @@ def test_lookup_tables(spark):
     got = {r.k: r for r in series.lookup_tables(spark.createDataFrame(rows, "k string, value int"), ["k"], "value").collect()}
     hist = np.bincount([v for k, v in rows if k == "a"], minlength=1024)
     assert got["a"].lut == series.banded_lut(hist).tolist() and got["b"].collisions == 0 and len(got["b"].lut) == 1024
+
+
+def test_fades(spark, monkeypatch):
+    """Images with no, one and many points, unknown ones, and rows made in small blocks, against plain Python."""
+    g = random.Random(5)
+    point = lambda: (g.uniform(-3, 12), g.uniform(-3, 9), [g.randint(0, 1500) for _ in range(3)])
+    rows = [(i, [point() for _ in range(i % 6)]) for i in range(20)]
+    rows += [(20, None), (21, [(None, 2.0, [500, 400, 300]), point()]), (22, [(2.0, 2.0, [700, None])]), (23, [None, point()]), (None, [point()]), (24, [(1.0, 1.0, None)])]
+    df = spark.createDataFrame(rows, "image int, points array<struct<cx: double, cy: double, color: array<int>>>").coalesce(1)
+
+    def pixel(points, y, x, c):
+        total = None if points is None else 0.0
+        for p in points or []:
+            cx, cy, color = p or (None, None, None)
+            fade = 0.0 if cx is None or cy is None else max(0.0, 1 - ((x - cx) ** 2 + (y - cy) ** 2) ** 0.5 / 4.0)
+            known = color is not None and c < len(color) and color[c] is not None
+            total = total + fade * color[c] if known and total is not None else None
+        value = int(min(1023.0 if total is None else total, 1023.0))
+        turned = 1023 - value if value else 0
+        return 0 if turned <= 200 else turned
+
+    want = {(i, y, x): [pixel(p, y, x, c) for c in range(3)] for i, p in rows for y in range(7) for x in range(9)}
+    for cells in (generate.CELLS, 60):
+        monkeypatch.setattr(generate, "CELLS", cells)
+        got = generate.radial_fades(df, "image", "points", 7, 9, 4.0, 200).collect()
+        assert len(got) == len(want) and {(r.image, r.y, r.x): r.channels for r in got} == want
+
+
+def test_fades_are_dealt_out(spark):
+    """A small table makes many pixels: they are several tasks, and a pixel takes less than a few microseconds."""
+    spots = F.array(*(F.struct((F.col("id") * k % 400).alias("cx"), F.lit(50 * k).alias("cy"), F.array(F.lit(900), F.lit(70), F.lit(k)).alias("color")) for k in range(4)))
+    df = spark.range(0, 40, 1, 1).select(F.col("id").alias("image"), spots.alias("points"))
+    began = time.monotonic()
+    got = generate.radial_fades(df, "image", "points", 250, 400, 90.0, 200)
+    assert got.rdd.getNumPartitions() == 2
+    assert got.selectExpr("count(channels)").first()[0] == 40 * 250 * 400
+    assert time.monotonic() - began < 30
