@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.files import written
 
@@ -96,6 +98,104 @@ def forest_edges(edges: DataFrame, part: str) -> DataFrame:
     return out.distinct()
 
 
+#: Of a block: its nodes, and the markers of all of them, about. Markers whose pairs are told one by one are those of fewer pairs than one in RARE; of the others so many are multiplied at once.
+BLOCK_NODES, BLOCK_MARKERS, RARE, COLUMNS = 2_048, 2_000_000, 100, 1_024
+
+
+def _common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], n: int) -> np.ndarray:
+    """How many of n markers each row on the left has in common with each on the right, of entries (row, marker): products of blocks of columns, and single pairs for rare markers."""
+    out = np.zeros(shape, np.int32)
+    counts = [np.bincount(m, minlength=n) for _, m in (left, right)]
+    pairs = counts[0] * counts[1]
+    if left is right:
+        pairs[counts[0] == 1] = 0
+    often = np.flatnonzero((pairs > 0) & (pairs * RARE >= shape[0] * shape[1]))
+    seldom = np.flatnonzero((pairs > 0) & (pairs * RARE < shape[0] * shape[1]))
+    place = np.full(n, -1)
+    place[often], place[seldom] = np.arange(len(often)), len(often) + np.arange(len(seldom))
+    sides = []
+    for row, m in (left, right):
+        order = np.argsort(place[m], kind="stable")
+        at = place[m][order]
+        sides.append((row[order], at, np.searchsorted(at, np.arange(len(often) + len(seldom) + 1))))
+    for lo in range(0, len(often), COLUMNS):
+        hi, dense = min(lo + COLUMNS, len(often)), []
+        for (row, at, begins), rows in zip(sides, shape, strict=True):
+            own = slice(begins[lo], begins[hi])
+            x = np.zeros((rows, hi - lo), np.float32)
+            x[row[own], at[own] - lo] = 1
+            dense.append(x)
+        out += (dense[0] @ dense[1].T).astype(np.int32)
+    (a, _, i), (b, _, j) = sides
+    for k in range(len(often), len(often) + len(seldom)):
+        out[a[i[k] : i[k + 1], None], b[None, j[k] : j[k + 1]]] += 1
+    return out
+
+
+def _grown(weights: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, weight) of the maximum spanning forest of a matrix of weights, 0 for no edge; nodes are numbers, of rows in ``left`` and of columns in ``right`` (None: the same nodes). Of equal weights the lesser (src, dst) is better."""
+    number = left if right is None else np.concatenate([left, right])
+    n, size, top = len(number), int(number.max()) + 1, int(weights.max(initial=0))
+    # An edge as one number: the lesser, the better.
+    far = np.iinfo(np.int64).max
+    best, there, taken, v = np.full(n, far), np.zeros(n, bool), [], 0
+    for _ in range(n):
+        there[v], best[v] = True, far
+        to = slice(0, n) if right is None else slice(len(left), n) if v < len(left) else slice(0, len(left))
+        w = weights[v] if v < len(left) else weights[:, v - len(left)]
+        edge = ((top - w).astype(np.int64) * size + np.minimum(number[to], number[v])) * size + np.maximum(number[to], number[v])
+        edge[(w == 0) | there[to]] = far
+        np.minimum(best[to], edge, out=best[to])
+        v = int(best.argmin())
+        if best[v] < far:
+            taken.append(best[v])
+        else:  # another part of the graph begins
+            v = int(there.argmin())
+    e = np.array(taken, np.int64)
+    return e // size % size, e % size, top - e // (size * size)
+
+
+def shared_forest(df: DataFrame, part: str, node: str, markers: str) -> DataFrame:
+    """(part, src, dst, weight) of the maximum spanning forest of each part's nodes, joined by as much weight as markers they share: ``forest_edges`` of all such pairs, which are not made as rows.
+
+    df has a row for each node of a part, with the array of its different markers. A part's nodes are dealt into blocks of bounded size,
+    and each two blocks are a task: it counts what their nodes share by products of matrices, and of these edges it gives only a
+    spanning forest. An edge that is not in it closes a cycle of better ones, so it is in no larger forest either; what is left
+    grows with the number of blocks, not of pairs, and ``forest_edges`` takes the forest of it. A node's markers are in one row.
+    """
+    x = written(df.select(part, F.col(node).alias("node"), F.col(markers).alias("markers")).dropna())
+    blocks = x.groupBy(part).agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.size("markers")) / BLOCK_MARKERS), F.lit(1)).cast("int").alias("__n"))
+    own = x.join(blocks, part).withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__n")).cast("int"))
+    each = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    tasks = each.select(part, F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), (F.col("__own") <= F.col("__other")).alias("left"), "node", "markers")
+    kinds = [x.schema[part].dataType, x.schema["node"].dataType]
+    out = StructType([StructField(part, kinds[0]), StructField("src", kinds[1]), StructField("dst", kinds[1]), StructField("weight", LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        table = table.take(pc.sort_indices(table["node"]))
+        nodes, sets = table["node"].combine_chunks(), table["markers"].combine_chunks()
+        codes = sets.flatten().dictionary_encode()
+        marker, held = codes.indices.to_numpy(), pc.list_value_length(sets).to_numpy()
+        row, left = np.repeat(np.arange(len(nodes)), held), table["left"].to_numpy()
+        place = np.where(left, np.cumsum(left), np.cumsum(~left)) - 1
+        sides, numbers = [], []
+        for side in (left, ~left):
+            mine = side[row]
+            sides.append((place[row[mine]], marker[mine]))
+            numbers.append(np.flatnonzero(side))
+        whole = table["i"][0] == table["j"][0]
+        if whole:
+            sides[1] = sides[0]  # each row with each other one
+        weights = _common(*sides, (len(numbers[0]), len(numbers[0] if whole else numbers[1])), len(codes.dictionary))
+        if whole:
+            np.fill_diagonal(weights, 0)
+        src, dst, weight = _grown(weights, numbers[0], None if whole else numbers[1])
+        return pa.table({part: pa.repeat(table[part][0], len(src)), "src": nodes.take(pa.array(src)), "dst": nodes.take(pa.array(dst)), "weight": pa.array(weight, pa.int64())})
+
+    return forest_edges(tasks.groupBy(part, "i", "j").applyInArrow(run, out), part)
+
+
 def propagated(roots: DataFrame, steps: DataFrame, compose) -> DataFrame:
     """(node, value): values carried from the roots (node, value) along tree edges (parent, child, value) until no node is new.
 

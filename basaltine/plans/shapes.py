@@ -30,9 +30,9 @@ SELECT part, src, dst, weight FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.p
 )
 def forest_edges(t):
     """The maximum spanning forest of each nation's suppliers, joined by the days on which both ship: an edge is in it if no better ones join its ends."""
-    x = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("part"), F.col("l_suppkey").alias("node"), F.col("l_shipdate").alias("day")).distinct()
-    e = x.withColumnRenamed("node", "src").join(x.withColumnRenamed("node", "dst"), ["part", "day"]).where("src < dst").groupBy("part", "src", "dst").agg(F.count("*").alias("weight"))
-    return graph.forest_edges(e, "part")
+    days = t("lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_shipdate").alias("day")).dropna().groupBy("node").agg(F.collect_set("day").alias("days"))
+    x = days.join(t("supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("part")).dropna().distinct(), "node")
+    return graph.shared_forest(x, "part", "node", "days")
 
 
 _L = "[{x0: {x}, y0: {y}, x1: {x} + {w}, y1: {y} + {h} / 2}, {x0: {x}, y0: {y} + {h} / 2, x1: {x} + {w} / 2, y1: {y} + {h}}]"

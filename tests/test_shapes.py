@@ -68,6 +68,48 @@ def test_forest(spark, weights):
     assert graph.forest_edges(df.limit(0), "part").count() == 0
 
 
+@pytest.mark.parametrize("few", [3, 40])
+def test_shared_forest(spark, monkeypatch, few):
+    """Nodes in many blocks, named by numbers and by strings: the forest of all pairs that share a marker."""
+    g = random.Random(few)
+    sets = [(p, f"n{k}" if p % 2 else f"{k:03d}", sorted({g.randrange(few * (1 + k % 3)) for _ in range(g.randint(0, 9))})) for p in range(4) for k in range(60 if p else 5)]
+    sets += [(9, "alone", [1]), (9, None, [1]), (None, "x", [1]), (9, "none", None), (10, "a", [10**6]), (10, "b", [10**6])]
+    whole = [(p, k, [datetime(2024, 1, 1) + timedelta(days=d % 10**4) for d in v] if v else v) for p, k, v in sets]
+    edges = [(p, a, b, len(set(v) & set(w))) for (p, a, v), (q, b, w) in itertools.permutations([s for s in sets if None not in s], 2) if p == q and a < b and set(v) & set(w)]
+    for nodes in (8, 2_048):
+        monkeypatch.setattr(graph, "BLOCK_NODES", nodes)
+        df = spark.createDataFrame(whole, "part int, node string, markers array<timestamp_ntz>").repartition(3)
+        got = graph.shared_forest(df, "part", "node", "markers")
+        assert dict(got.dtypes) == {"part": "int", "src": "string", "dst": "string", "weight": "bigint"}
+        assert sorted(map(tuple, got.collect())) == kruskal(edges)
+    assert graph.shared_forest(df.limit(0), "part", "node", "markers").count() == 0
+
+
+@pytest.mark.parametrize("rare", [1, 10, 10**6])
+def test_common_markers(monkeypatch, rare):
+    """By products, by single pairs and by both."""
+    monkeypatch.setattr(graph, "RARE", rare)
+    monkeypatch.setattr(graph, "COLUMNS", 7)
+    g = np.random.default_rng(rare)
+    x, y = (g.random((n, 50)) < np.linspace(0.01, 0.7, 50) for n in (30, 17))
+    sides = [np.nonzero(m) for m in (x, y)]
+    assert (graph._common(*sides, (30, 17), 50) == x.astype(int) @ y.T.astype(int)).all()
+    own = graph._common(sides[0], sides[0], (30, 30), 50)
+    assert (own == x.astype(int) @ x.T.astype(int))[~np.eye(30, dtype=bool)].all()
+
+
+def test_forest_of_many_pairs(spark, tmp_path, monkeypatch):
+    """2,000 suppliers of a nation that all ship on the same 500 days: a thousand million pairs, of which no rows are made."""
+    monkeypatch.setattr(graph, "BLOCK_NODES", 700)
+    day = F.timestamp_seconds(F.col("id") % 500 * 86400).cast("timestamp_ntz")
+    spark.range(1_000_000).select(F.floor(F.col("id") / 500).alias("l_suppkey"), day.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2_000).select(F.col("id").alias("s_suppkey"), F.lit(3).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    began = time.monotonic()
+    got = QUERIES["forest_edges"](spark, str(tmp_path)).collect()
+    assert time.monotonic() - began < 60
+    assert sorted(map(tuple, got)) == [(3, 0, k, 500) for k in range(1, 2_000)]
+
+
 def inside(p, poly):
     """Even-odd."""
     x, y, odd = *p, False
@@ -189,10 +231,12 @@ def test_fades(spark, monkeypatch):
         return 0 if turned <= 200 else turned
 
     want = {(i, y, x): [pixel(p, y, x, c) for c in range(3)] for i, p in rows for y in range(7) for x in range(9)}
-    for cells in (generate.CELLS, 60):
-        monkeypatch.setattr(generate, "CELLS", cells)
-        got = generate.radial_fades(df, "image", "points", 7, 9, 4.0, 200).collect()
-        assert len(got) == len(want) and {(r.image, r.y, r.x): r.channels for r in got} == want
+    got = generate.radial_fades(df, "image", "points", 7, 9, 4.0, 200).collect()
+    assert len(got) == len(want) and {(r.image, r.y, r.x): r.channels for r in got} == want
+    monkeypatch.setattr(generate, "CELLS", 60)
+    table = df.toArrow()["points"].combine_chunks()
+    parts = [(i, y, v.reshape(-1, 3)) for image, ys, rows in generate._faded(table, 7, 9, 4.0, 200) for i, y, v in zip(image, ys, rows, strict=True)]
+    assert len(parts) == 7 * len(rows) and all((v == [want[rows[i][0], y, x] for x in range(9)]).all() for i, y, v in parts)
 
 
 def test_fades_are_dealt_out(spark):
