@@ -4,7 +4,7 @@ All keep their state in Spark's state store (``transformWithState``; it needs th
 provider, see ``keyed_state``), so a restarted query goes on where its checkpoint stands.
 
 * ``delivered_in_order``: batches of a stream reach their consumer in order of offset, however
-  they arrive. A map state holds those that wait, a value state the last one delivered.
+  they arrive. A map state holds those that wait, by blocks of offsets, a value state the last ones delivered.
 * ``sampled_in_order``, ``first_of``, ``session_lives``: rows wait until the watermark has passed
   them (an event-time timer); then they are folded in order of time. So rows may be late by as
   much as the watermark's delay, and the result is that of the batch operator on all rows. A key that has
@@ -18,10 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,46 +42,128 @@ def _time(us: int | None):
     return pd.NaT if us is None else pd.Timestamp(us, unit="us")
 
 
+#: Batches that travel as one row; that wait in a task's memory; that are one value of the state.
+PACKED, HELD, BLOCK = 32, 1 << 19, 1 << 14
+
+
+def _packed(rows: DataFrame, stream: list[str]) -> DataFrame:
+    """Rows (stream, start, ready) with up to PACKED of a stream as one: their numbers one after another, as bytes."""
+    kinds = StructType([*(rows.schema[s] for s in stream), StructField("start", BinaryType()), StructField("ready", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.select(stream)
+            code = keys.to_pandas().groupby(stream, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, first = code[order], np.searchsorted(code[order], np.arange(code.max() + 1))
+            cuts = np.flatnonzero((np.arange(len(code)) - first[code]) % PACKED == 0)
+            ends = [*cuts[1:].tolist(), len(code)]
+            numbers = [b.column(n).to_numpy()[order].astype(np.int64) for n in ("start", "ready")]
+            parts = [pa.array([x[i:j].tobytes() for i, j in zip(cuts.tolist(), ends, strict=True)], pa.binary()) for x in numbers]
+            yield pa.RecordBatch.from_arrays([*keys.take(pa.array(order[cuts])).columns, *parts], [*stream, "start", "ready"])
+
+    return rows.select(*stream, "start", "ready").mapInArrow(run, kinds)
+
+
+def _first(place: np.ndarray, ready: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In order of place; of equal ones the first."""
+    place, at = np.unique(place, return_index=True)
+    return place, ready[at]
+
+
 class _Delivery(StatefulProcessor):
-    """State: ``waiting`` (offset -> ready), ``last`` (offset, delivered), ``recent`` (offset -> delivered of the last ``prefetch``)."""
+    """State: ``waiting`` (number of a block of offsets -> places and times of those that wait in it), ``last`` (how many are delivered, and when the last ``prefetch`` of them).
+
+    Neither a stream nor what waits of it is held whole: rows come in batches, and when more wait than HELD, they go to the state, a block a value.
+    """
 
     def __init__(self, names: list[str], size: int, prefetch: int):
         self.names, self.size, self.prefetch = names, size, prefetch
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "start long", "ready long")
-        self.last = handle.getValueState("last", "start long, delivered long")
-        self.recent = handle.getMapState("recent", "start long", "delivered long")
+        self.waiting = handle.getMapState("waiting", "block long", "place binary, ready binary")
+        self.last = handle.getValueState("last", "n long, delivered binary")
+
+    def _stored(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(x, np.int64) for x in self.waiting.getValue((block,)))
+
+    def _delivered(self, key, ready: np.ndarray) -> pd.DataFrame:
+        """The next ones, whose times of being ready are given."""
+        before = len(self.recent)
+        line = np.concatenate([self.recent, np.maximum.accumulate(np.concatenate([self.recent[-1:], ready]))[min(before, 1) :]])
+        delivered, none = line[before:], max(0, min(len(ready), self.prefetch - before))
+        opened = before - self.prefetch + np.arange(none, len(ready))
+        admitted = np.concatenate([np.zeros(none, np.int64), line[opened]])
+        first = np.arange(len(ready)) < none
+        place = self.n + np.arange(len(ready))
+        # The last one stands for all before it, even if none is admitted by it.
+        self.n, self.recent = self.n + len(ready), line[-max(1, self.prefetch) :]
+        return pd.DataFrame({**dict(zip(self.names, key, strict=True)), "start": place * self.size, "ready": ready, "delivered": delivered, "admitted": pd.arrays.IntegerArray(admitted, first), "waited": ~first & (ready < admitted)})
+
+    def _advance(self, key, place: np.ndarray, ready: np.ndarray, blocks: set[int]) -> Iterator[pd.DataFrame | tuple[np.ndarray, np.ndarray]]:
+        """What can be delivered now; at last (places, times) of what waits in memory."""
+        place, ready = _first(place, ready)
+        while True:
+            block = self.n // BLOCK
+            to = np.searchsorted(place, (block + 1) * BLOCK)
+            own = place[:to], ready[:to]
+            if block in blocks:
+                own = _first(*(np.concatenate(x) for x in zip(self._stored(block), own, strict=True)))
+            run = int((own[0] == self.n + np.arange(len(own[0]))).sum())
+            if not run:
+                yield place, ready
+                return
+            done = self._delivered(key, own[1][:run])
+            if block in blocks:
+                # What was stored of the block and still waits is in memory again.
+                self.waiting.removeKey((block,))
+                blocks.remove(block)
+            place, ready = (np.concatenate([x[run:], y[to:]]) if run < len(x) else y[to:] for x, y in zip(own, (place, ready), strict=True))
+            yield done
+
+    def _store(self, place: np.ndarray, ready: np.ndarray, blocks: set[int]) -> None:
+        for block, at in zip(*np.unique(place // BLOCK, return_index=True), strict=True):
+            k, to = int(block), np.searchsorted(place, (block + 1) * BLOCK)
+            own = place[at:to], ready[at:to]
+            if k in blocks:
+                own = _first(*(np.concatenate(x) for x in zip(self._stored(k), own, strict=True)))
+            self.waiting.updateValue((k,), tuple(x.tobytes() for x in own))
+            blocks.add(k)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, delivered = self.last.get() if self.last.exists() else (-self.size, None)
-        held = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
-        recent = {k[0]: v[0] for k, v in self.recent.iterator()} if self.recent.exists() else {}
-        stored, remembered = set(held), set(recent)
+        self.n, packed = self.last.get() if self.last.exists() else (0, b"")
+        self.recent, began = np.frombuffer(packed, np.int64), self.n
+        blocks = {k[0] for k in self.waiting.keys()} if self.waiting.exists() else set()
+        parts, many = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
         for pdf in rows:
-            for start, ready in zip(pdf["start"].tolist(), pdf["ready"], strict=True):
-                # A batch that is sent again is known.
-                if start > last:
-                    held.setdefault(start, _micros(ready))
-        out = []
-        while last + self.size in held:
-            last += self.size
-            ready = held.pop(last)
-            delivered = ready if delivered is None else max(delivered, ready)
-            admitted = recent.pop(last - self.size * self.prefetch, None)
-            recent[last] = delivered
-            out.append((*key, last, _time(ready), _time(delivered), _time(admitted), admitted is not None and ready < admitted))
-        for k in stored - held.keys():
-            self.waiting.removeKey((k,))
-        for k in held.keys() - stored:
-            self.waiting.updateValue((k,), (held[k],))
-        for k in remembered - recent.keys():
-            self.recent.removeKey((k,))
-        for k in recent.keys() - remembered:
-            self.recent.updateValue((k,), (recent[k],))
-        if out:
-            self.last.update((last, delivered))
-            yield pd.DataFrame(out, columns=[*self.names, "start", "ready", "delivered", "admitted", "waited"])
+            start, ready = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("start", "ready"))
+            # A batch that is sent again is known; one between two offsets is never next.
+            new = (start % self.size == 0) & (start >= self.n * self.size)
+            parts.append((start[new] // self.size, ready[new]))
+            many += int(new.sum())
+            if many >= HELD:
+                for got in self._advance(key, *joined(), blocks):
+                    if isinstance(got, pd.DataFrame):
+                        yield got
+                    else:
+                        parts = [got]
+                if len(parts[0][0]) > HELD // 2:
+                    self._store(*parts[0], blocks)
+                    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+                many = len(parts[0][0])
+        for got in self._advance(key, *joined(), blocks):
+            if isinstance(got, pd.DataFrame):
+                yield got
+            else:
+                self._store(*got, blocks)
+        if self.n > began:
+            self.last.update((int(self.n), self.recent.tobytes()))
 
     def close(self) -> None:
         pass
@@ -93,10 +178,11 @@ def delivered_in_order(df: DataFrame, stream: list[str], offset: str, ready: str
     """
     keyed_state(df.sparkSession)
     kinds = dict(df.dtypes)
-    rows = df.select(*stream, F.col(offset).cast("long").alias("start"), F.col(ready).alias("ready")).dropna()
-    schema = ", ".join(f"{s} {kinds[s]}" for s in stream) + ", start long, ready timestamp, delivered timestamp, admitted timestamp, waited boolean"
-    got = rows.groupBy(*stream).transformWithStateInPandas(_Delivery(stream, size, prefetch), schema, "Append", "None")
-    return got.withColumnRenamed("start", offset).withColumnRenamed("ready", ready)
+    rows = df.select(*stream, F.col(offset).cast("long").alias("start"), F.unix_micros(F.col(ready).cast("timestamp")).alias("ready")).dropna()
+    schema = ", ".join(f"{s} {kinds[s]}" for s in stream) + ", start long, ready long, delivered long, admitted long, waited boolean"
+    got = _packed(rows, stream).groupBy(*stream).transformWithStateInPandas(_Delivery(stream, size, prefetch), schema, "Append", "None")
+    times = (F.timestamp_micros(c).alias(n) for c, n in (("ready", ready), ("delivered", "delivered"), ("admitted", "admitted")))
+    return got.select(*stream, F.col("start").alias(offset), *times, "waited")
 
 
 class _Waiting(StatefulProcessor):

@@ -1,8 +1,10 @@
 """Streams give what the batch operators give, whatever the order of arrival, restarts included."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,77 @@ def test_delivery(spark, streamed):
     assert got.where("waited").count() > 0
 
 
+class Held(dict):
+    """The states of one key."""
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Map())
+
+    def getValueState(self, name, *_):
+        return self.setdefault(name, Value())
+
+
+class Map(dict):
+    exists = lambda self: bool(self)
+    getValue = dict.get
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+class Value(list):
+    exists = lambda self: bool(self)
+    get = lambda self: self[0]
+
+    def update(self, v):
+        self[:] = [v]
+
+
+def delivering(state, size, prefetch):
+    p = ordered._Delivery(["stream"], size, prefetch)
+    p.init(state)
+    return p
+
+
+def packets(start, ready, many):
+    for i in range(0, len(start), many):
+        yield pd.DataFrame({"start": [x.astype(np.int64).tobytes() for x in np.array_split(start[i : i + many], 3)], "ready": [x.astype(np.int64).tobytes() for x in np.array_split(ready[i : i + many], 3)]})
+
+
+@pytest.mark.parametrize("held, block, prefetch", [(1 << 19, 1 << 14, 3), (40, 16, 3), (7, 5, 1), (1, 1, 8), (40, 16, 600)])
+def test_delivery_by_blocks(monkeypatch, held, block, prefetch):
+    """Any order, gaps that are filled later, batches sent again and ones between two offsets, over many triggers: as if told one by one; nothing that was delivered stays in the state."""
+    monkeypatch.setattr(ordered, "HELD", held)
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    g = np.random.default_rng(held)
+    ready = g.integers(-1000, 10**6, 500)
+    place = np.concatenate([*(g.permutation(np.arange(i, min(i + 150, 500))) for i in range(0, 500, 100))])
+    place = np.concatenate([place, g.permutation(500)])
+    state, out = Held(), []
+    for part in np.array_split(place, 9):
+        starts = np.concatenate([part * 8, [3, -8, 8 * 499 + 4]])
+        known = ready[np.clip(starts // 8, 0, 499)]
+        out += [tuple(r) for pdf in delivering(state, 8, prefetch).handleInputRows(("a",), packets(starts, known, 50), None) for r in pdf.itertuples(index=False)]
+    top = np.maximum.accumulate(ready)
+    want = [("a", 8 * k, ready[k], top[k], top[k - prefetch] if k >= prefetch else None, k >= prefetch and ready[k] < top[k - prefetch]) for k in range(500)]
+    assert [tuple(None if v is pd.NA else v for v in r) for r in out] == want
+    assert not state["waiting"] and state["last"].get()[0] == 500
+
+
+@pytest.mark.parametrize("order", ["forward", "backward"])
+def test_delivery_holds_little(order):
+    """1,500,000 batches of one stream, in order or all waiting for the last to come: few are in memory at once."""
+    n, state, seen = 1_500_000, Held(), 0
+    start = 8 * (np.arange(n) if order == "forward" else np.arange(n)[::-1])
+    tracemalloc.start()
+    for pdf in delivering(state, 8, 3).handleInputRows((1,), packets(start, start, 10_000), None):
+        assert pdf["start"].iloc[0] == 8 * seen
+        seen += len(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The state, which here is in memory too, has 16 bytes a waiting batch.
+    assert seen == n and not state["waiting"] and peak < (60 if order == "forward" else 85) * 1_000_000
+
+
 def late(rows, ts, delay, g):
     """Rows in an order in which none comes later than the delay allows, and a last part that moves the watermark on."""
     return sorted(rows, key=lambda r: r[ts] + timedelta(seconds=g.uniform(0, delay)))
